@@ -1,4 +1,4 @@
 """Loads every query module so that the registry is complete."""
 
-from tidewell.plans import conform  # noqa: F401
+from tidewell.plans import conform, search  # noqa: F401
 from tidewell.plans.registry import ORACLES, QUERIES  # noqa: F401
