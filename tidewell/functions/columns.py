@@ -139,16 +139,36 @@ def clean_phone(c: Column, max_len: int = 60) -> Column:
     return F.when((F.regexp_count(kept, F.lit("[0-9]")) >= 3) & (F.char_length(kept) <= max_len), kept)
 
 
+def url_authority(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)", 1)
+
+
+def url_host(url: Column) -> Column:
+    """Lower-case host without credentials and port, empty if there is none."""
+    return F.lower(F.regexp_extract(url_authority(url), r"^(?:.*@)?([^:@]*)", 1))
+
+
+def url_query(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+
+
+def url_fragment(url: Column) -> Column:
+    return F.regexp_extract(url, r"#([\s\S]*)$", 1)
+
+
+def has_port(url: Column) -> Column:
+    return url_authority(url).rlike(r":\d+$")
+
+
 def clean_https_url(c: Column, max_len: int = 500) -> Column:
     """The URL unchanged if it is https, has a dotted host, no credentials and no unsafe character."""
     unsafe = c.rlike(r"""[\s"'`]""") | c.rlike(UNSAFE_CHARS)
-    host = F.try_parse_url(c, F.lit("HOST"))
     ok = (
         (F.char_length(c) <= max_len)
+        & c.rlike("^(?i)https://")
         & ~unsafe
-        & (F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))) == "https")
-        & F.try_parse_url(c, F.lit("USERINFO")).isNull()
-        & F.contains(host, F.lit("."))
+        & ~F.contains(url_authority(c), F.lit("@"))
+        & F.contains(url_host(c), F.lit("."))
     )
     return F.when(ok, c)
 
@@ -160,10 +180,6 @@ def host_allowed(host: Column, allow: list[str]) -> Column:
     return F.coalesce(reduce(lambda x, y: x | y, tests), F.lit(False))
 
 
-def has_port(url: Column) -> Column:
-    return F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")).rlike(r":\d+$"), F.lit(False))
-
-
 def phone_link(c: Column) -> Column:
     """``tel:`` link of the first number, its extension after a comma; NULL under 3 digits."""
     first = F.element_at(F.split(F.coalesce(c, F.lit("")), "[~～〜或、/]"), 1)
@@ -196,7 +212,7 @@ def file_language(c: Column) -> Column:
 
 
 def is_video_link(c: Column) -> Column:
-    return F.coalesce(F.lower(F.try_parse_url(c, F.lit("HOST"))).isin(VIDEO_HOSTS), F.lit(False))
+    return F.coalesce(url_host(c).isin(VIDEO_HOSTS) & clean_https_url(c, 2048).isNotNull(), F.lit(False))
 
 
 def open_on(hours: Column, day: Column) -> Column:

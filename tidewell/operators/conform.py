@@ -127,7 +127,7 @@ def conform_phone(df: DataFrame, col: str, out: str = "phone") -> DataFrame:
 def conform_url(df: DataFrame, col: str, allow: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows whose URL passes, and the count of dropped rows per host."""
     url = F.col(col)
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    host = C.url_host(url)
     ok = C.clean_https_url(url).isNotNull()
     if allow is not None:
         ok = ok & ~C.has_port(url) & C.host_allowed(host, allow)

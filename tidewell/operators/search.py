@@ -435,9 +435,9 @@ def pick_language(prefs: Column) -> Column:
     return F.try_element_at(F.array_compact(F.transform(prefs, match_language)), F.lit(1))
 
 
-def decode_links(df: DataFrame, url: str, part: str = "REF") -> DataFrame:
+def decode_links(df: DataFrame, url: str, part: str = "fragment") -> DataFrame:
     """C17: typed request columns from the parameters of a shared link; invalid values are ignored, the first of a repeated key counts."""
-    raw = F.coalesce(F.try_parse_url(F.col(url), F.lit(part)), F.lit(""))
+    raw = F.coalesce((C.url_fragment if part == "fragment" else C.url_query)(F.col(url)), F.lit(""))
     decode = lambda x: F.coalesce(F.try_url_decode(x), F.lit(""))
     pairs = F.transform(F.split(raw, "&"), lambda p: F.struct(
         decode(F.substring_index(p, "=", 1)).alias("k"), decode(F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise("")).alias("v")

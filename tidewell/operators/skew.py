@@ -29,10 +29,10 @@ def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     tail = cut.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_v"), sort_key).alias("_last"))
     carry = tail.select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    marked = cut.withColumn("_rn", F.row_number().over(inner)).withColumn("_prev", F.lag(F.struct("_v")).over(inner))
+    marked = cut.withColumn("_rn", F.row_number().over(inner)).withColumn("_before", F.lag(F.struct("_v")).over(inner))
     out = marked.join(carry, [*keys, "_chunk"], "left")
-    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    return out.withColumn(name, prev["_v"]).drop("_chunk", "_v", "_rn", "_prev", "_carry")
+    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_before"))
+    return out.withColumn(name, prev["_v"]).drop("_chunk", "_v", "_rn", "_before", "_carry")
 
 
 def chunked_cumsum(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, name: str) -> DataFrame:
@@ -42,5 +42,5 @@ def chunked_cumsum(df: DataFrame, keys: list[str], order: list[str], chunk: Colu
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumn("_run", F.sum("_v").over(inner)).join(base, [*keys, "_chunk"])
-    return out.withColumn(name, F.col("_run") + F.col("_base")).drop("_chunk", "_v", "_run", "_base")
+    out = cut.withColumn("_csum", F.sum("_v").over(inner)).join(base, [*keys, "_chunk"])
+    return out.withColumn(name, F.col("_csum") + F.col("_base")).drop("_chunk", "_v", "_csum", "_base")

@@ -308,7 +308,7 @@ def c17_encode(t):
 
 @query("c17_decode_links", """
     SELECT request_id, sel_groups, sel_products, open_today, in_stock, city, dist, q, CASE WHEN request_id % 6 = 1 THEN request_id END AS id,
-      CASE WHEN request_id % 8 = 1 THEN 23.5 + request_id % 3 END AS view_lat, CASE WHEN request_id % 8 = 1 THEN 120.25 END AS view_lng,
+      CASE WHEN request_id % 8 = 1 THEN CAST(23.5 + request_id % 3 AS DOUBLE) END AS view_lat, CASE WHEN request_id % 8 = 1 THEN CAST(120.25 AS DOUBLE) END AS view_lng,
       CASE WHEN request_id % 8 = 1 THEN CAST(12 AS DOUBLE) END AS view_zoom, CASE WHEN request_id % 5 = 0 THEN 'en' WHEN request_id % 5 = 2 THEN 'tl' END AS lang
     FROM v_request""")
 def c17_decode(t):
@@ -329,7 +329,7 @@ def c17_decode(t):
 def c17_pages(t):
     """The same decoder on the query part of page URLs, after renaming their parameters."""
     renamed = F.regexp_replace(F.regexp_replace("url", r"([?&])page=", "$1id="), r"([?&])ref=", "$1q=")
-    return S.decode_links(t.pages.select("page_id", renamed.alias("url")), "url", "QUERY").select("page_id", "q", "id")
+    return S.decode_links(t.pages.select("page_id", renamed.alias("url")), "url", "query").select("page_id", "q", "id")
 
 
 @query("c18_pick_language", """

@@ -84,6 +84,18 @@ VIEWS = {
                CASE WHEN s_suppkey % 14 = 3 THEN lower(seg) WHEN s_suppkey % 14 = 7 THEN lower(n_name) || ' ' || lower(seg) ELSE '' END AS q
           FROM (SELECT *, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE'
                 WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS seg FROM supplier JOIN nation ON s_nationkey = n_nationkey))""",
+    "v_unit": """
+        SELECT doc_id AS id, 'sha256:' || sha256(text) AS hash, lang, source, text, CAST(length(text) AS INTEGER) AS size FROM documents""",
+    "v_cache": """
+        SELECT hash, c.lang, max(c.lang || ': ' || text) AS payload, max(CASE WHEN toxic = 1 THEN 'manual' END) AS source, max(id) AS at
+        FROM (SELECT u.hash, u.text, u.id, l.toxic, unnest(CASE WHEN quality = 1 THEN ['de', 'fr'] ELSE ['de'] END) AS lang FROM v_unit u JOIN labels l ON l.doc_id = u.id) c GROUP BY 1, 2""",
+    "v_label": """
+        SELECT lang, key, text FROM (
+          SELECT lang, i, p_partkey AS p, 'part.' || CAST(p_partkey AS VARCHAR) AS key,
+            CASE WHEN (p_partkey + i) % 13 = 0 THEN '' WHEN (p_partkey + i) % 11 = 0 THEN '{m} of ' || p_name WHEN (p_partkey + i) % 17 = 0 THEN '<b>{n}</b> ' || p_name
+              ELSE lang || ': {n} x ' || p_name END AS text
+          FROM part CROSS JOIN (VALUES (0, 'zh-Hant'), (1, 'en'), (2, 'ja'), (3, 'ko')) l(i, lang)) WHERE (i = 0 AND p % 23 <> 0) OR (i > 0 AND (p + i) % 7 <> 0)
+        UNION ALL SELECT lang, 'part.' || CAST(p_partkey AS VARCHAR) || '.one', lang || ': one ' || p_name FROM part CROSS JOIN (VALUES ('zh-Hant'), ('en')) l(lang) WHERE p_partkey % 3 = 0""",
     # (request, product) after narrowing each selected group to its ticked products.
     "v_selection": """
         SELECT g.request_id, p.product_id FROM (SELECT request_id, sel_products, unnest(string_split(sel_groups, ',')) AS group_id FROM v_request) g

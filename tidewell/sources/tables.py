@@ -169,3 +169,35 @@ class Tables:
             (lng - 1.5).alias("west"),
             (lng + 1.5).alias("east"),
         )
+
+    # ------------------------------------------------------------------ translation units
+    def unit(self) -> DataFrame:
+        """Documents as translation units with their content hash."""
+        return self.documents.select(
+            F.col("doc_id").alias("id"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("hash"), "lang", "source", "text", F.char_length("text").alias("size")
+        )
+
+    def cache(self) -> DataFrame:
+        """Cached translations of the labelled documents, one row per (hash, lang)."""
+        lab = self.labels.select("doc_id", "quality", "toxic")
+        rows = self.unit().drop("lang").join(lab, F.col("id") == F.col("doc_id")).withColumn(
+            "lang", F.explode(F.when(F.col("quality") == 1, F.array(F.lit("de"), F.lit("fr"))).otherwise(F.array(F.lit("de"))))
+        )
+        return rows.groupBy("hash", "lang").agg(
+            F.max(F.concat("lang", F.lit(": "), "text")).alias("payload"), F.max(F.when(F.col("toxic") == 1, "manual")).alias("source"), F.max("id").alias("at")
+        )
+
+    def label_catalogue(self) -> DataFrame:
+        """A label catalogue in four languages with the faults catalogues have."""
+        p = F.col("p_partkey")
+        langs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("lang")) for i, x in enumerate(["zh-Hant", "en", "ja", "ko"])]))
+        rows = self.part.select("p_partkey", "p_name", langs.alias("l")).select("p_partkey", "p_name", F.col("l.i").alias("i"), F.col("l.lang").alias("lang"))
+        n = p + F.col("i")
+        text = (
+            F.when(n % 13 == 0, "").when(n % 11 == 0, F.concat(F.lit("{m} of "), "p_name")).when(n % 17 == 0, F.concat(F.lit("<b>{n}</b> "), "p_name"))
+            .otherwise(F.concat("lang", F.lit(": {n} x "), "p_name"))
+        )
+        key = F.concat(F.lit("part."), p.cast("string"))
+        main = rows.filter(((F.col("i") == 0) & (p % 23 != 0)) | ((F.col("i") > 0) & (n % 7 != 0))).select("lang", key.alias("key"), text.alias("text"))
+        ones = rows.filter((p % 3 == 0) & (F.col("i") <= 1)).select("lang", F.concat(key, F.lit(".one")).alias("key"), F.concat("lang", F.lit(": one "), "p_name").alias("text"))
+        return main.unionByName(ones)
