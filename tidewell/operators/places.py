@@ -43,13 +43,17 @@ def segment_longest(df: DataFrame, key: str, text: str, lexicon: DataFrame, leng
     before. Stretches without an entry come back as kind ``run``. ``lengths`` are the entry lengths in use; each
     substring of such a length is one equality key into the lexicon, whatever its size.
     """
-    spots = F.transform(F.sequence(F.lit(1), F.char_length(F.col(text))), lambda i: i)
-    rows = df.filter(F.char_length(text) > 0).select(key, text, F.explode(spots).alias("s"))
-    spans = rows.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).filter(F.col("s") + F.col("n") - 1 <= F.char_length(text))
-    piece = F.substr(F.col(text), F.col("s"), F.col("n"))
     letter = r"^[\p{L}\p{N}]"
-    fresh = (F.col("s") == 1) | ~F.substr(F.col(text), F.col("s") - 1, F.lit(1)).rlike(letter)
-    found = spans.select(key, "s", "n", fresh.alias("fresh"), piece.alias("token")).join(lexicon, "token")
+    c, size = F.col(text), F.char_length(text)
+
+    def spans(n: int) -> Column:
+        """Every substring of length ``n`` with its start, and whether a new word may begin there."""
+        at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda s: F.struct(
+            s.alias("s"), F.lit(n).alias("n"), ((s == 1) | ~F.substr(c, s - 1, F.lit(1)).rlike(letter)).alias("fresh"), F.substr(c, s, F.lit(n)).alias("token")
+        ))
+
+    found = df.select(key, F.inline(F.concat(*[spans(n) for n in lengths]))).join(lexicon, "token")
     best = found.groupBy(key, "s").agg(
         F.first("fresh").alias("fresh"), F.max(F.when(F.col("kind") == "term", F.col("n"))).alias("term_n"), F.max("n").alias("any_n")
     )
