@@ -352,6 +352,7 @@ def match_requests(request: DataFrame, facility: DataFrame, offering: DataFrame,
         F.explode(F.when(has_text, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k_tier"),
     )
     targets = wanted.withColumnRenamed("q", "k_q").withColumn("target_id", F.struct("request_id", "k_product", "k_tier"))
+    targets = materialize(targets, "targets")
 
     # One row per facility with its few offered products; "*" stands for "any product".
     offered = offering.groupBy("facility_id").agg(F.collect_list(F.struct(F.col("product_id").alias("k_product"), (F.col("in_stock") > 0).alias("has_stock"))).alias("offers"))

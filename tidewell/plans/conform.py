@@ -107,7 +107,7 @@ WHOLE = 100_000_000  # no cap: documents are cleaned whole
 @query("b7_conform_text", f"""
     SELECT doc_id, sha256(c) AS cleaned, CAST(length(c) AS BIGINT) AS n_chars, c <> text AS changed FROM (SELECT doc_id, text, {clean_sql('text')} AS c FROM documents)""")
 def b7(t):
-    d = t.documents.select("doc_id", "text", F.col("text").alias("raw"))
+    d = t.text_table("documents").select("doc_id", "text", F.col("text").alias("raw"))
     out, _ = B.conform_text(d, {"text": WHOLE})
     return out.select("doc_id", F.sha2("text", 256).alias("cleaned"), F.char_length("text").cast("long").alias("n_chars"), (F.col("text") != F.col("raw")).alias("changed"))
 
@@ -116,7 +116,7 @@ def b7(t):
     SELECT 'html' AS field, count(*) FILTER (WHERE {clean_sql('html')} <> html) AS changed FROM pages
     UNION ALL SELECT 'url', count(*) FILTER (WHERE {clean_sql('url')} <> url) FROM pages""")
 def b7_report(t):
-    return B.conform_text(t.pages, {"url": WHOLE, "html": WHOLE})[1]
+    return B.conform_text(t.text_table("pages"), {"url": WHOLE, "html": WHOLE})[1]
 
 
 PHONE_SQL = "trim(regexp_replace(regexp_replace(c, '((?i)轉|分機|或|ext\\.?|[0-9 +\\-()#~,、/])|[\\s\\S]', '\\1', 'g'), ' {2,}', ' ', 'g'))"
@@ -237,7 +237,7 @@ def b13(t):
            CASE WHEN c <> text THEN sha256(c) ELSE NULL END AS after
     FROM (SELECT doc_id, text, source, {clean_sql('text')} AS c FROM documents) WHERE c <> text OR doc_id % 97 = 0""")
 def b14(t):
-    d = t.documents.select("doc_id", "text", "source")
+    d = t.text_table("documents").select("doc_id", "text", "source")
     cleaned = B.conform_text(d, {"text": WHOLE})[0].withColumn("source", F.when(F.col("doc_id") % 97 != 0, F.col("source")))
     digest = lambda x: x.withColumn("text", F.sha2("text", 256))
     return B.strict_diff(digest(d), digest(cleaned), "doc_id", ["text", "source"])

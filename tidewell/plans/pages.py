@@ -50,11 +50,11 @@ ALLOW = ["*.example.com"]
 
 @query("e1_strip_boilerplate", f"SELECT page_id, sha256(s) AS content, CAST(length(s) AS INTEGER) AS n FROM (SELECT page_id, {stripped('html')} AS s FROM pages)")
 def e1(t):
-    return P.strip_boilerplate(t.pages).select("page_id", F.sha2("html", 256).alias("content"), F.char_length("html").alias("n"))
+    return P.strip_boilerplate(t.text_table("pages")).select("page_id", F.sha2("html", 256).alias("content"), F.char_length("html").alias("n"))
 
 
 def blocks(t):
-    return P.extract_blocks(t.pages.select("page_id", "html"))
+    return P.extract_blocks(t.text_table("pages").select("page_id", "html"))
 
 
 @query("e2_extract_blocks", f"SELECT page_id, pos, type, level, text FROM {TYPED_SQL}")
@@ -86,12 +86,12 @@ def e3(t):
 
 @query("e4_extract_links", f"SELECT page_id, pos, href, text FROM {LINK_SQL} WHERE {LINK_OK}")
 def e4(t):
-    return P.extract_links(t.pages, ALLOW)[0]
+    return P.extract_links(t.text_table("pages"), ALLOW)[0]
 
 
 @query("e4_dropped_hosts", f"SELECT regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) AS host, count(*) AS dropped FROM {LINK_SQL} WHERE NOT {LINK_OK} GROUP BY 1")
 def e4_dropped(t):
-    return P.extract_links(t.pages, ALLOW)[1]
+    return P.extract_links(t.text_table("pages"), ALLOW)[1]
 
 
 @query("e5_classify_links", f"""
@@ -101,7 +101,7 @@ def e4_dropped(t):
 def e5(t):
     k, pos = F.col("page_id") % 3, F.col("pos")
     ext = F.when(pos % 2 == 0, ".PDF").otherwise(".docx")
-    links = P.page_links(t.pages).withColumns({
+    links = P.page_links(t.text_table("pages")).withColumns({
         "kind": F.when(k == 0, "相關附件").when(k == 1, "下載").otherwise("相關連結"),
         "href": F.concat("href", F.when(pos % 3 == 0, "/File/Get/1").otherwise("")),
         "title": F.when(pos % 2 == 0, F.concat("text", ext, F.lit(" (另開新視窗)"))).otherwise(""),
@@ -127,7 +127,7 @@ RULES = [("link", r"(?i)\btoken\b|www\."), ("question", r"\?"), ("number", r"\d{
     SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\btoken\b|www\.') THEN 'link' WHEN regexp_matches(text, '\?') THEN 'question' WHEN regexp_matches(text, '\d{3,}') THEN 'number'
       WHEN length(text) >= 3000 THEN 'long' ELSE 'other' END AS key FROM documents""")
 def e7(t):
-    return t.documents.select("doc_id", P.classify_title(F.col("text"), RULES).alias("key"))
+    return t.text_table("documents").select("doc_id", P.classify_title(F.col("text"), RULES).alias("key"))
 
 
 @query("e7_section_keys", """
@@ -156,7 +156,7 @@ def e8(t):
     FROM (SELECT doc_id, regexp_extract(text, p, 1) AS y, regexp_extract(text, p, 2) AS m, regexp_extract(text, p, 3) AS d
       FROM (SELECT doc_id, text FROM documents), (SELECT '([0-9]{3,4})\s*[/\-.年]\s*([0-9]{1,2})\s*[/\-.月]\s*([0-9]{1,2})' AS p))""".replace("regexp_extract(text, p,", r"regexp_extract(text, '([0-9]{3,4})\s*[/\-.年]\s*([0-9]{1,2})\s*[/\-.月]\s*([0-9]{1,2})',"))
 def e8_documents(t):
-    return t.documents.select("doc_id", F.date_format(P.parse_date(F.col("text")), "yyyy-MM-dd").alias("day"))
+    return t.text_table("documents").select("doc_id", F.date_format(P.parse_date(F.col("text")), "yyyy-MM-dd").alias("day"))
 
 
 @query("e9_merge_turns", """
@@ -230,7 +230,7 @@ def e12(t):
 def e13(t):
     """Navigation links written as one paragraph: each link is followed by a separator run."""
     # Separators inside a link's own text stay; only text runs are split.
-    links = P.page_links(t.pages)
+    links = P.page_links(t.text_table("pages"))
     runs = links.select("page_id", F.explode(F.array(
         F.struct((F.col("pos") * 2).alias("pos"), F.col("text").alias("text"), F.col("href").alias("href")),
         F.struct((F.col("pos") * 2 + 1).alias("pos"), F.lit("、 ").alias("text"), F.lit(None).cast("string").alias("href")),
@@ -240,7 +240,7 @@ def e13(t):
 
 @query("e14_dedup_links", f"SELECT page_id, href, text, min(pos) AS pos FROM {LINK_SQL} GROUP BY 1, 2, 3")
 def e14(t):
-    return P.dedup_links(P.page_links(t.pages), ["page_id"])
+    return P.dedup_links(P.page_links(t.text_table("pages")), ["page_id"])
 
 
 @query("e15_order_sections", """
@@ -281,7 +281,7 @@ def e17(t):
 @query("e17_document_numbers")
 def e17_documents(t):
     """The number nearest to the first article of each document; checked against a direct reading in the tests."""
-    return P.numbers_near_terms(t.documents.select("doc_id", "text"), "doc_id", "text", {"article": r"(?i)\b(?:the|de|der|la)\b"}, r"\d")
+    return P.numbers_near_terms(t.text_table("documents").select("doc_id", "text"), "doc_id", "text", {"article": r"(?i)\b(?:the|de|der|la)\b"}, r"\d")
 
 
 @query("e18_linkify", """

@@ -28,6 +28,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def text_table(self, name: str) -> DataFrame:
+        """A table of long texts, spread over all cores when its files give fewer splits than there are cores.
+
+        Text jobs are bound by CPU, and a small table in one file would run in one task; a large table has
+        splits enough and is read as it is.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     # ------------------------------------------------------------------ facilities
     def facility_base(self) -> DataFrame:
         """One facility per customer; no hours or stock yet."""
