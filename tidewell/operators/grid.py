@@ -118,21 +118,48 @@ def _prune(frontier: DataFrame, level: int, k: int, boxed: bool) -> DataFrame:
     return reached.withColumn("reach", reach).filter("near <= reach").drop("near", "far", "sure", "_got", "n")
 
 
-def within_box(points: DataFrame, boxes: DataFrame, base: float = 0.25, levels: int = 10) -> DataFrame:
+def _cover(boxes: DataFrame, base: float, levels: int, per_axis: int) -> DataFrame:
+    """Each box as the cells of the level that covers it with about ``per_axis`` cells per axis."""
+    span = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    level = F.least(F.lit(levels - 1), F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(base * per_axis))))).cast("int")
+    cover = boxes.withColumn("lv", level).withColumn("step", F.lit(base) * F.pow(F.lit(2.0), "lv"))
+    cover = cover.withColumn("cy", F.explode(F.sequence(F.floor(F.col("south") / F.col("step")), F.floor(F.col("north") / F.col("step")))))
+    return cover.withColumn("cx", F.explode(F.sequence(F.floor(F.col("west") / F.col("step")), F.floor(F.col("east") / F.col("step")))))
+
+
+def _keyed(points: DataFrame, used: DataFrame, base: float, levels: int) -> DataFrame:
+    """Points under their cell on every level, kept where some box looks."""
+    step = F.lit(base) * F.pow(F.lit(2.0), "lv")
+    spread = points.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    spread = spread.withColumns({"cy": F.floor(F.col("lat") / step), "cx": F.floor(F.col("lng") / step)})
+    return spread.join(used, ["lv", "cy", "cx"], "left_semi")
+
+
+def within_box(points: DataFrame, boxes: DataFrame, base: float = 0.01, levels: int = 14) -> DataFrame:
     """(box_id, point_id) for points inside each box, edges included.
 
-    A box uses the cell size that covers it with at most three cells per axis, so small and large boxes
-    both become a few equality keys.
+    Small and large boxes both become a few equality keys on the level that suits their size.
     """
-    span = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
-    level = F.least(F.lit(levels - 1), F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(base))))).cast("int")
-    size = F.lit(base) * F.pow(F.lit(2.0), F.col("lv"))
-    cover = boxes.withColumn("lv", level)
-    cover = cover.withColumn("cy", F.explode(F.sequence(F.floor(F.col("south") / size), F.floor(F.col("north") / size))))
-    cover = cover.withColumn("cx", F.explode(F.sequence(F.floor(F.col("west") / size), F.floor(F.col("east") / size))))
-    used = cover.select("lv", "cy", "cx").distinct()
-    spread = points.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    keyed = spread.withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(F.col("lng") / size)})
-    keyed = keyed.join(used, ["lv", "cy", "cx"], "left_semi")
+    cover = _cover(boxes, base, levels, 2)
+    keyed = _keyed(points, cover.select("lv", "cy", "cx").distinct(), base, levels)
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east"))
     return cover.join(keyed, ["lv", "cy", "cx"]).filter(inside).select("box_id", "point_id")
+
+
+def count_in_boxes(points: DataFrame, boxes: DataFrame, value: str, base: float = 0.01, levels: int = 14) -> DataFrame:
+    """Number of points and sum of ``value`` per box without listing the pairs.
+
+    Points of one place are added up first. A cell that lies inside a box counts as one row; only cells that a box
+    edge cuts are looked at place by place.
+    """
+    places = points.groupBy("lat", "lng").agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    cover = _cover(boxes, base, levels, 12)
+    low, left = F.col("cy") * F.col("step"), F.col("cx") * F.col("step")
+    whole = (low >= F.col("south")) & (low + F.col("step") <= F.col("north")) & (left >= F.col("west")) & (left + F.col("step") <= F.col("east"))
+    cover = materialize(cover.withColumn("whole", whole), "cover")
+    keyed = materialize(_keyed(places, cover.select("lv", "cy", "cx").distinct(), base, levels), "box-places")
+    cells = keyed.groupBy("lv", "cy", "cx").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    inner = cover.filter("whole").join(cells, ["lv", "cy", "cx"]).select("box_id", "n", "total")
+    inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east"))
+    edge = cover.filter("not whole").join(keyed, ["lv", "cy", "cx"]).filter(inside).select("box_id", "n", "total")
+    return inner.unionByName(edge).groupBy("box_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -17,6 +17,8 @@ def lookup_place(df: DataFrame, place: DataFrame, reading: DataFrame) -> DataFra
     built from the reading of its stem and the suffix word. place: city, dist, city_en, dist_en, ord.
     reading: stem, latin.
     """
+    one_spelling = {"city": F.translate("city", "台", "臺"), "dist": F.translate("dist", "台", "臺")}
+    df, place = df.withColumns(one_spelling), place.withColumns(one_spelling)
     cities = place.groupBy("city").agg(F.min_by("city_en", "ord").alias("city_en"))
     exact = place.groupBy("city", "dist").agg(F.min_by("dist_en", "ord").alias("_exact"))
     anywhere = place.groupBy("dist").agg(F.min_by("dist_en", "ord").alias("_any"))

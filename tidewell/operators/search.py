@@ -242,6 +242,7 @@ def search_score(items: DataFrame, tokens: DataFrame, aliases: dict[str, list[st
     """
     aliases = NAME_ALIASES if aliases is None else aliases
     latin = {"name_en", "area_en", "addr_en"} <= set(items.columns)
+    tokens = materialize(tokens, "tokens")
     plain = items.select("item_id", *[C.normalize_text(F.col(f)).alias(f) for f in ("name", "area", "addr")])
     distinct = tokens.select("token").distinct()
 

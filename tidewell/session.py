@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master (tests) may fall back to a temporary folder; a cluster without the setting
     is an error, because a machine-local folder would not survive the loss of an executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
