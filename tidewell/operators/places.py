@@ -75,12 +75,12 @@ def segment_longest(df: DataFrame, key: str, text: str, lexicon: DataFrame, leng
     starts = F.concat(F.array(F.lit(1)), F.transform("taken", lambda t: t["s"] + t["n"]))
     ends = F.concat(F.transform("taken", lambda t: t["s"]), F.array(F.char_length(text) + 1))
     gaps = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("s"), F.substr(F.col(text), a, b - a).alias("t")))
-    gap_rows = taken.select(key, F.explode(gaps).alias("g")).select(
-        key, F.col("g.s").alias("start"), F.posexplode(F.filter(F.split("g.t", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("sub", "token")
+    gap_rows = taken.select(key, F.explode(gaps).alias("_g")).select(
+        key, F.col("_g.s").alias("start"), F.posexplode(F.filter(F.split("_g.t", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("sub", "token")
     ).withColumn("kind", F.lit("run"))
     kinds = lexicon.groupBy("token").agg(F.min(F.when(F.col("kind") == "term", "").otherwise(F.col("kind"))).alias("_k"))
-    tokens = taken.select(key, text, F.explode("taken").alias("t")).select(
-        key, F.col("t.s").alias("start"), F.lit(0).alias("sub"), F.substr(F.col(text), F.col("t.s"), F.col("t.n")).alias("token")
+    tokens = taken.select(key, text, F.explode("taken").alias("_t")).select(
+        key, F.col("_t.s").alias("start"), F.lit(0).alias("sub"), F.substr(F.col(text), F.col("_t.s"), F.col("_t.n")).alias("token")
     ).join(kinds, "token").select(key, "start", "sub", "token", F.when(F.col("_k") == "", "term").otherwise(F.col("_k")).alias("kind"))
     every = tokens.unionByName(gap_rows.select(key, "start", "sub", "token", "kind"))
     ordered = every.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "sub", "token", "kind"))).alias("p"))

@@ -43,6 +43,7 @@ def even_sample(df: DataFrame, n: int, order: str, rows_per_bucket: int = 1_000_
     wanted_buckets = max(1, min(5000, total // rows_per_bucket))
     probs = [i / wanted_buckets for i in range(1, wanted_buckets)]
     bounds = sorted(set(df.approxQuantile(order, probs, 0.1 / wanted_buckets))) if probs else []
+    bounds = bounds or [0.0]
     cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_o", outputCol="_bucket")
     bucketed = cut.transform(df.withColumn("_o", F.col(order).cast("double"))).drop("_o").withColumn("_bucket", F.col("_bucket").cast("int"))
     counts = {r["_bucket"]: r["count"] for r in bucketed.groupBy("_bucket").count().collect()}
