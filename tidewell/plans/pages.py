@@ -22,9 +22,16 @@ def stripped(col: str) -> str:
     return f"regexp_replace({s}, '(?i)<!doctype[^>]*>|</?(?:embed|input|img|link|meta|base)\\b[^>]*>', '', 'g')"
 
 
+def decoded(col: str) -> str:
+    """The four entities the pages use; the semicolon is optional where the name ends anyway."""
+    for name, char in [("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")]:
+        col = f"regexp_replace({col}, '(?i)&{name}\\b;?', '{char}', 'g')"
+    return col
+
+
 def plain(col: str) -> str:
     s = f"regexp_replace({col}, '<[^>]*>', '', 'g')"
-    s = f"replace(replace(replace(replace({s}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+    s = decoded(s)
     return f"trim(regexp_replace({s}, '[\\s\\x{{A0}}\\x{{3000}}\\x{{2002}}\\x{{2003}}\\x{{2009}}]+', ' ', 'g'))"
 
 
@@ -111,8 +118,8 @@ def e5(t):
     return P.classify_links(links).select("page_id", "pos", "is_file", "ext", "text", "is_new")
 
 
-@query("e6_decode_entities", """
-    SELECT page_id, sha256(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&')) AS decoded,
+@query("e6_decode_entities", f"""
+    SELECT page_id, sha256({decoded('html')}) AS decoded,
            chr(CAST(9731 + page_id % 20 AS INTEGER)) || '&' || chr(CAST(128512 + page_id % 50 AS INTEGER)) || '&lt;&bogus; ' AS special FROM pages""")
 def e6(t):
     k = F.col("page_id")
