@@ -1,7 +1,7 @@
 """Web pages to tables of blocks, cells, links and runs.
 
-Everything is a regular expression or an array expression over one page row, followed by an explode; a
-window is only ever taken over the parts of one page, whose size one input row bounds.
+Everything is a regular expression or an array expression over one page row, followed by an explode. Ordered
+work on the parts of a page runs in chunks of positions (see ``skew``), so a page of any length is shared by many tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
-from tidewell.operators.skew import chunked_cumsum, chunked_lag
+from tidewell.operators.skew import CHUNK, chunked_cumsum, chunked_lag, chunked_running_max, salted_join, with_halo
 
 # ---------------------------------------------------------------- fixed values
 # Elements whose content is raw text and never shown.
@@ -103,19 +103,29 @@ def plain_text(fragment: Column) -> Column:
 def extract_blocks(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """(page, pos, type, level, text) in document order; types h, p, item, note.
 
-    Each block tag starts a line that ends at the next block tag, so an unclosed tag ends there too.
+    Each block tag starts a line that ends at the next block tag, so an unclosed tag ends there too. The level of an
+    item is the number of lists around its own, at most 5.
     """
     tags = "|".join(sorted(BLOCK_TAGS, key=len, reverse=True))
     marked = F.regexp_replace(without_boilerplate(F.col(html)), rf"(?i)<(/?(?:{tags}))(?:\s[^>]*|/)?>", "\u0001$1\u0002")
 
-    def line(piece: Column) -> Column:
+    def line(piece: Column, depth: Column) -> Column:
         tagged = F.contains(piece, F.lit("\u0002"))
         tag = F.when(tagged, F.lower(F.substring_index(piece, "\u0002", 1))).otherwise("")
         body = F.when(tagged, F.substr(piece, F.instr(piece, "\u0002") + 1)).otherwise(piece)
-        return F.struct(tag.alias("tag"), body.alias("body"), plain_text(body).alias("text"))
-
-    lines = F.filter(F.transform(F.split(marked, "\u0001"), line), lambda x: x["text"] != "")
-    rows = pages.select(page, F.posexplode(lines).alias("pos", "l")).select(page, "pos", "l.tag", "l.body", "l.text")
+        return F.struct(tag.alias("tag"), body.alias("body"), plain_text(body).alias("text"), depth.alias("depth"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        tag = F.lower(F.substring_index(piece, "\u0002", 1))
+        now = F.greatest(F.lit(0), F.element_at(acc, -1) + F.when(tag.isin("ul", "ol"), 1).when(tag.isin("/ul", "/ol"), -1).otherwise(0))
+        return F.array_append(acc, now)
+
+    split = pages.select(page, F.split(marked, "\u0001").alias("pieces"))
+    # Depth of list nesting at every piece, after a leading zero.
+    nested = split.withColumn("depths", F.aggregate("pieces", F.array(F.lit(0)), step))
+    depth_of = F.slice("depths", 2, F.greatest(F.lit(1), F.size("pieces")))
+    lines = F.filter(F.zip_with("pieces", depth_of, line), lambda x: x["text"] != "")
+    rows = nested.select(page, F.posexplode(lines).alias("pos", "l")).select(page, "pos", "l.tag", "l.body", "l.text", "l.depth")
     bold = r"(?is)<(?:b|strong)\b[^>]*>.*?(?:</(?:b|strong)\s*>|\z)"
     red = rf"(?is)<[a-z]+\b[^>]*{RED}[^>]*>.*?(?:</[a-z]+\s*>|\z)"
     linked = F.col("body").rlike(r"(?i)<a\b[^>]*\bhref")
@@ -124,7 +134,9 @@ def extract_blocks(pages: DataFrame, page: str = "page_id", html: str = "html")
     is_note = ~linked & only(red)
     is_bold = ~linked & only(bold) & (F.char_length("text") <= HEADING_MAX)
     kind = F.when(heading, "h").when(F.col("tag") == "li", "item").when(is_note, "note").when(is_bold, "h").otherwise("p")
-    level = F.when(heading, F.least(F.lit(6), F.greatest(F.lit(3), F.substring("tag", 2, 1).try_cast("int") + 1))).when(F.col("type") == "h", 4)
+    level = F.when(heading, F.least(F.lit(6), F.greatest(F.lit(3), F.substring("tag", 2, 1).try_cast("int") + 1))).when(F.col("type") == "h", 4).when(
+        F.col("type") == "item", F.greatest(F.lit(0), F.least(F.lit(5), F.col("depth") - 1))
+    )
     text = F.when((F.col("type") == "h") & ~heading, C.strip_marker(F.col("text"))).otherwise(F.col("text"))
     return rows.withColumn("type", kind).select(page, "pos", "type", level.alias("level"), text.alias("text"))
 
@@ -228,32 +240,30 @@ def merge_runs(df: DataFrame, part: list[str], order: list[str], key: str, chunk
 
 def attach_captions(block: DataFrame, page: str = "page_id") -> DataFrame:
     """A heading right before a table without caption becomes its caption and is no block any more."""
-    w = Window.partitionBy(page).orderBy("pos")
-    near = block.withColumns({
+    w = Window.partitionBy(page, "_chunk").orderBy("pos")
+    near = with_halo(block, "pos", 1).withColumns({
         "_pt": F.lag("type").over(w), "_px": F.lag("text").over(w), "_nt": F.lead("type").over(w), "_nc": F.lead("caption").over(w),
-    })
+    }).filter("_own")
     eaten = (F.col("type") == "h") & F.coalesce((F.col("_nt") == "table") & F.col("_nc").isNull(), F.lit(False))
     caption = F.when((F.col("type") == "table") & F.col("caption").isNull() & (F.col("_pt") == "h"), F.col("_px")).otherwise(F.col("caption"))
-    return near.filter(~eaten).withColumn("caption", caption).drop("_pt", "_px", "_nt", "_nc")
+    return near.filter(~eaten).withColumn("caption", caption).drop("_pt", "_px", "_nt", "_nc", "_chunk", "_own")
 
 
 def pair_title_url(block: DataFrame, page: str = "page_id", max_title: int = PAIR_TITLE_MAX) -> DataFrame:
     """A short line followed by a bare URL is one link; neighbouring links share a list number."""
     url = F.when(F.col("type") == "p", C.bare_url(F.col("text")))
-    w = Window.partitionBy(page).orderBy("pos")
     marked = block.withColumn("_url", url)
     title = (F.col("type") == "p") & F.col("_url").isNull() & (F.char_length(C.trim_space(F.col("text"))) <= max_title)
-    marked = marked.withColumn("_title", title).withColumns({
-        "_has_url": F.coalesce(F.col("_title") & F.lead("_url").over(w).isNotNull(), F.lit(False)),
-        "_taken": F.coalesce(F.col("_url").isNotNull() & F.lag("_title").over(w), F.lit(False)),
-        "_href": F.lead("_url").over(w),
-    })
-    kept = marked.filter(~F.col("_taken")).withColumns({
-        "href": F.when(F.col("_has_url"), F.col("_href")), "text": F.when(F.col("_has_url"), C.trim_space(C.strip_marker(F.col("text")))).otherwise(F.col("text")),
-    })
-    first = F.col("_has_url") & ~F.coalesce(F.lag("_has_url").over(w), F.lit(False))
-    numbered = kept.withColumn("_n", F.sum(first.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.withColumn("list_no", F.when(F.col("_has_url"), F.col("_n"))).drop("_url", "_title", "_has_url", "_taken", "_href", "_n")
+    w = Window.partitionBy(page, "_chunk").orderBy("pos")
+    taken = F.coalesce(F.col("_url").isNotNull() & F.lag("_title").over(w), F.lit(False))
+    near = with_halo(marked.withColumn("_title", title), "pos", 2).withColumns({"_taken": taken, "_href": F.when(F.col("_title"), F.lead("_url").over(w))})
+    # A pair goes on with the list of the pair before it exactly when the line above is that pair's URL.
+    near = near.withColumn("_first", F.col("_href").isNotNull() & ~F.coalesce(F.lag("_taken").over(w), F.lit(False)))
+    kept = near.filter("_own and not _taken").withColumns({
+        "href": F.col("_href"), "text": F.when(F.col("_href").isNotNull(), C.trim_space(C.strip_marker(F.col("text")))).otherwise(F.col("text")),
+    }).drop("_chunk", "_own")
+    numbered = chunked_cumsum(kept, [page], ["pos"], F.floor(F.col("pos") / CHUNK), F.col("_first").cast("int"), "_n")
+    return numbered.withColumn("list_no", F.when(F.col("href").isNotNull(), F.col("_n"))).drop("_url", "_title", "_taken", "_href", "_first", "_n")
 
 
 def nest_items(item: DataFrame, part: str = "list_id", max_level: int = 5) -> DataFrame:
@@ -262,9 +272,8 @@ def nest_items(item: DataFrame, part: str = "list_id", max_level: int = 5) -> Da
     One running maximum per level replaces the pairing of items: the last item seen on each lower level is
     enough, and it is an ancestor exactly when nothing of a still lower level came after it.
     """
-    w = Window.partitionBy(part).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = {f"_l{v}": F.max(F.when(F.col("level") == v, F.col("pos"))).over(w) for v in range(max_level)}
-    seen = item.withColumns(last)
+    last = {f"_l{v}": F.when(F.col("level") == v, F.col("pos")) for v in range(max_level)}
+    seen = chunked_running_max(item, [part], ["pos"], F.floor(F.col("pos") / CHUNK), last)
     lower = [F.when(F.col("level") > v, F.col(f"_l{v}")) for v in range(max_level)]
     none = F.lit(-1)
     ancestor = []
@@ -282,8 +291,7 @@ def split_link_lists(run: DataFrame, part: list[str]) -> DataFrame:
     """
     piece = F.when(F.col("href").isNull(), F.split("text", LIST_SEPARATOR)).otherwise(F.array("text"))
     pieces = run.select(*part, "pos", "href", F.posexplode(piece).alias("piece_no", "piece"))
-    w = Window.partitionBy(*part).orderBy("pos", "piece_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = pieces.withColumn("item", F.sum((F.col("piece_no") > 0).cast("int")).over(w))
+    numbered = chunked_cumsum(pieces, part, ["pos", "piece_no"], F.floor(F.col("pos") / CHUNK), (F.col("piece_no") > 0).cast("int"), "item")
     at = F.struct("pos", "piece_no")
     joined = numbered.groupBy(*part, "item").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece_no", "piece"))), lambda x: x["piece"]), "").alias("text"),
@@ -293,9 +301,9 @@ def split_link_lists(run: DataFrame, part: list[str]) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(text, r"^[)）]\s*", ""), r"\s*[(（]\s*$", "")
     closed = F.when(F.col("text").rlike("（[^）]*$"), F.concat("text", F.lit("）"))).when(F.col("text").rlike(r"[(（][^)）]*$"), F.concat("text", F.lit(")"))).otherwise(F.col("text"))
     items = joined.withColumn("text", text).withColumn("text", closed).filter("text <> ''")
-    p = Window.partitionBy(*part)
-    counted = items.withColumns({"_n": F.count("*").over(p), "_linked": F.count("href").over(p), "_longest": F.max(F.char_length("text")).over(p)})
-    return counted.filter("_n >= 6 and _linked * 2 >= _n and _longest <= 40").drop("_n", "_linked", "_longest")
+    lists = items.groupBy(*part).agg(F.count("*").alias("_n"), F.count("href").alias("_linked"), F.max(F.char_length("text")).alias("_longest"))
+    lists = lists.filter("_n >= 6 and _linked * 2 >= _n and _longest <= 40").select(*part)
+    return salted_join(items, lists, part, F.col("item"), salts=8)
 
 
 def dedup_links(link: DataFrame, part: list[str]) -> DataFrame:
@@ -304,13 +312,18 @@ def dedup_links(link: DataFrame, part: list[str]) -> DataFrame:
 
 
 def order_sections(section: DataFrame, page: str = "page_id", order: list[str] | None = None) -> DataFrame:
-    """Fixed key order, then source order; anchors ``key``, ``key-2``, and so on."""
+    """Fixed key order, then source order; anchors ``key``, ``key-2``, and so on. Unknown keys are ``other``."""
     order = order or SECTION_ORDER
+    known = section.withColumn("key", F.when(F.col("key").isin(order), F.col("key")).otherwise("other"))
+    nth = chunked_cumsum(known, [page, "key"], ["pos"], F.floor(F.col("pos") / CHUNK), F.lit(1), "_nth")
+    # Sections before the first one of a key: the sections of all earlier keys, counted per (page, key).
     rank = reduce(lambda acc, iv: F.when(F.col("key") == iv[1], iv[0]).otherwise(acc), enumerate(order), F.lit(len(order)))
-    nth = F.row_number().over(Window.partitionBy(page, "key").orderBy("pos"))
-    place = F.row_number().over(Window.partitionBy(page).orderBy("_rank", "pos"))
+    counts = known.groupBy(page, "key").agg(F.count("*").alias("_n")).withColumn("_rank", rank)
+    earlier = Window.partitionBy(page).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(page, "key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     anchor = F.when(F.col("_nth") == 1, F.col("key")).otherwise(F.concat("key", F.lit("-"), F.col("_nth").cast("string")))
-    return section.withColumns({"_rank": rank, "_nth": nth}).withColumns({"place": place, "anchor": anchor}).drop("_rank", "_nth")
+    placed = salted_join(nth, offsets, [page, "key"], F.col("pos"), salts=8)
+    return placed.withColumns({"place": (F.col("_before") + F.col("_nth")).cast("int"), "anchor": anchor}).drop("_before", "_nth")
 
 
 def parse_marks(df: DataFrame, col: str) -> DataFrame:

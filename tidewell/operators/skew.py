@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CHUNK = 4096  # parts of one page or list handled together
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, salts: int = 32, how: str = "inner") -> DataFrame:
     """Join a side with hot keys to a side with one row per key.
 
@@ -44,3 +47,29 @@ def chunked_cumsum(df: DataFrame, keys: list[str], order: list[str], chunk: Colu
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.withColumn("_csum", F.sum("_v").over(inner)).join(base, [*keys, "_chunk"])
     return out.withColumn(name, F.col("_csum") + F.col("_base")).drop("_chunk", "_v", "_csum", "_base")
+
+
+def chunked_running_max(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: dict[str, Column]) -> DataFrame:
+    """For each named value its maximum over the earlier rows of the key, the current row left out."""
+    names = list(values)
+    cut = df.withColumn("_chunk", chunk).withColumns({f"_in_{n}": v for n, v in values.items()})
+    tops = cut.groupBy(*keys, "_chunk").agg(*[F.max(f"_in_{n}").alias(f"_top_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(*keys, "_chunk", *[F.max(f"_top_{n}").over(before).alias(f"_up_{n}") for n in names])
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumns({f"_now_{n}": F.max(f"_in_{n}").over(inner) for n in names}).join(carry, [*keys, "_chunk"])
+    # greatest() skips NULL, so either part alone is enough.
+    out = out.withColumns({n: F.greatest(F.col(f"_up_{n}"), F.col(f"_now_{n}")) for n in names})
+    return out.drop("_chunk", *[f"{p}_{n}" for n in names for p in ("_in", "_up", "_now")])
+
+
+def with_halo(df: DataFrame, pos: str, reach: int, size: int = CHUNK) -> DataFrame:
+    """Rows under their chunk of positions, and again as guests (``_own`` false) in the chunks their neighbours need.
+
+    Positions count 0, 1, 2, ... without gaps. A window over (key, _chunk) ordered by position then sees ``reach``
+    rows to both sides of every own row, with one shuffle and no join.
+    """
+    at = F.col(pos)
+    chunk = F.floor(at / size).cast("long")
+    first, last = F.floor((at - reach) / size).cast("long"), F.floor((at + reach) / size).cast("long")
+    return df.withColumn("_chunk", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_chunk") == chunk)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.skew import salted_join
+
 # ---------------------------------------------------------------- fixed values
 BASE_LANGUAGE = "zh-Hant"
 TARGET_LANGUAGES = ["en", "ja", "ko", "id", "vi", "th", "tl"]
@@ -271,8 +273,8 @@ def invalidate_cache(cache: DataFrame, unit: DataFrame, scope: str, langs: list[
 
 def section_labels(section: DataFrame, label: DataFrame, page: str = "page_id") -> DataFrame:
     """Navigation label: the label of the key, or the title where the key repeats on the page or is ``other``."""
-    repeats = F.count("*").over(Window.partitionBy(page, "key"))
-    rows = section.withColumn("_n", repeats).join(label.select("key", F.col("text").alias("_label")), "key", "left")
+    repeats = section.groupBy(page, "key").agg(F.count("*").alias("_n"))
+    rows = salted_join(section, repeats, [page, "key"], F.col("pos"), salts=8).join(label.select("key", F.col("text").alias("_label")), "key", "left")
     own = (F.col("_n") > 1) | (F.col("key") == "other")
     return rows.withColumn("nav", F.when(own, F.col("title")).otherwise(F.coalesce("_label", F.concat(F.lit("info.key."), "key")))).drop("_n", "_label")
 
@@ -281,4 +283,4 @@ def relative_headings(block: DataFrame, page: str = "page_id") -> DataFrame:
     """Headings of the lowest level on their page become 3, deeper ones 4."""
     heads = block.filter("type = 'h'")
     top = heads.groupBy(page).agg(F.min("level").alias("_top"))
-    return heads.join(top, page).withColumn("depth", F.when(F.col("level") == F.col("_top"), 3).otherwise(4)).drop("_top")
+    return salted_join(heads, top, [page], F.col("pos"), salts=8).withColumn("depth", F.when(F.col("level") == F.col("_top"), 3).otherwise(4)).drop("_top")

@@ -44,7 +44,7 @@ BLOCK_SQL = f"""(SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id OR
 BOLD_LEFT = plain("re")  # what is left of a line without its bold parts, see TYPED_SQL
 TYPED_SQL = f"""(SELECT page_id, pos, text, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'h' WHEN tag = 'li' THEN 'item'
       WHEN bold AND left_over = '' AND length(text) <= 40 THEN 'h' ELSE 'p' END AS type, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN least(6, greatest(3, CAST(substr(tag, 2, 1) AS INTEGER) + 1))
-      WHEN tag <> 'li' AND bold AND left_over = '' AND length(text) <= 40 THEN 4 END AS level
+      WHEN tag = 'li' THEN 0 WHEN bold AND left_over = '' AND length(text) <= 40 THEN 4 END AS level
     FROM (SELECT *, regexp_matches(body, '(?is)<(?:b|strong)\\b[^>]*>') AS bold, {BOLD_LEFT} AS left_over
           FROM (SELECT *, regexp_replace(body, '(?is)<(?:b|strong)\\b[^>]*>.*?(?:</(?:b|strong)\\s*>|\\z)', '', 'g') AS re FROM {BLOCK_SQL})))"""
 LINK_SQL = f"""(SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || replace(a[i], '&amp;', '&') AS href, {plain('t[i]')} AS text
