@@ -31,6 +31,17 @@ def test_only_strictly_newer_and_valid_records_win(spark):
     assert rows(spark.read.parquet(out), "key", "v") == got
 
 
+def test_log_gives_the_same_answer(spark):
+    src, log, ck = (fresh_path(spark, x) for x in ("src", "log", "ck"))
+    for b in ([(1, "a", "2026-01-01 00:00:00", 1), (2, "b", "2026-01-01 00:00:00", 1)], [(3, "a", "2026-01-02 00:00:00", -1), (4, "b", "2026-01-01 00:00:00", 2)], [(5, "a", "2026-01-03 00:00:00", 4)]):
+        records(spark, b).coalesce(1).write.mode("append").parquet(src)
+        G.log_newer(spark.readStream.schema(SCHEMA).parquet(src), log, ck, "key", "ts", "id", F.col("v") > 0).awaitTermination()
+    assert rows(G.current_records(spark, log, SCHEMA, "key", "ts"), "key", "v") == [("a", 4), ("b", 1)]
+    folded = fresh_path(spark, "folded")
+    G.compact_records(spark, log, folded, SCHEMA, "key", "ts")
+    assert rows(G.current_records(spark, folded, SCHEMA, "key", "ts"), "key", "v") == [("a", 4), ("b", 1)]
+
+
 def test_freshness(spark):
     src, out, ck = (fresh_path(spark, x) for x in ("src", "out", "ck"))
     for b in ([(1, "a", "2026-01-01 00:00:00", 1)], [(2, "b", "2026-01-03 00:00:00", 1), (3, "a", "2025-12-01 00:00:00", 1)]):

@@ -175,8 +175,11 @@ def event_stream(t, name):
     return t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("g1_upsert_newer", """
-    SELECT user_id, event_id, CAST(ts AS VARCHAR) AS ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE event_type <> 'error' AND value > 5) WHERE rn = 1""")
+NEWEST_SQL = """
+    SELECT user_id, event_id, CAST(ts AS VARCHAR) AS ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE event_type <> 'error' AND value > 5) WHERE rn = 1"""
+
+
+@query("g1_upsert_newer", NEWEST_SQL)
 def g1(t):
     target = fresh_path(t.spark, "upsert-target")
     q = G.upsert_newer(event_stream(t, "upsert-source"), target, fresh_path(t.spark, "upsert-checkpoint"), "user_id", "ts", "event_id", (F.col("event_type") != "error") & (F.col("value") > 5))
@@ -184,6 +187,16 @@ def g1(t):
     return t.spark.read.parquet(target).select("user_id", "event_id", F.col("ts").cast("string").alias("ts"), "event_type", "value")
 
 
+@query("g1_newest_log", NEWEST_SQL)
+def g1_log(t):
+    log, schema = fresh_path(t.spark, "newest-log"), "event_id long, user_id long, ts timestamp_ntz, event_type string, value double"
+    q = G.log_newer(event_stream(t, "log-source"), log, fresh_path(t.spark, "log-checkpoint"), "user_id", "ts", "event_id", (F.col("event_type") != "error") & (F.col("value") > 5))
+    q.awaitTermination()
+    folded = fresh_path(t.spark, "newest-folded")
+    G.compact_records(t.spark, log, folded, schema, "user_id", "ts")
+    return G.current_records(t.spark, folded, schema, "user_id", "ts").select("user_id", "event_id", F.col("ts").cast("string").alias("ts"), "event_type", "value")
+
+
 @query("g2_freshness_monitor", """
     SELECT user_id, arrivals, round(epoch_us(TIMESTAMP '2024-02-01 00:00:00' - latest) / 3.6e9, 4) AS age_hours, epoch_us(TIMESTAMP '2024-02-01 00:00:00' - latest) / 3.6e9 > 36 AS late
     FROM (SELECT user_id, max(ts) AS latest, count(*) AS arrivals FROM events GROUP BY 1)""")

@@ -58,6 +58,32 @@ def upsert_newer(stream: DataFrame, path: str, checkpoint: str, key: str, ts: st
     )
 
 
+def log_newer(stream: DataFrame, path: str, checkpoint: str, key: str, ts: str, tie: str, valid: Column):
+    """G1 for large targets: every micro-batch adds its newest valid record per key, and readers decide.
+
+    A batch costs as much as it holds, whatever the size of the target; a repeated batch replaces its own folder.
+    ``compact_records`` folds the log from time to time.
+    """
+    def append(df: DataFrame, batch_id: int) -> None:
+        newest_per_key(df, key, ts, tie).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+
+    good = stream.filter(F.coalesce(valid, F.lit(False)))
+    return good.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_records(spark: SparkSession, path: str, schema: str, key: str, ts: str) -> DataFrame:
+    """The record in force per key: the newest, and of equally new ones the one that arrived in the earlier batch."""
+    log = spark.read.schema(f"{schema}, batch long").parquet(path)
+    fields = [c for c in log.columns if c not in (key, "batch")]
+    order = F.struct(F.col(ts), (-F.col("batch")).alias("b"))
+    return log.groupBy(key).agg(F.max_by(F.struct("batch", *fields), order).alias("r")).select(key, "r.*")
+
+
+def compact_records(spark: SparkSession, path: str, target: str, schema: str, key: str, ts: str) -> None:
+    """Write the records in force as a new log that keeps the batch numbers, so later batches compare as before."""
+    current_records(spark, path, schema, key, ts).write.partitionBy("batch").parquet(target)
+
+
 def freshness_state(arrivals: DataFrame, source: str, ts: str, watermark: str | None = None) -> DataFrame:
     """Latest arrival per source; the state is one row per source."""
     rows = arrivals.withWatermark(ts, watermark) if watermark else arrivals
