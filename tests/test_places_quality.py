@@ -91,9 +91,12 @@ def test_chunked_window_equals_whole_window(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([("hot" if rng.random() < 0.7 else str(i % 3), i, rng.randrange(5)) for i in range(500)], "k string, pos int, v int")
     w = Window.partitionBy("k").orderBy("pos")
-    want = rows(df.select("k", "pos", F.lag("v").over(w).alias("p"), F.sum("v").over(w).alias("s")))
-    lagged = skew.chunked_lag(df, ["k"], ["pos"], F.floor(F.col("pos") / 13), F.col("v"), "p")
-    assert rows(skew.chunked_cumsum(lagged, ["k"], ["pos"], F.floor(F.col("pos") / 13), F.col("v"), "s"), "k", "pos", "p", "s") == want
+    chunk = F.floor(F.col("pos") / 13)
+    want = rows(df.select("k", "pos", F.sum("v").over(w).alias("s"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m")))
+    summed = skew.chunked_cumsum(df, ["k"], ["pos"], chunk, F.col("v"), "s")
+    assert rows(skew.chunked_running_max(summed, ["k"], ["pos"], chunk, {"m": F.col("v")}), "k", "pos", "s", "m") == want
+    border = df.withColumn("b", F.coalesce((F.lag("v").over(w) != F.col("v")).cast("int"), F.lit(0)))
+    assert rows(skew.chunked_runs(df, ["k"], ["pos"], chunk, "v", "run"), "k", "pos", "run") == rows(border.select("k", "pos", F.sum("b").over(w)))
     small = spark.createDataFrame([("hot", 1), ("0", 2)], "k string, w int")
     assert rows(skew.salted_join(df, small, ["k"], F.col("pos")), "k", "pos", "w") == rows(df.join(small, "k"), "k", "pos", "w")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,9 +157,9 @@ def reject_report(df: DataFrame, required: dict[str, Column]) -> tuple[DataFrame
     ``required`` maps a reason to the condition a good row satisfies; NULL counts as failed.
     """
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in required.items()]))
-    marked = df.withColumn("reasons", reasons)
-    kept = marked.filter(F.size("reasons") == 0).drop("reasons")
-    rejected = marked.filter(F.size("reasons") > 0)
+    # The kept side is a plain conjunction, so that the conditions reach the files.
+    kept = df.filter(reduce(lambda a, b: a & b, required.values()))
+    rejected = df.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
     counts = rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
     return kept, rejected, counts
 

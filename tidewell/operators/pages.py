@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
-from tidewell.operators.skew import CHUNK, chunked_cumsum, chunked_lag, chunked_running_max, salted_join, with_halo
+from tidewell.operators.skew import CHUNK, chunked_cumsum, chunked_running_max, chunked_runs, salted_join, with_halo
 
 # ---------------------------------------------------------------- fixed values
 # Elements whose content is raw text and never shown.
@@ -232,10 +232,7 @@ def merge_runs(df: DataFrame, part: list[str], order: list[str], key: str, chunk
 
     ``chunk`` cuts a part into ordered pieces (see ``skew``), so one part may hold any number of rows.
     """
-    seen = chunked_lag(df, part, order, chunk, F.struct(F.col(key).alias("k")), "_prev")
-    starts = (F.col("_prev").isNull() | ~F.col("_prev.k").eqNullSafe(F.col(key))).cast("int")
-    runs = chunked_cumsum(seen.withColumn("_start", starts), part, order, chunk, F.col("_start"), "_run")
-    return runs.groupBy(*part, (F.col("_run") - 1).alias("run"), key).agg(*aggs)
+    return chunked_runs(df, part, order, chunk, key, "run").groupBy(*part, "run", key).agg(*aggs)
 
 
 def attach_captions(block: DataFrame, page: str = "page_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
 from tidewell.operators.grid import nearest_k
-from tidewell.session import materialize
+from tidewell.session import materialize, spread
 
 # ---------------------------------------------------------------- fixed values
 # Abbreviations people type, and the wording that names contain (normalised spelling).
@@ -192,8 +192,10 @@ def _candidates(items: DataFrame, fields: list[str], needles: DataFrame) -> Data
     own = needles.select("needle", F.explode(F.array_distinct(
         F.when(F.char_length("needle") <= 3, F.array("needle")).otherwise(_grams(F.col("needle"), 3))
     )).alias("gram"))
+    own = materialize(own, "needle-grams")
     wanted = own.select("gram").distinct()
-    all_grams = F.array_distinct(F.concat(*[_grams(F.col(f), n) for f in fields for n in (1, 2, 3)]))
+    sizes = [r["n"] for r in own.select(F.char_length("gram").alias("n")).distinct().collect()]  # some of 1, 2, 3
+    all_grams = F.array_distinct(F.concat(*[_grams(F.col(f), n) for f in fields for n in sizes or [3]]))
     have = materialize(items.select("item_id", F.explode(all_grams).alias("gram")).join(wanted, "gram", "left_semi"), "grams")
     frequency = have.groupBy("gram").agg(F.count("*").alias("df"))
     key = own.join(frequency, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
@@ -352,8 +354,11 @@ def match_requests(request: DataFrame, facility: DataFrame, offering: DataFrame,
         *[F.when(~has_text & (F.col("city") == ""), F.col(b)).alias(b) for b in ("south", "north", "west", "east")],
         F.explode(F.when(has_text, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k_tier"),
     )
-    targets = wanted.withColumnRenamed("q", "k_q").withColumn("target_id", F.struct("request_id", "k_product", "k_tier"))
-    targets = materialize(targets, "targets")
+    wanted = wanted.withColumnRenamed("q", "k_q")
+    # Each distinct combination of filters gets a number; from here on it is the only key that is moved around.
+    keys = ["k_q", "k_tier", "k_city", "k_dist", "k_product", "k_open", "k_stock"]
+    numbered = materialize(wanted.select(*keys).distinct().withColumn("key_id", F.monotonically_increasing_id()), "keys")
+    targets = materialize(wanted.join(numbered, keys).withColumn("target_id", F.struct("request_id", "key_id")).drop(*keys, "request_id"), "targets")
 
     # One row per facility with its few offered products; "*" stands for "any product".
     offered = offering.groupBy("facility_id").agg(F.collect_list(F.struct(F.col("product_id").alias("k_product"), (F.col("in_stock") > 0).alias("has_stock"))).alias("offers"))
@@ -365,7 +370,7 @@ def match_requests(request: DataFrame, facility: DataFrame, offering: DataFrame,
         .withColumn("offers", F.coalesce("offers", none))
         .withColumn("offers", F.array_append("offers", any_offer))
     )
-    base = materialize(base, "facilities")
+    base = spread(materialize(base, "facilities"))
     items = base.select(F.col("id").alias("item_id"), "name", F.concat(F.coalesce("city", F.lit("")), F.coalesce("dist", F.lit(""))).alias("area"), "addr")
     texts = request.filter(has_text).select(F.col("q").alias("query_id"), "q").distinct()
     found = search_score(items, tokenize_queries(texts, aliases)).select(
@@ -389,9 +394,8 @@ def match_requests(request: DataFrame, facility: DataFrame, offering: DataFrame,
             "k_q", "k_tier", F.col("p.c").alias("k_city"), F.col("p.d").alias("k_dist"), "k_product", "k_open", "k_stock",
         )
     )
-    keys = ["k_q", "k_tier", "k_city", "k_dist", "k_product", "k_open", "k_stock"]
-    entries = entries.join(targets.select(*keys).distinct(), keys, "left_semi")
-    near = nearest_k(targets, entries, k, depth, keys, ["s_rank", "name"], boxed=True)
+    entries = entries.join(numbered, keys).drop(*keys)
+    near = nearest_k(targets, entries, k, depth, ["key_id"], ["s_rank", "name"], boxed=True)
     # The same facility may be found under several products; its best status is the right one.
     merged = (
         near.select(F.col("target_id.request_id").alias("request_id"), F.col("point_id").alias("id"), "name", "km", "score", "open_now", "status", "s_rank")

@@ -25,17 +25,26 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
 
 
-def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, name: str) -> DataFrame:
-    """Previous row's ``value`` within ``keys`` in ``order``; ``chunk`` must not decrease along the order."""
-    cut = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    sort_key = F.struct(*order)
-    tail = cut.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_v"), sort_key).alias("_last"))
-    carry = tail.select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    marked = cut.withColumn("_rn", F.row_number().over(inner)).withColumn("_before", F.lag(F.struct("_v")).over(inner))
-    out = marked.join(carry, [*keys, "_chunk"], "left")
-    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_before"))
-    return out.withColumn(name, prev["_v"]).drop("_chunk", "_v", "_rn", "_before", "_carry")
+def chunked_runs(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, name: str) -> DataFrame:
+    """Number, from 0, the runs of equal ``value`` within ``keys`` in ``order``; ``chunk`` must not decrease along it.
+
+    Rows are shuffled once by (key, chunk). Each chunk is summed up as its first and last value and its own number of
+    borders; those few rows tell where every chunk's numbering begins.
+    """
+    cut = df.withColumn("_chunk", chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    boxed = F.struct(F.col(value).alias("v"))
+    before = F.lag(boxed).over(w)
+    local = cut.withColumn("_border", (before.isNotNull() & ~before["v"].eqNullSafe(F.col(value))).cast("long"))
+    local = local.withColumn("_local", F.sum("_border").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct(*order)
+    sums = local.groupBy(*keys, "_chunk").agg(F.min_by(boxed, at).alias("_first"), F.max_by(boxed, at).alias("_last"), F.sum("_border").alias("_inside"))
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    sums = sums.withColumn("_before", F.lag("_last").over(along))
+    opens = (F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col("_first.v"))).cast("long")
+    begin = F.sum(opens + F.col("_inside")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside") - 1
+    starts = sums.select(*keys, "_chunk", begin.alias("_begin"))
+    return local.join(starts, [*keys, "_chunk"]).withColumn(name, F.col("_begin") + F.col("_local")).drop("_chunk", "_border", "_local", "_begin")
 
 
 def chunked_cumsum(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
+from tidewell.session import spread
 
 NOW = "2024-01-15 02:30:00"  # UTC; Monday 10:30 local time
 
@@ -29,14 +30,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def text_table(self, name: str) -> DataFrame:
-        """A table of long texts, spread over all cores when its files give fewer splits than there are cores.
-
-        Text jobs are bound by CPU, and a small table in one file would run in one task; a large table has
-        splits enough and is read as it is.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        """A table of long texts; text jobs are bound by CPU, so a small table is shared among the cores."""
+        return spread(getattr(self, name))
 
     # ------------------------------------------------------------------ facilities
     def facility_base(self) -> DataFrame:
