@@ -37,7 +37,8 @@ def test_normalize(spark):
     ]
     kept, warnings = B.normalize_facilities(raw(spark, data), fixed.product_map(spark), fixed.city_list(spark))
     got = {r["id"]: r for r in kept.collect()}
-    assert sorted(got) == [2, 5] and rows(warnings, "id") == [(3,), (4,)]
+    assert sorted(got) == [2, 5]
+    assert rows(warnings) == [(1, "code repeated, kept 2"), (3, "coordinates out of range"), (4, "coordinates out of range"), (5, "unknown product nope")]
     assert got[2]["hours"] == [1, 2, 3, 4, 5, 6, 7] and got[2]["stock"] == {"flu": 1}
     assert got[5]["hours"] == [0] * 7 and got[5]["stock"] == {"flu": 1, "antiviral": 0}
     assert got[5]["appt_tel"] == "02-9999-0000" and got[5]["appt_url"] == "https://book.example.tw/"

@@ -20,12 +20,12 @@ def in_box(lat: Column, lng: Column) -> Column:
 
 
 def normalize_facilities(raw: DataFrame, product_map: DataFrame, cities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """B1: raw nested rows to conformed facilities; rows outside the box become warnings.
+    """B1: raw nested rows to conformed facilities, and a warning per row outside the box, without a city, with an
+    unknown product or dropped for a repeated code.
 
     ``product_map`` is (src_id, product_id); ``cities`` is (city, ord).
     """
     inside = in_box(F.col("lat"), F.col("lng"))
-    warnings = raw.filter(~inside).select("id", F.lit("coordinates out of range").alias("warning"))
     ok = raw.filter(inside)
     stock, _ = inventory_to_stock(ok.select("id", "inventory"), product_map)
     stock_map = stock.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("product_id", "in_stock")))).alias("stock"))
@@ -45,7 +45,14 @@ def normalize_facilities(raw: DataFrame, product_map: DataFrame, cities: DataFra
             F.try_element_at(urls, F.lit(-1))["url"].alias("appt_url"),
         )
     )
-    kept, _ = dedup_keep_latest(facility, ["code"], "id")
+    kept, dropped = dedup_keep_latest(facility, ["code"], "id")
+    unknown = ok.select("id", F.explode(F.array_distinct(F.transform("inventory", lambda v: v["product"]))).alias("src_id")).join(product_map, "src_id", "left_anti")
+    warnings = (
+        raw.filter(~inside).select("id", F.lit("coordinates out of range").alias("warning"))
+        .unionByName(region.filter("city = ''").select("id", F.lit("city unknown").alias("warning")))
+        .unionByName(unknown.select("id", F.concat(F.lit("unknown product "), "src_id").alias("warning")))
+        .unionByName(dropped.select("id", F.concat(F.lit("code repeated, kept "), F.col("winner").cast("string")).alias("warning")))
+    )
     return kept, warnings
 
 

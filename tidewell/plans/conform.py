@@ -38,7 +38,12 @@ def b1(t):
     return kept.select("id", "code", "city", "dist", "lat", "lng", joined("hours").alias("hours"), stock.alias("stock"), "appt_tel", "appt_url")
 
 
-@query("b1_normalize_warnings", "SELECT id, 'coordinates out of range' AS warning FROM v_raw WHERE NOT (lat > 21 AND lat < 27 AND lng > 117 AND lng < 123)")
+@query("b1_normalize_warnings", """
+    WITH ok AS (SELECT id, code, max(id) OVER (PARTITION BY code) AS winner FROM v_raw WHERE lat > 21 AND lat < 27 AND lng > 117 AND lng < 123)
+    SELECT id, 'coordinates out of range' AS warning FROM v_raw WHERE NOT (lat > 21 AND lat < 27 AND lng > 117 AND lng < 123)
+    UNION ALL SELECT ok.id, 'city unknown' FROM ok JOIN v_raw_region r ON r.id = ok.id WHERE r.city = ''
+    UNION ALL SELECT DISTINCT ok.id, 'unknown product ' || src_id FROM ok JOIN v_raw_inventory v ON v.id = ok.id WHERE src_id LIKE 'SRC_X%'
+    UNION ALL SELECT id, 'code repeated, kept ' || CAST(winner AS VARCHAR) FROM ok WHERE id <> winner""")
 def b1_warnings(t):
     return B.normalize_facilities(t.raw_facility(), t.product_map(), t.city_list())[1]
 
