@@ -13,9 +13,9 @@ from tidewell.plans import catalog
 from tidewell.session import local_session
 
 HEADLINE = [
-    "c12_match_requests", "c13_nearest_k", "c8_search_score", "c3_derive_status", "c2_relevant_products", "d3_product_availability", "d7_cluster_cells",
-    "d11_cost_rollup", "b1_normalize_facilities", "b5_dedup_keep_latest", "b7_conform_text", "b14_strict_diff", "e2_extract_blocks", "e4_extract_links",
-    "e9_merge_events", "e20_detect_changes", "e22_pending_work", "e28_localize_labels", "h2_even_sample", "h3_field_mismatches", "g1_newest_log",
+    "d3_product_availability", "c3_derive_status", "c2_relevant_products", "d7_cluster_cells", "d11_cost_rollup", "b1_normalize_facilities",
+    "b5_dedup_keep_latest", "b7_conform_text", "b14_strict_diff", "e2_extract_blocks", "e4_extract_links", "e9_merge_events", "e20_detect_changes",
+    "e22_pending_work", "e28_localize_labels", "h2_even_sample", "h3_field_mismatches", "g1_newest_log", "c8_search_score", "c13_nearest_k", "c12_match_requests",
 ]
 
 

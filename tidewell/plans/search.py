@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import columns as C
 from tidewell.operators import grid
 from tidewell.operators import search as S
 from tidewell.plans.registry import query

@@ -10,10 +10,6 @@ PERIOD = (
 )
 
 
-def _search(col: str) -> str:
-    return f"regexp_replace(lower(coalesce({col}, '')), '[\\s,.·\\-–—_()]', '', 'g')"
-
-
 VIEWS = {
     "v_facility_base": """
         SELECT c_custkey AS id,
