@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.idfiles import read_ids, write_ids
 from tidewell.llm.packing import pack_documents
+from tidewell.llm.quality import judge
+from tidewell.llm.simhash import edited_fingerprints
 from tidewell.llm.tokens import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +37,60 @@ def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all token ids as bit-packed files and read them back."""
     manifest = write_ids(documents(spark, sf_dir), vocabulary_path(), end_id=0)
     return read_ids(manifest).select("doc_id", "start", "n_tokens", F.col("ids_crc32").cast("long"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the verdict of cross-document line frequency for every document."""
+    judged = judge(documents(spark, sf_dir).select("doc_id", "source", "text"), keep_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+ORACLES["op5_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
+), ws AS (
+  SELECT rid, list_filter(string_split_regex(t, '[ \t-\r]+'), lambda x: x <> '') AS w FROM d
+), w AS (
+  SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM ws
+), win AS (
+  SELECT rid, i, n, x AS a, lead(x, 1) OVER o AS b, lead(x, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM win WHERE i <= n - 2) WHERE k > 1
+), covered AS (
+  SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid
+), l AS (
+  SELECT rid, host, line, lower(trim(regexp_replace(line, '[ \t-\r]+', ' ', 'g'))) AS norm
+  FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t-\r]')
+), dups AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid
+), u AS (
+  SELECT rid, host, norm, md5(norm) AS m, sum(len(norm) - len(replace(norm, ' ', '')) + 1) AS words FROM l GROUP BY ALL
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY m) AS k FROM u
+), tops AS (
+  SELECT rid, max(CASE WHEN k = 1 THEN m END) AS m1, coalesce(max(CASE WHEN k = 2 THEN m END), '') AS m2 FROM s GROUP BY rid
+), sig AS (
+  SELECT s.rid, s.host, s.norm, s.words, CASE WHEN s.m = m1 THEN m2 ELSE m1 END AS other FROM s JOIN tops USING (rid)
+), above AS (
+  SELECT host, norm FROM sig GROUP BY host, norm HAVING count(DISTINCT other) > 100 AND count(DISTINCT other) >= 0.5 * count(*)
+), lost AS (
+  SELECT rid, sum(words) AS words_removed FROM sig JOIN above USING (host, norm) GROUP BY rid
+), base AS (
+  SELECT d.rid, doc_id, len(ws.w) AS n_words, length(regexp_replace(t, '[ \t-\r]+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(words_removed, 0) AS words_removed
+  FROM d JOIN ws USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN lost USING (rid)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (n_words - words_removed > 0.2 * n_words) AS kept,
+  words_removed::BIGINT AS words_removed
+FROM base
+"""
