@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.idfiles import read_ids, write_ids
+from tidewell.llm.jaccard import jaccard_components
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import judge
 from tidewell.llm.simhash import edited_fingerprints
@@ -94,3 +95,9 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   words_removed::BIGINT AS words_removed
 FROM base
 """
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by four-word shingles at a Jaccard similarity of 0.85."""
+    return jaccard_components(documents(spark, sf_dir), n=4, percent=85)
