@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.idfiles import read_ids, write_ids
 from tidewell.llm.jaccard import jaccard_components
+from tidewell.llm.lines import line_verdicts
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import judge
 from tidewell.llm.simhash import edited_fingerprints
@@ -101,3 +102,46 @@ FROM base
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by four-word shingles at a Jaccard similarity of 0.85."""
     return jaccard_components(documents(spark, sf_dir), n=4, percent=85)
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of every document stay after equal lines and lines one word apart were reduced to the earliest."""
+    found = line_verdicts(documents(spark, sf_dir))
+    places = F.array_join(F.transform("kept", lambda x: x.cast("string")), ",")
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", places.alias("kept_lines"))
+
+
+ORACLES["op10_line_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), l AS (
+  SELECT rid, line_no, ws, array_to_string(ws, ' ') AS line, len(ws) AS n FROM (
+    SELECT rid, i - 1 AS line_no, list_filter(string_split_regex(ls[i], '[ \t-\r]+'), lambda x: x <> '') AS ws
+    FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, string_split(t, chr(10)) AS ls FROM d))
+  ) WHERE len(ws) > 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY rid, line_no) AS k FROM l
+), f AS (
+  SELECT row_number() OVER (ORDER BY rid, line_no) AS ord, * FROM ranked WHERE k = 1
+), v AS (
+  SELECT ord, n, i, md5(array_to_string(list_concat(ws[1 : i - 1], ws[i + 1 :]), ' ')) AS m
+  FROM (SELECT ord, n, ws, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)
+), sub AS (
+  SELECT a.ord FROM v a JOIN v b ON a.m = b.m AND a.n = b.n AND a.i = b.i AND b.ord < a.ord
+), whole AS (
+  SELECT ord, n, md5(line) AS m FROM f WHERE n >= 8
+), gap AS (
+  SELECT v.ord AS longer, w.ord AS shorter FROM v JOIN whole w ON v.m = w.m AND v.n = w.n + 1
+), near AS (
+  SELECT ord FROM sub UNION SELECT longer FROM gap WHERE shorter < longer UNION SELECT shorter FROM gap WHERE longer < shorter
+), stays AS (
+  SELECT rid, count(*) AS n_first, count(near.ord) AS n_near, string_agg(CASE WHEN near.ord IS NULL THEN line_no::VARCHAR END, ',' ORDER BY line_no) AS kept_lines
+  FROM f LEFT JOIN near USING (ord) GROUP BY rid
+), counts AS (
+  SELECT rid, count(*) AS n_lines FROM l GROUP BY rid
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (coalesce(n_lines, 0) - coalesce(n_first, 0))::BIGINT AS n_exact,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(kept_lines, '') AS kept_lines
+FROM d LEFT JOIN counts USING (rid) LEFT JOIN stays USING (rid)
+"""
