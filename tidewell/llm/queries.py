@@ -12,6 +12,7 @@ from tidewell.llm.jaccard import jaccard_components
 from tidewell.llm.lines import line_verdicts
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import judge
+from tidewell.llm.secrets import train, with_secrets
 from tidewell.llm.simhash import edited_fingerprints
 from tidewell.llm.tokens import vocabulary_path
 
@@ -145,3 +146,17 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (coalesce(n_lines, 0) -
   coalesce(n_near, 0)::BIGINT AS n_near, coalesce(kept_lines, '') AS kept_lines
 FROM d LEFT JOIN counts USING (rid) LEFT JOIN stays USING (rid)
 """
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every text: base kinds, and formats learned from them."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = with_secrets(docs, train(docs)).drop("text")
+    named = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter("secrets", lambda x: x["kind"] != "format")
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.array_join(F.transform(base, named), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("secrets", named), ",").alias("spans"),
+    )
