@@ -13,6 +13,7 @@ from tidewell.llm.lines import line_verdicts
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import judge
 from tidewell.llm.secrets import train, with_secrets
+from tidewell.llm.sharding import kd_shards
 from tidewell.llm.simhash import edited_fingerprints
 from tidewell.llm.tokens import vocabulary_path
 
@@ -160,3 +161,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.array_join(F.transform(base, named), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("secrets", named), ",").alias("spans"),
     )
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of nearly equal bytes by a k-d tree over metadata."""
+    placed = kd_shards(documents(spark, sf_dir), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
