@@ -141,7 +141,7 @@ def write_ids(docs: DataFrame, vocabulary: str, folder: str | None = None, end_i
         out = Writer(bits_for(max(enc.vocab_size, (end_id or 0) + 1)))
         tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for doc, data in zip(batch["k"], enc.encode(batch["t"].tolist())):
+            for doc, data in zip(batch["k"], enc.encode(batch["t"])):
                 out.add(None if pd.isna(doc) else doc, np.frombuffer(data + tail, dtype="<u4"))
         if out.docs:
             part = TaskContext.get().partitionId()

@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, capacity:
         tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, rid, data in zip(batch["doc"], batch["rid"], enc.encode(batch["t"].tolist())):
+            for doc, rid, data in zip(batch["doc"], batch["rid"], enc.encode(batch["t"])):
                 data += tail
                 for i, (start, length) in enumerate(cut_pieces(len(data) // 4, capacity)):
                     rows.append((doc, rid, i, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
