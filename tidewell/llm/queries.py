@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.idfiles import read_ids, write_ids
 from tidewell.llm.jaccard import jaccard_components
+from tidewell.llm.licenses import with_licenses
 from tidewell.llm.lines import line_verdicts
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import judge
@@ -168,3 +169,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of nearly equal bytes by a k-d tree over metadata."""
     placed = kd_shards(documents(spark, sf_dir), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every text."""
+    found = with_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    names = F.array_sort(F.array_distinct(F.col("licenses.matches.license")))
+    spans = F.transform("licenses.matches", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    ids = F.array_join(F.transform("licenses.ids", lambda x: x.cast("string")), ",")
+    known = F.size(F.filter("licenses.ids", lambda x: x > 0)).cast("long")
+    return found.select("doc_id", known.alias("n_known"), ids.alias("sentence_ids"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
