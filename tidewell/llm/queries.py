@@ -12,6 +12,7 @@ from tidewell.llm.jaccard import jaccard_components
 from tidewell.llm.licenses import with_licenses
 from tidewell.llm.lines import line_verdicts
 from tidewell.llm.packing import pack_documents
+from tidewell.llm.pieces import decode_pieces
 from tidewell.llm.quality import judge
 from tidewell.llm.secrets import train, with_secrets
 from tidewell.llm.sharding import kd_shards
@@ -180,3 +181,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.transform("licenses.ids", lambda x: x.cast("string")), ",")
     known = F.size(F.filter("licenses.ids", lambda x: x > 0)).cast("long")
     return found.select("doc_id", known.alias("n_known"), ids.alias("sentence_ids"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text under the piece vocabulary, and the hash of what they decode to."""
+    found = decode_pieces(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", "ids_crc32", "n_chunks", F.sha2("decoded", 256).alias("decoded_sha256"))
