@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.quality import words_of
@@ -208,10 +208,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     prefix = sets.select("sig", "set").mapInPandas(_prefix_rows(frequent, percent), "gram long, hot boolean, sig long, n int, pos int, hots int")
     entry = F.struct("sig", "n", "hots")
-    rare = prefix.filter("not hot or gram < %d" % COUNTED_BELOW)
-    # One pass writes the few rows that matter: groups of rare n-grams with two classes or more, and the rows of the others.
     grouped = prefix.filter("not hot").groupBy("gram").agg(F.collect_set(entry).alias("x")).filter(F.size("x") > 1)
-    del rare
     left, right = F.col("l"), F.col("r")
     pairs = grouped.select("x", F.explode("x").alias("l")).select("l", F.explode(F.filter("x", lambda r: r["sig"] > F.col("l.sig"))).alias("r"))
     fits = (100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"]))
@@ -254,14 +251,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one that names it. Documents without words are all kept; columns are those of ``docs``.
+    """One document of each component: the one that names it; columns are those of ``docs``.
 
-    Of rows with the same key and component the one with the least text stays.
+    A document without words is a component of its own. Of several rows with the key that names a component the one with the least
+    text stays; rows with a null key all stay.
     """
-    found = jaccard_components(docs, key, text, n, percent)
-    keep = found.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    kept = docs.join(keep, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
-    twice = found.groupBy(key).count().filter("count > 1").filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"))
-    single = kept.join(twice, F.col(key) == F.col("_k"), "left_anti")
-    repeated = kept.join(twice, F.col(key) == F.col("_k"), "left_semi").dropDuplicates([key, text])
-    return single.unionByName(repeated).select(*docs.columns)
+    found = materialize(jaccard_components(docs, key, text, n, percent).withColumnRenamed(key, "_k"), "components")
+    keep = found.filter(F.col("_k").isNull() | (F.col("_k") == F.col("component_id")))
+    keep = keep.groupBy("_k").agg(F.count("*").alias("rows"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    kept = rows.join(keep, F.col("_key").eqNullSafe(F.col("_k")))
+    # A key that names its component more than once: rows without words, or repeated rows, of which the least text stays.
+    several = (F.col("rows") > 1) & F.col("_k").isNotNull()
+    single = kept.filter(~several).select("doc")
+    least = Window.partitionBy("_k").orderBy("_t")
+    repeated = kept.filter(several).withColumn("_at", F.row_number().over(least)).filter("_at = 1").select("doc")
+    return single.unionByName(repeated).select("doc.*")

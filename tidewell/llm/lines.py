@@ -133,9 +133,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     Texts without a duplicate line are left as they are. A document that had lines with words and lost all of them goes; an empty or null text
     stays as it was. Columns are those of ``docs``.
     """
-    verdicts = line_verdicts(docs, key, text, min_words).select("_rid", F.col("n_lines").alias("_n"), F.col("kept").alias("_kept"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(verdicts, "_rid")
-    gone = F.size("_kept") < F.col("_n")
-    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~x.rlike("[^ \\t-\\r]") | F.array_contains("_kept", i))
-    out = rows.filter((F.col("_n") == 0) | (F.size("_kept") > 0))
-    return out.withColumn(text, F.when(gone, F.array_join(left, "\n")).otherwise(F.col(text))).select(*docs.columns)
+    verdicts = line_verdicts(docs, key, text, min_words).select("_rid", "n_lines", "kept")
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_rid")).join(verdicts, "_rid")
+    was = F.col("doc")[text]
+    left = F.filter(F.split(was, "\n"), lambda x, i: ~x.rlike("[^ \\t-\\r]") | F.array_contains("kept", i))
+    new = F.when(F.size("kept") < F.col("n_lines"), F.array_join(left, "\n")).otherwise(was)
+    rows = rows.filter((F.col("n_lines") == 0) | (F.size("kept") > 0))
+    return rows.select(F.col("doc").withField(text, new).alias("doc")).select("doc.*")

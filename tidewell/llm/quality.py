@@ -73,22 +73,22 @@ def rule_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_w", "_l", "_n", "_s", "_p", "_q", "_d", "_a", "_b", "_m")
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 100, min_distinct_share: float = 0.5, min_left_share: float = 0.2, keep_text: bool = True) -> DataFrame:
-    """``docs`` with the rule columns, ``boiler`` (hashes of its lines above the limit), words_removed and kept.
+def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 100, min_distinct_share: float = 0.5, min_left_share: float = 0.2, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc`` (a struct of its columns, or of those in ``keep``), the rule columns, ``boiler`` (hashes of its
+    lines above the limit), words_removed and kept.
 
     A line is above the limit if more than ``max_docs`` distinct documents of one host carry it; a document is kept if the base
     rules pass and more than ``min_left_share`` of its words are left. A null host is the host "". Rows with the same
-    id or text are rows of their own and all get a verdict; an empty table gives an empty result.
-    With ``keep_text`` False the text is not carried along.
+    id or text are rows of their own and all get a verdict; an empty table gives an empty result; column names cannot clash.
     """
-    marked = rule_columns(docs, text).withColumn("_rid", F.monotonically_increasing_id()).withColumn("_host", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))))
-    base = materialize(marked if keep_text else marked.drop(text), "quality")
-    rows = base.select("_rid", "_host", F.explode("_lines").alias("x")).select("_rid", "_host", "x.*")
-    carriers = rows.filter("first").groupBy("_host", "h", "sig").agg(F.count("*").alias("n"))
+    fields = F.struct(*(docs.columns if keep is None else keep)).alias("doc")
+    rows = docs.select(fields, F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.col(text).alias("_text"))
+    base = materialize(rule_columns(rows, "_text").drop("_text").withColumn("_rid", F.monotonically_increasing_id()), "quality")
+    lines = base.select("_rid", "_host", F.explode("_lines").alias("x")).select("_rid", "_host", "x.*")
+    carriers = lines.filter("first").groupBy("_host", "h", "sig").agg(F.count("*").alias("n"))
     counts = carriers.groupBy("_host", "h").agg(F.count("*").alias("distinct_docs"), F.sum("n").alias("n"))
     above = counts.filter((F.col("distinct_docs") > max_docs) & (F.col("distinct_docs") >= min_distinct_share * F.col("n"))).select("_host", "h")
-    hit = rows.join(above, ["_host", "h"])
-    lost = hit.groupBy("_rid").agg(F.sum("words").alias("words_removed"), F.collect_set("h").alias("boiler"))
+    lost = lines.join(above, ["_host", "h"]).groupBy("_rid").agg(F.sum("words").alias("words_removed"), F.collect_set("h").alias("boiler"))
     out = base.join(lost, "_rid", "left")
     removed = F.coalesce("words_removed", F.lit(0))
     left = F.col("n_words") - removed
@@ -103,6 +103,7 @@ def clean(docs: DataFrame, host: str = "source", text: str = "text", **limits) -
     """Kept documents with their lines above the limit taken out of the text; the columns are those of ``docs``."""
     judged = judge(docs, host, text, **limits).filter("kept")
     normal = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACES, " "))))
-    parts = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(VISIBLE) | ~F.array_contains("boiler", normal(x)))
-    new = F.when(F.size("boiler") > 0, F.array_join(parts, "\n")).otherwise(F.col(text))
-    return judged.withColumn(text, new).select(*docs.columns)
+    was = F.col("doc")[text]
+    parts = F.filter(F.split(was, "\n"), lambda x: ~x.rlike(VISIBLE) | ~F.array_contains("boiler", normal(x)))
+    new = F.when(F.size("boiler") > 0, F.array_join(parts, "\n")).otherwise(was)
+    return judged.select(F.col("doc").withField(text, new).alias("doc")).select("doc.*")

@@ -48,8 +48,8 @@ def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the verdict of cross-document line frequency for every document."""
-    judged = judge(documents(spark, sf_dir).select("doc_id", "source", "text"), keep_text=False)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+    judged = judge(documents(spark, sf_dir), keep=["doc_id"])
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
 
 
 @query
