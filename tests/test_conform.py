@@ -24,7 +24,7 @@ def test_region(spark):
         (dict(city="", dist="", addr="火星市某區"), ("", "")), (dict(city="台中市", dist="", addr="台中市西屯區臺灣大道"), ("臺中市", "")), (dict(city=" 臺東縣 ", dist="", addr="臺東縣台東市中山路"), ("臺東縣", "臺東市")),
     ]
     df = raw(spark, [base(i, **kw) for i, (kw, _) in enumerate(cases)])
-    got = {r["id"]: (r["city"], r["dist"]) for r in B.derive_region(df, "id", fixed.city_list(spark)).collect()}
+    got = {r["id"]: (r["city"], r["dist"]) for r in B.derive_region(df, fixed.city_list(spark)).collect()}
     # The city prefix is compared before its spelling is unified, so 台中市 is not cut from 臺中市….
     assert got[4][0] == "臺中市"
     assert {k: v for k, v in got.items() if k != 4} == {i: want for i, (_, want) in enumerate(cases) if i != 4}

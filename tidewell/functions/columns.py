@@ -113,9 +113,11 @@ def normalize_latin(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, "['’‘`]", ""), "[^a-z0-9]+", " "))
 
 
-def clean_text(c: Column, max_len: int) -> Column:
-    """Tabs and line ends to spaces, unsafe characters removed, trimmed, cut to ``max_len`` code points."""
+def clean_text(c: Column, max_len: int | None) -> Column:
+    """Tabs and line ends to spaces, unsafe characters removed, trimmed, cut to ``max_len`` code points unless that is None."""
     s = trim_space(F.regexp_replace(F.regexp_replace(c, SPACE_CONTROLS, " "), UNSAFE_CHARS, ""))
+    if max_len is None:
+        return s
     return F.when(F.char_length(s) > max_len, trim_space(F.substring(s, 1, max_len))).otherwise(s)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
-from tidewell.operators.skew import salted_join
 
 # Fixed value: the open box facilities must lie in (south, north, west, east).
 BOX = (21.0, 27.0, 117.0, 123.0)
@@ -27,26 +26,22 @@ def normalize_facilities(raw: DataFrame, product_map: DataFrame, cities: DataFra
     """
     inside = in_box(F.col("lat"), F.col("lng"))
     ok = raw.filter(inside)
-    stock, _ = inventory_to_stock(ok.select("id", "inventory"), product_map)
-    stock_map = stock.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("product_id", "in_stock")))).alias("stock"))
-    region = derive_region(ok, "id", cities)
     digits = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", "")
     main = digits(F.col("tel"))
     phones = F.filter("inventory", lambda v: (F.coalesce(v["phone"], F.lit("")) != "") & (digits(v["phone"]) != main))
     urls = F.filter("inventory", lambda v: C.clean_https_url(v["url"]).isNotNull())
-    facility = (
-        conform_hours(region)
-        .join(stock_map, "id", "left")
-        .select(
-            "id", "code", "name", "city", "dist", "addr", "tel",
-            F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
-            "hours", "stock",
-            C.clean_phone(F.try_element_at(phones, F.lit(-1))["phone"]).alias("appt_tel"),
-            F.try_element_at(urls, F.lit(-1))["url"].alias("appt_url"),
-        )
+    # Stock and region are made in the row itself: ids are not unique before the repeated codes are gone.
+    region = derive_region(ok, cities)
+    facility = conform_hours(region).withColumn("_map", _dictionary(product_map, "src_id", "product_id")).select(
+        "id", "code", "name", "city", "dist", "addr", "tel",
+        F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
+        "hours", stock_map("inventory", "_map").alias("stock"),
+        C.clean_phone(F.try_element_at(phones, F.lit(-1))["phone"]).alias("appt_tel"),
+        F.try_element_at(urls, F.lit(-1))["url"].alias("appt_url"),
+        *[F.col(c) for c in ("note",) if c in raw.columns],
     )
     kept, dropped = dedup_keep_latest(facility, ["code"], "id")
-    unknown = ok.select("id", F.explode(F.array_distinct(F.transform("inventory", lambda v: v["product"]))).alias("src_id")).join(product_map, "src_id", "left_anti")
+    unknown = ok.select("id", F.explode(F.array_compact(F.array_distinct(F.transform("inventory", lambda v: v["product"])))).alias("src_id")).join(product_map, "src_id", "left_anti")
     warnings = (
         raw.filter(~inside).select("id", F.lit("coordinates out of range").alias("warning"))
         .unionByName(region.filter("city = ''").select("id", F.lit("city unknown").alias("warning")))
@@ -56,38 +51,54 @@ def normalize_facilities(raw: DataFrame, product_map: DataFrame, cities: DataFra
     return kept, warnings
 
 
-def derive_region(df: DataFrame, key: str, cities: DataFrame) -> DataFrame:
+def _dictionary(df: DataFrame, *fields: str) -> Column:
+    """A small catalogue table as one array of its rows, ordered, for use inside the rows of another table."""
+    return df.agg(F.array_sort(F.collect_list(F.struct(*fields)))).scalar()
+
+
+def derive_region(df: DataFrame, cities: DataFrame) -> DataFrame:
     """B2: fill a blank city from the address prefix and a blank district from what follows it.
 
-    The prefix test is an equality join: each blank row offers its address prefixes as keys.
+    ``cities`` (city, ord) is a catalogue; the first city in its order that the address begins with is taken, of any length.
     """
     base = (
         df.withColumn("_a", F.trim(F.translate(F.regexp_replace(F.coalesce("addr", F.lit("")), r"^\d{3,6}", ""), "台", "臺")))
         .withColumn("_c", F.trim(F.coalesce("city", F.lit(""))))
         .withColumn("_d", F.regexp_replace(F.trim(F.coalesce("dist", F.lit(""))), "第.+$", ""))
+        .withColumn("_names", _dictionary(cities, "ord", "city"))
     )
-    longest = 40
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(longest), F.char_length("_a")))), lambda i: F.substr(F.col("_a"), F.lit(1), i)
-    )
-    blank = base.filter(F.col("_c") == "").select(key, F.explode(prefixes).alias("_p"))
-    names = cities.select(F.col("city").alias("_p"), F.col("ord").alias("_ord"))
-    found = blank.join(names, "_p").groupBy(key).agg(F.min_by("_p", "_ord").alias("_found"))
-    city = F.when(F.col("_c") == "", F.coalesce("_found", F.lit(""))).otherwise(F.col("_c"))
-    out = base.join(found, key, "left").withColumn("_city", city)
+    found = F.get(F.filter("_names", lambda n: (n["city"] != "") & F.startswith(F.col("_a"), n["city"])), F.lit(0))["city"]
+    city = F.when(F.col("_c") == "", F.coalesce(found, F.lit(""))).otherwise(F.col("_c"))
+    out = base.withColumn("_city", city)
     rest = F.when(F.startswith("_a", "_city"), F.substr(F.col("_a"), F.char_length("_city") + 1)).otherwise(F.col("_a"))
     dist = F.when((F.col("_d") == "") & (F.col("_city") != ""), F.regexp_extract(rest, "^(.{1,4}?[區鄉鎮市])", 1)).otherwise(F.col("_d"))
     return (
         out.withColumn("dist", F.translate(dist, "台", "臺"))
         .withColumn("city", F.translate("_city", "台", "臺"))
-        .drop("_a", "_c", "_d", "_city", "_found")
+        .drop("_a", "_c", "_d", "_city", "_names")
     )
 
 
+def in_stock(quantity: Column) -> Column:
+    """1 for a quantity above 0; a missing one and one that is no number count as 0."""
+    q = F.coalesce(quantity.cast("double"), F.lit(0.0))
+    return ((q > 0) & ~F.isnan(q)).cast("int")
+
+
+def stock_map(inventory: str, names: str) -> Column:
+    """The row's ``inventory`` as product -> 0/1, last entry wins; ``names`` is the array of (src_id, product_id)."""
+    entry = F.transform(inventory, lambda v: F.struct(
+        F.get(F.filter(names, lambda n: n["src_id"] == v["product"]), F.lit(0))["product_id"].alias("p"), in_stock(v["quantity"]).alias("f")))
+    known = F.filter(entry, lambda e: e["p"].isNotNull())
+    products = F.array_sort(F.array_distinct(F.transform(known, lambda e: e["p"])))
+    pairs = F.transform(products, lambda p: F.struct(p, F.element_at(F.filter(known, lambda e: e["p"] == p), -1)["f"]))
+    return F.when(F.size(products) > 0, F.map_from_entries(pairs))
+
+
 def inventory_to_stock(raw: DataFrame, product_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``inventory`` array to (id, product_id, in_stock), last entry wins; and counts of unknown ids."""
     entry = raw.select("id", F.posexplode("inventory").alias("pos", "v")).select(
-        "id", "pos", F.col("v.product").alias("src_id"), (F.coalesce("v.quantity", F.lit(0.0)) > 0).cast("int").alias("flag")
+        "id", "pos", F.col("v.product").alias("src_id"), in_stock(F.col("v.quantity")).alias("flag")
     )
     stock = entry.join(product_map, "src_id").groupBy("id", "product_id").agg(F.max_by("flag", "pos").alias("in_stock"))
     unknown = entry.join(product_map, "src_id", "left_anti").groupBy("src_id").agg(F.count("*").alias("n"))
@@ -95,23 +106,30 @@ def inventory_to_stock(raw: DataFrame, product_map: DataFrame) -> tuple[DataFram
 
 
 def conform_hours(df: DataFrame, days: str = "days") -> DataFrame:
-    """Struct Day1..Day7 to a seven-element array; a bad value empties the whole week."""
-    raw = F.array(*[F.coalesce(F.col(f"{days}.Day{d}").cast("long"), F.lit(0)) for d in range(1, 8)])
-    valid = F.forall(raw, lambda x: (x >= 0) & (x <= 7))
-    return df.withColumn("hours", F.when(valid, F.transform(raw, lambda x: x.cast("int"))).otherwise(F.array(*[F.lit(0)] * 7))).drop(days)
+    """Struct Day1..Day7 to a seven-element array; a bad value empties the whole week.
+
+    A missing day is 0. The days may be numbers or their text; text that is no whole number is a bad value.
+    """
+    text = F.array(*[F.coalesce(F.col(f"{days}.Day{d}").cast("string"), F.lit("0")) for d in range(1, 8)])
+    whole = F.forall(text, lambda x: x.rlike(r"^[0-7](\.0+)?$"))
+    hours = F.transform(text, lambda x: F.substring(x, 1, 1).cast("int"))
+    return df.withColumn("hours", F.when(whole, hours).otherwise(F.array(*[F.lit(0)] * 7))).drop(days)
 
 
 def dedup_keep_latest(df: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """The row with the greatest ``order`` per key, and the others with the winner's value.
 
-    The kept side is a rank-limited window (map-side limited); the dropped side joins the one-row-per-key
-    winners back with salt, so a key with many copies is shared by many tasks.
+    Of rows tied for the greatest value one is kept, the others are reported. The kept side is a rank-limited window
+    (map-side limited); the dropped side joins the one-row-per-key winners back, and only tied rows are ranked.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    tie = F.xxhash64(F.to_json(F.struct("*")))
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), tie)
     kept = df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     winners = df.groupBy(*keys).agg(F.max(order).alias("winner"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    dropped = salted_join(df, winners, keys, F.col(order)).filter(F.col(order) != F.col("winner"))
-    return kept, dropped
+    joined = df.join(winners, keys)
+    tied = joined.filter(F.col(order) == F.col("winner"))
+    again = tied.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.to_json(F.struct(*df.columns)))))).filter("_rn > 1").drop("_rn")
+    return kept, joined.filter(F.col(order) != F.col("winner")).unionByName(again)
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -120,8 +138,8 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def conform_text(df: DataFrame, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """Cleaned text columns, and the number of rows each column changed in."""
+def conform_text(df: DataFrame, limits: dict[str, int | None]) -> tuple[DataFrame, DataFrame]:
+    """Cleaned text columns, and the number of rows each column changed in. A limit of None does not cut."""
     clean = {c: C.clean_text(F.col(c), n) for c, n in limits.items()}
     counts = df.agg(*[F.count_if(~F.col(c).eqNullSafe(x)).alias(c) for c, x in clean.items()])
     report = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("changed")) for c in limits])).alias("r")).select("r.*")

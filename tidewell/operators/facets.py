@@ -79,12 +79,13 @@ def count_label(n: Column) -> Column:
 def cluster_cells(points: DataFrame, zoom: int) -> DataFrame:
     """Markers per map cell with their status counts and cumulative shares.
 
-    points: id, lat, lng, status. From zoom 17 every place stands alone, so the cell is one pixel.
+    points: id, lat, lng, status. From zoom 17 every place stands alone, also where several share a pixel.
     """
     size = 1 if zoom >= NO_CLUSTER_ZOOM else CLUSTER_PIXELS_CLOSE if zoom >= CLOSE_ZOOM else CLUSTER_PIXELS
     x, y = pixel_xy(F.col("lat"), F.col("lng"), zoom)
-    cell = points.select(F.floor(x / size).alias("cell_x"), F.floor(y / size).alias("cell_y"), "status")
-    counts = cell.groupBy("cell_x", "cell_y").agg(
+    alone = ["id"] if zoom >= NO_CLUSTER_ZOOM else []
+    cell = points.select(F.floor(x / size).alias("cell_x"), F.floor(y / size).alias("cell_y"), "status", *alone)
+    counts = cell.groupBy("cell_x", "cell_y", *alone).agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "nostock").alias("nostock")
     )
     n = F.col("n")

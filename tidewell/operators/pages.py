@@ -263,28 +263,29 @@ def pair_title_url(block: DataFrame, page: str = "page_id", max_title: int = PAI
     return numbered.withColumn("list_no", F.when(F.col("href").isNotNull(), F.col("_n"))).drop("_url", "_title", "_taken", "_href", "_first", "_n")
 
 
-def nest_items(item: DataFrame, part: str = "list_id", max_level: int = 5) -> DataFrame:
+def nest_items(item: DataFrame, part: str = "list_id") -> DataFrame:
     """Parent (nearest earlier item of a lower level) and depth of every list item.
 
     One running maximum per level replaces the pairing of items: the last item seen on each lower level is
     enough, and it is an ancestor exactly when nothing of a still lower level came after it.
     """
-    last = {f"_l{v}": F.when(F.col("level") == v, F.col("pos")) for v in range(max_level)}
+    levels = sorted(r["level"] for r in item.select("level").distinct().collect() if r["level"] is not None)  # the depths in use, a few numbers
+    last = {f"_l{v}": F.when(F.col("level") == v, F.col("pos")) for v in levels}
     seen = chunked_running_max(item, [part], ["pos"], F.floor(F.col("pos") / CHUNK), last)
-    lower = [F.when(F.col("level") > v, F.col(f"_l{v}")) for v in range(max_level)]
+    lower = [F.when(F.col("level") > v, F.col(f"_l{v}")) for v in levels]
     none = F.lit(-1)
     ancestor = []
-    for v in range(max_level):
+    for v in range(len(levels)):
         below = F.greatest(none, *[F.coalesce(x, none) for x in lower[:v]]) if v else none
         ancestor.append((F.coalesce(lower[v], none) > below).cast("int"))
-    parent = F.greatest(none, *[F.coalesce(x, none) for x in lower])
-    return seen.withColumns({"parent": F.when(parent >= 0, parent), "depth": reduce(lambda a, b: a + b, ancestor)}).drop(*last)
+    parent = F.greatest(none, none, *[F.coalesce(x, none) for x in lower])
+    return seen.withColumns({"parent": F.when(parent >= 0, parent), "depth": reduce(lambda a, b: a + b, ancestor, F.lit(0))}).drop(*last)
 
 
 def split_link_lists(run: DataFrame, part: list[str]) -> DataFrame:
     """Paragraphs that are really link lists, as (part, item, text, href).
 
-    A list has at least six items, at least half of them linked, none over 40 characters.
+    A list has at least six runs and six items, at least half of them linked, none over 40 characters.
     """
     piece = F.when(F.col("href").isNull(), F.split("text", LIST_SEPARATOR)).otherwise(F.array("text"))
     pieces = run.select(*part, "pos", "href", F.posexplode(piece).alias("piece_no", "piece"))
@@ -299,8 +300,9 @@ def split_link_lists(run: DataFrame, part: list[str]) -> DataFrame:
     closed = F.when(F.col("text").rlike("（[^）]*$"), F.concat("text", F.lit("）"))).when(F.col("text").rlike(r"[(（][^)）]*$"), F.concat("text", F.lit(")"))).otherwise(F.col("text"))
     items = joined.withColumn("text", text).withColumn("text", closed).filter("text <> ''")
     lists = items.groupBy(*part).agg(F.count("*").alias("_n"), F.count("href").alias("_linked"), F.max(F.char_length("text")).alias("_longest"))
-    lists = lists.filter("_n >= 6 and _linked * 2 >= _n and _longest <= 40").select(*part)
-    return salted_join(items, lists, part, F.col("item"), salts=8)
+    runs = run.groupBy(*part).agg(F.count("*").alias("_runs")).filter("_runs >= 6").select(*part)
+    lists = lists.filter("_n >= 6 and _linked * 2 >= _n and _longest <= 40").select(*part).join(runs, part)
+    return items.join(lists, part)
 
 
 def dedup_links(link: DataFrame, part: list[str]) -> DataFrame:

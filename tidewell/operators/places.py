@@ -38,13 +38,14 @@ def lookup_place(df: DataFrame, place: DataFrame, reading: DataFrame) -> DataFra
     )
 
 
-def segment_longest(df: DataFrame, key: str, text: str, lexicon: DataFrame, lengths: list[int]) -> DataFrame:
+def segment_longest(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """(key, pos, start, token, kind), the longest lexicon entry at each place from left to right.
 
     lexicon: token, kind; a ``term`` may start anywhere, other kinds only where no unknown letters come right
-    before. Stretches without an entry come back as kind ``run``. ``lengths`` are the entry lengths in use; each
-    substring of such a length is one equality key into the lexicon, whatever its size.
+    before. Stretches without an entry come back as kind ``run``. Each substring of the length of some entry is
+    one equality key into the lexicon, whatever its size.
     """
+    lengths = sorted(r["n"] for r in lexicon.select(F.char_length("token").alias("n")).distinct().collect() if r["n"])  # a few numbers
     letter = r"^[\p{L}\p{N}]"
     c, size = F.col(text), F.char_length(text)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
@@ -33,14 +32,14 @@ def even_sample(df: DataFrame, n: int, order: str, rows_per_bucket: int = 1_000_
     """H2: the rows at positions floor(i * N / n) of the table sorted by the unique numeric column ``order``.
 
     The table is cut into ordered buckets at approximate quantiles, so that a position becomes (bucket, rank) and
-    no task ever sorts more than one bucket. Only bucket bounds and counts (a few thousand numbers at most)
+    no task ever sorts more than one bucket. Only bucket bounds and counts (one each for a million rows)
     reach the driver; exactness does not depend on where the bounds fall.
     """
     total = df.count()
     if total == 0:
         return df
     n = min(n, total)
-    wanted_buckets = max(1, min(5000, total // rows_per_bucket))
+    wanted_buckets = max(1, total // rows_per_bucket)
     probs = [i / wanted_buckets for i in range(1, wanted_buckets)]
     bounds = sorted(set(df.approxQuantile(order, probs, 0.1 / wanted_buckets))) if probs else []
     bounds = bounds or [0.0]
@@ -49,12 +48,11 @@ def even_sample(df: DataFrame, n: int, order: str, rows_per_bucket: int = 1_000_
     counts = {r["_bucket"]: r["count"] for r in bucketed.groupBy("_bucket").count().collect()}
     buckets = sorted(counts)
     starts = [0, *accumulate(counts[b] for b in buckets)]
-    places = []
-    for i in range(n):
-        at = i * total // n
-        j = bisect_right(starts, at) - 1
-        places.append((buckets[j], at - starts[j] + 1, i))
-    wanted = df.sparkSession.createDataFrame(places, "_bucket int, _rn int, sample_no int")
+    # The bucket of a position is found among the buckets' starts; positions are made where they are used.
+    at = F.expr(f"id * {total}L div {n}L")
+    firsts = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(k).alias("k")) for b, k in zip(buckets, starts)])
+    places = df.sparkSession.range(n).withColumn("_at", at).withColumn("_home", F.element_at(F.filter(firsts, lambda x: x["k"] <= F.col("_at")), -1))
+    wanted = places.select(F.col("_home.b").alias("_bucket"), (F.col("_at") - F.col("_home.k") + 1).cast("int").alias("_rn"), F.col("id").cast("int").alias("sample_no"))
     ranked = bucketed.join(wanted.select("_bucket").distinct(), "_bucket", "left_semi")
     ranked = ranked.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
     return ranked.join(wanted, ["_bucket", "_rn"]).drop("_bucket", "_rn")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
 from tidewell.operators.grid import nearest_k
-from tidewell.session import materialize, spread
+from tidewell.session import materialize
 
 # ---------------------------------------------------------------- fixed values
 # Abbreviations people type, and the wording that names contain (normalised spelling).
@@ -139,15 +139,17 @@ def build_place_aliases(label: DataFrame) -> DataFrame:
     return full.unionByName(extra.join(full, "alias", "left_anti"))
 
 
-def apply_aliases(queries: DataFrame, aliases: DataFrame, max_words: int = 5) -> DataFrame:
+def apply_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Query text with whole-word aliases replaced, leftmost first and the longest at each place.
 
-    Each word sequence of a query is one join key, so the alias table may be of any size.
+    Each word sequence of a query is one join key, so the alias table may be of any size; the longest alias decides how long they get.
     """
+    longest = aliases.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))))).scalar()
     text = F.regexp_replace(C.fold_width(F.coalesce("q", F.lit(""))), r"\s+", " ")
     pieces = queries.select("query_id", F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0)).alias("w"))
     start = pieces.select("query_id", "w", F.posexplode("w").alias("i", "piece")).filter(F.col("piece").rlike(r"^[\p{L}\p{N}]"))
-    span = start.withColumn("n", F.explode(F.array(*[F.lit(2 * m - 1) for m in range(1, max_words + 1)]))).filter("i + n <= size(w)")
+    lengths = F.sequence(F.lit(1), F.greatest(F.least(F.coalesce("_longest", F.lit(1)), F.size("w") - F.col("i")), F.lit(1)), F.lit(2))
+    span = start.withColumn("_longest", longest).withColumn("n", F.explode(lengths)).filter("i + n <= size(w)")
     phrase = F.lower(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), ""))
     hits = (
         span.select("query_id", "i", "n", phrase.alias("alias")).join(aliases, "alias")
@@ -370,7 +372,7 @@ def match_requests(request: DataFrame, facility: DataFrame, offering: DataFrame,
         .withColumn("offers", F.coalesce("offers", none))
         .withColumn("offers", F.array_append("offers", any_offer))
     )
-    base = spread(materialize(base, "facilities"))
+    base = materialize(base, "facilities")
     items = base.select(F.col("id").alias("item_id"), "name", F.concat(F.coalesce("city", F.lit("")), F.coalesce("dist", F.lit(""))).alias("area"), "addr")
     texts = request.filter(has_text).select(F.col("q").alias("query_id"), "q").distinct()
     found = search_score(items, tokenize_queries(texts, aliases)).select(

@@ -50,7 +50,7 @@ def b1_warnings(t):
 
 @query("b2_derive_region", "SELECT id, city, dist FROM v_raw_region")
 def b2(t):
-    return B.derive_region(t.raw_facility(), "id", t.city_list()).select("id", "city", "dist")
+    return B.derive_region(t.raw_facility(), t.city_list()).select("id", "city", "dist")
 
 
 @query("b3_inventory_to_stock", "SELECT id, product_id, CAST(in_stock AS INTEGER) AS in_stock FROM v_raw_stock")
@@ -106,7 +106,7 @@ def b6(t):
     return B.dedup_keep_first(hashed(t), ["content"], "doc_id").select("doc_id", "content")
 
 
-WHOLE = 100_000_000  # no cap: documents are cleaned whole
+WHOLE = None  # documents are cleaned whole
 
 
 @query("b7_conform_text", f"""

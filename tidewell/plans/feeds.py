@@ -24,14 +24,14 @@ def raw_json(t):
 
 
 @query("a1_read_raw", """
-    SELECT r.id, r.code, r.city, r.addr, r.lat, v.src_id, CAST(v.q AS DOUBLE) AS quantity FROM v_raw r JOIN v_raw_inventory v ON v.id = r.id AND v.pos = 0 WHERE r.id % 2 = 0""")
+    SELECT r.id, r.code, r.city, r.addr, r.lat, CAST(v.pos AS INTEGER) AS pos, v.src_id, CAST(v.q AS DOUBLE) AS quantity FROM v_raw r JOIN v_raw_inventory v ON v.id = r.id WHERE r.id % 2 = 0""")
 def a1(t):
     root = fresh_path(t.spark, "raw")
     raw_json(t).write.json(f"{root}/raw_20240101-0000.json", compression="gzip")
     raw_json(t).filter("Id % 2 = 0").write.json(f"{root}/raw_20240108-0000.json", compression="gzip")
     rows = readers.raw_columns(readers.read_raw(t.spark, root))
-    first = F.get("inventory", 0)
-    return rows.select("id", "code", "city", "addr", "lat", first["product"].alias("src_id"), first["quantity"].alias("quantity"))
+    entries = rows.select("id", "code", "city", "addr", "lat", F.posexplode("inventory").alias("pos", "v"))
+    return entries.select("id", "code", "city", "addr", "lat", "pos", F.col("v.product").alias("src_id"), F.col("v.quantity").alias("quantity"))
 
 
 def dataset_files(t):

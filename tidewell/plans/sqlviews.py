@@ -34,7 +34,7 @@ VIEWS = {
         FROM v_raw_day GROUP BY id""",
     "v_raw_inventory": """
         SELECT id, 0 AS pos, 'SRC_FLU' AS src_id, id % 5 - 1 AS q FROM v_raw
-        UNION ALL SELECT id, 1, 'SRC_COV', CASE WHEN id % 6 <> 0 THEN 1000000 END FROM v_raw
+        UNION ALL SELECT id, 1, 'SRC_COV', CASE WHEN id % 6 <> 0 THEN 1000000000000000 END FROM v_raw
         UNION ALL SELECT id, 2, CASE WHEN id % 4 = 0 THEN 'SRC_FLU' ELSE 'SRC_PCV' END, id % 2 FROM v_raw
         UNION ALL SELECT id, 3, 'SRC_X' || CAST(id % 3 AS VARCHAR), 1 FROM v_raw""",
     "v_raw_stock": """

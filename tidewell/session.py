@@ -22,6 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("tidewell.text.partitions", cores if cores.isdigit() else "8")  # one small file would be one task
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -59,12 +60,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, most: int = 32) -> DataFrame:
-    """Share the rows of a small table among the cores before work that is heavy per row.
-
-    A table in one or two files would run in one or two tasks. Tables with ``most`` splits or more are left alone,
-    so nothing large is ever moved for this.
-    """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

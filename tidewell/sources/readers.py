@@ -12,20 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INVENTORY = "array<struct<VaccineId: string, VaccInventory: double, AppointmentPhone: string, AppointmentUrl: string>>"
-DAYS = "struct<Day1: int, Day2: int, Day3: int, Day4: int, Day5: int, Day6: int, Day7: int>"
+# Days are read as text, so that a value of the wrong type is not taken for a missing one.
+DAYS = "struct<Day1: string, Day2: string, Day3: string, Day4: string, Day5: string, Day6: string, Day7: string>"
 RAW_FIELDS = {
     "Id": "long", "HospitalId": "string", "HospitalName": "string", "City": "string", "Dist": "string", "Address": "string", "Phone": "string",
     "Lat": "double", "Long": "double", "FluOperationTimeData": DAYS, "VaccData": INVENTORY, "Note": "string",
 }
-FACILITY = (
-    f"Id long, HospitalId string, HospitalName string, City string, Dist string, Address string, Phone string, Lat double, `Long` double, "
-    f"FluOperationTimeData {DAYS}, VaccData {INVENTORY}, Note string"
-)
-FACILITY = (
-    f"Id long, HospitalId string, HospitalName string, City string, Dist string, Address string, Phone string, Lat double, `Long` double, "
-    f"FluOperationTimeData {DAYS}, VaccData {INVENTORY}, Note string"
-)
-RAW_SNAPSHOT = f"harvestedAt string, source string, hospitals array<struct<{RAW_FACILITY.replace(' ', ':', 1) if False else ''}>>"
 FACILITY = (
     "struct<id: long, code: string, name: string, city: string, dist: string, addr: string, tel: string, lat: double, lng: double, "
     "hours: array<int>, stock: map<string, int>>"

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
-from tidewell.session import spread
 
 NOW = "2024-01-15 02:30:00"  # UTC; Monday 10:30 local time
 
@@ -30,8 +29,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def text_table(self, name: str) -> DataFrame:
-        """A table of long texts; text jobs are bound by CPU, so a small table is shared among the cores."""
-        return spread(getattr(self, name))
+        """A table of long texts, dealt out to as many partitions as the session asks for (``tidewell.text.partitions``), if it does."""
+        parts = self.spark.conf.get("tidewell.text.partitions", None)
+        table = getattr(self, name)
+        return table.repartition(int(parts)) if parts else table
 
     # ------------------------------------------------------------------ facilities
     def facility_base(self) -> DataFrame:
