@@ -60,114 +60,114 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, capacity:
     return rows.mapInPandas(run, f"doc {kind}, {PIECES}")
 
 
+Bin = tuple[int, list[int]]  # free space, pieces
+
+
 class Bins:
     """A growing set of bins with best-fit insertion in constant time: one bit mask over the free space of all bins."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.items: list[list[int]] = []
-        self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.by_free: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
         self.mask = 0
 
-    def put_bin(self, items: list[int], free: int) -> None:
-        self.by_free[free].append(len(self.items))
+    def put_bin(self, free: int, items: list[int]) -> None:
+        self.by_free[free].append(items)
         self.mask |= 1 << free
-        self.items.append(items)
 
     def best_fit(self, item: int, size: int) -> None:
         room = self.mask >> size
         if not room:
-            self.put_bin([item], self.capacity - size)
+            self.put_bin(self.capacity - size, [item])
             return
         free = size + (room & -room).bit_length() - 1
-        k = self.by_free[free].pop()
+        items = self.by_free[free].pop()
         if not self.by_free[free]:
             self.mask ^= 1 << free
-        self.items[k].append(item)
+        items.append(item)
         left = free - size
-        self.by_free[left].append(k)
+        self.by_free[left].append(items)
         self.mask |= 1 << left
 
+    def bins(self) -> list[Bin]:
+        """All bins, the fullest first."""
+        return [(free, items) for free, many in enumerate(self.by_free) for items in many]
+
 
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
+def fitness(bins: list[Bin], capacity: int) -> float:
     """Fewer bins first, then unevenly filled ones, whose last bins are easy to dissolve."""
-    return -len(bins) + sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / (len(bins) + 1)
+    return -len(bins) + sum((1 - free / capacity) ** 2 for free, _ in bins) / (len(bins) + 1)
 
 
-def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
+def crossover(a: list[Bin], b: list[Bin], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[Bin]:
     """Inject a share of ``a``'s best-filled bins into ``b``, drop the bins of ``b`` they touch, best-fit what is displaced."""
-    ranked = sorted(range(len(a)), key=lambda k: -sum(sizes[i] for i in a[k]))
-    top = ranked[: max(1, len(ranked) * 2 // 3)]
-    chosen = [a[k] for k, keep in zip(top, rng.random(len(top)) < 0.5) if keep]
-    inside = {i for c in chosen for i in c}
-    child = Bins(capacity)
-    for c in chosen:
-        child.put_bin(list(c), capacity - sum(sizes[i] for i in c))
+    top = a[: max(1, len(a) * 2 // 3)]
+    chosen = [x for x, keep in zip(top, (rng.random(len(top)) < 0.5).tolist()) if keep]
+    child, inside = Bins(capacity), set()
+    for free, items in chosen:
+        child.put_bin(free, items.copy())
+        inside.update(items)
     displaced: list[int] = []
-    for c in b:
-        kept = [i for i in c if i not in inside]
-        free = capacity - sum(sizes[i] for i in kept)
-        if len(kept) == len(c) and free <= capacity // 64:
-            child.put_bin(list(c), free)
+    for free, items in b:
+        if inside.isdisjoint(items):
+            child.put_bin(free, items.copy())
         else:
-            displaced += kept
-    for i in sorted(displaced, key=lambda i: -sizes[i]):
+            displaced += [i for i in items if i not in inside]
+    for i in sorted(displaced, key=sizes.__getitem__, reverse=True):
         child.best_fit(i, sizes[i])
-    return child.items
+    return child.bins()
 
 
-def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
+def mutate(bins: list[Bin], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[Bin]:
     """Dissolve the emptiest bins and a few random ones; best-fit their pieces in a slightly shaken order."""
-    order = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
-    out = set(order[: max(1, len(bins) // 20)]) | set(rng.integers(0, len(bins), max(1, len(bins) // 10)).tolist())
+    n = len(bins)
+    out = set(range(n - max(1, n // 20), n)) | set(rng.integers(0, n, max(1, n // 10)).tolist())
     child, loose = Bins(capacity), []
-    for k, b in enumerate(bins):
+    for k, (free, items) in enumerate(bins):
         if k in out:
-            loose += b
+            loose += items
         else:
-            child.put_bin(list(b), capacity - sum(sizes[i] for i in b))
-    shake = rng.normal(0, capacity / 50, len(loose))
-    for _, i in sorted(zip((-sizes[i] + s for i, s in zip(loose, shake)), loose)):
+            child.put_bin(free, items.copy())
+    shake = rng.normal(0, capacity / 50, len(loose)).tolist()
+    for _, i in sorted(zip((s - sizes[i] for i, s in zip(loose, shake)), loose)):
         child.best_fit(i, sizes[i])
-    return child.items
+    return child.bins()
 
 
-def first_fit(sizes: list[int], capacity: int, rng: np.random.Generator, shake: float) -> list[list[int]]:
+def first_fit(sizes: list[int], capacity: int, rng: np.random.Generator, shake: float) -> list[Bin]:
     """Best fit in decreasing size, shaken by ``shake`` tokens."""
-    order = np.argsort(-(np.array(sizes) + rng.normal(0, shake, len(sizes))), kind="stable") if shake else np.argsort(-np.array(sizes), kind="stable")
+    order = np.argsort(-(np.array(sizes) + (rng.normal(0, shake, len(sizes)) if shake else 0)), kind="stable")
     child = Bins(capacity)
     for i in order.tolist():
         child.best_fit(i, sizes[i])
-    return child.items
+    return child.bins()
 
 
-def labels(bins: list[list[int]], n: int) -> list[int]:
+def labels(bins: list[Bin], n: int) -> list[int]:
     out = [0] * n
-    for k, b in enumerate(bins):
-        for i in b:
+    for k, (_, items) in enumerate(bins):
+        for i in items:
             out[i] = k
     return out
 
 
-def from_labels(marks: list[int]) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(max(marks) + 1)] if len(marks) else []
+def from_labels(marks: list[int], sizes: list[int], capacity: int) -> list[Bin]:
+    out: list[list[int]] = [[] for _ in range(max(marks, default=-1) + 1)]
     for i, k in enumerate(marks):
         out[k].append(i)
-    return [b for b in out if b]
+    return sorted(((capacity - sum(sizes[i] for i in b), b) for b in out if b), key=lambda x: x[0])
 
 
-def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, seed: int, population: int, offspring: int) -> list[list[list[int]]]:
+def evolve(sizes: list[int], elites: list[list[Bin]], capacity: int, seed: int, population: int, offspring: int) -> list[list[Bin]]:
     """One epoch of one island; returns its individuals, best first. Stops early at the least possible number of bins."""
     rng = np.random.default_rng(seed)
     least = -(-sum(sizes) // capacity)
     pop = list(elites)
     shake = 0.0 if not pop else capacity / 40
-    while len(pop) < population:
+    while len(pop) < population and min(map(len, pop), default=least + 1) > least:
         pop.append(first_fit(sizes, capacity, rng, shake))
         shake = capacity / 40
-        if len(pop[-1]) <= least:
-            break
-    score = [fitness(p, sizes, capacity) for p in pop]
+    score = [fitness(p, capacity) for p in pop]
     for _ in range(offspring):
         if min(map(len, pop)) <= least or len(pop) < 2:
             break
@@ -176,7 +176,7 @@ def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, seed:
         if rng.random() < 0.5:
             child = mutate(child, sizes, capacity, rng)
         worst = int(np.argmin(score))
-        got = fitness(child, sizes, capacity)
+        got = fitness(child, capacity)
         if got > score[worst]:
             pop[worst], score[worst] = child, got
     return [pop[k] for k in np.argsort(-np.array(score), kind="stable")]
@@ -191,7 +191,7 @@ def _epoch(state: DataFrame, epoch: int, capacity: int, population: int, offspri
             rows = []
             for block, island, sizes, elites in zip(batch["block"], batch["island"], batch["sizes"], batch["elites"]):
                 sizes = [int(x) for x in sizes]
-                start = [from_labels([int(x) for x in e]) for e in elites]
+                start = [from_labels([int(x) for x in e], sizes, capacity) for e in elites]
                 seed = zlib.crc32(f"{block}/{island}/{epoch}".encode())
                 best = evolve(sizes, start, capacity, seed, population, offspring)[:2]
                 rows.append((block, island, sizes, [labels(b, len(sizes)) for b in best]))

@@ -18,7 +18,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 # A word that ends before a mark or white space; marks up to a word; anything else up to white space; white space.
 UNIT = re.compile(f" ?[^\\W\\d_]++(?![\\w'])| ?[^\\w{SPACE}']++(?!['_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 KEPT_UNITS = 150_000  # pieces in each of the two tables of a worker
-AT_ONCE = 1 << 20  # characters cut into pieces at a time
+AT_ONCE = 1 << 21  # characters cut into pieces at a time
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,10 +58,12 @@ class TokenCodec:
         if len(self.known) > KEPT_UNITS:
             self.old, self.known = self.known, {}
         units = units.difference(self.known)
-        for u in units.intersection(self.old):
-            self.known[u] = self.old[u]
-        units.difference_update(self.old)
-        stems = list(units)
+        stems = []
+        for u in units:
+            if u in self.old:
+                self.known[u] = self.old[u]
+            else:
+                stems.append(u)
         plain = [u for u in stems if (u[1:] if u[0] == " " else u).isalpha()]
         self._learn_words(plain)
         rest = [u for u in stems if u not in self.known]
@@ -73,7 +75,7 @@ class TokenCodec:
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
             text = "\n".join(some).encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.words.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             # A token is as long as the bytes it stands for, so lengths tell which tokens are whose.
             ends = np.cumsum([len(w) for w in text.split("\n")])
             cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1
