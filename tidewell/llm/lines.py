@@ -42,16 +42,17 @@ VARIANTS = "v long, at int, n int, line long, doc {kind}, rid long, no int"
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        parts = []
-        for row in batch.itertuples(index=False):
-            keys = variant_keys(np.asarray(row.words, dtype=np.int64))
-            n = len(keys) - 1
-            parts.append(pd.DataFrame({"v": keys, "at": np.append(np.arange(n), -1), "n": np.append(np.full(n, n - 1), n), "line": row.line, "doc": row.doc, "rid": row.rid, "no": row.no}))
-            if len(parts) >= 500:
-                yield pd.concat(parts, ignore_index=True)
-                parts = []
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+        for k in range(0, len(batch), 1000):
+            part = batch.iloc[k : k + 1000]
+            keys = [variant_keys(np.asarray(w, dtype=np.int64)) for w in part["words"]]
+            sizes = [len(x) for x in keys]
+            row = np.repeat(np.arange(len(part)), sizes)
+            yield pd.DataFrame({
+                "v": np.concatenate(keys),
+                "at": np.concatenate([np.append(np.arange(m - 1), -1) for m in sizes]),
+                "n": np.concatenate([np.append(np.full(m - 1, m - 2), m - 1) for m in sizes]),
+                **{c: part[c].to_numpy()[row] for c in ("line", "doc", "rid", "no")},
+            })
 
 
 def _normal_lines(docs: DataFrame, text: str) -> DataFrame:
