@@ -23,62 +23,96 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.quality import words_of
 from tidewell.session import materialize
 
 RARE = 16
 FREQUENT_KEPT = 1 << 18  # most frequent n-grams that are moved to the end of the order; 4 MB
 COUNTED_BELOW = -(1 << 62)  # the lowest quarter of the hashes, from which prefixes are made
 BLOCK = 256  # sets in one tree
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]  # odd numbers
+
+
+def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's runs of ``n`` words, A-Z lower-cased; a shorter text is one run, none without words."""
+    import xxhash
+
+    digest, out = xxhash.xxh3_64_intdigest, []
+    for t in texts:
+        # On UTF-8 bytes, lower() touches A-Z only and split() cuts at blank, tab, LF, VT, FF and CR.
+        words = (t or "").encode().lower().split()
+        k = len(words)
+        if k < n:
+            out.append(np.array([digest(b"\0".join(words), seed=k)], dtype=np.uint64).view(np.int64) if k else np.zeros(0, dtype=np.int64))
+            continue
+        h = np.fromiter(map(digest, words), dtype=np.uint64, count=k)
+        with np.errstate(over="ignore"):
+            g = np.zeros(k - n + 1, dtype=np.uint64)
+            for j in range(n):
+                g = (g ^ (g >> np.uint64(29))) * np.uint64(MIX[j % 4]) + h[j : k - n + 1 + j]
+            g = (g ^ (g >> np.uint64(32))) * np.uint64(MIX[0])
+            g ^= g >> np.uint64(29)
+        out.append(np.unique(g.view(np.int64)))
+    return out
 
 
-def ngram_set(text: Column, n: int) -> tuple[Column, Column]:
-    """(words, sorted distinct hashes of the n-grams of column ``_w``); a shorter text is one n-gram, one without words has none."""
-    words = words_of(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
-    run = ", ".join(f"_w[i + {j}]" for j in range(n))
-    grams = F.expr(f"CASE WHEN size(_w) >= {n} THEN sort_array(array_distinct(transform(sequence(0, size(_w) - {n}), i -> xxhash64({run})))) WHEN size(_w) > 0 THEN array(xxhash64(_w)) ELSE array() END")
-    return words, grams
+def _needed(a: int, b: int, percent: int) -> int:
+    """Least intersection of sets of these sizes with 100 * intersection >= percent * union."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def with_sets(rows: DataFrame, keep: list[str], text: str, n: int) -> DataFrame:
-    words, grams = ngram_set(F.col(text), n)
-    return rows.select(*keep, words.alias("_w")).select(*keep, grams.alias("set"))
+def _prefix(n: int, percent: int) -> int:
+    """Grams of a set of ``n`` of which any similar enough set has one among its own."""
+    return n - -(-percent * n // 100) + 1
 
 
-def _needed(a: int, b: int, percent: int) -> int:
-    """Least intersection of sets of these sizes with 100 * intersection >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
+def _set_rows(n: int, percent: int):
+    """Task code: size, name and lowest hashes of every text's set, as many as its prefix may need."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                part = batch.iloc[k : k + 512]
+                sets = gram_sets(part["t"].tolist(), n)
+                low = [s[: max(int(np.searchsorted(s, COUNTED_BELOW)), _prefix(len(s), percent))] if len(s) else s for s in sets]
+                sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pd.DataFrame({"_rid": part["_rid"].to_numpy(), "k": part["k"].to_numpy(), "n": [len(s) for s in sets], "sig": sig, "low": low})
+
+    return run
 
 
-def _prefix_rows(frequent, percent: int):
-    """Task code: the prefix n-grams of every distinct set of the task."""
+def _prefix_rows(frequent, percent: int, hot: bool):
+    """Task code: the prefix grams of every distinct set of the task, the frequent and uncounted ones or the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, rank = frequent.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out = []
-            for sig, grams in zip(batch["sig"], batch["set"]):
-                n = len(grams)
+            parts = []
+            for sig, n, low in zip(batch["sig"].tolist(), batch["n"].tolist(), batch["low"]):
                 if not n or (sig, n) in seen:
                     continue
                 seen.add((sig, n))
-                grams = np.asarray(grams, dtype=np.int64)
+                low = np.asarray(low, dtype=np.int64)
+                counted = low < COUNTED_BELOW
+                common = np.zeros(len(low), dtype=bool)
                 if len(table):
-                    at = np.minimum(np.searchsorted(table, grams), len(table) - 1)
-                    common = table[at] == grams
-                    order = np.concatenate([grams[~common], grams[common][np.argsort(rank[at[common]], kind="stable")]])
-                    rare = int((~common).sum())
-                else:
-                    order, rare = grams, n
-                p = n - -(-percent * n // 100) + 1
-                top = order[:p]
-                hot = np.arange(p) >= rare
-                hot |= top >= COUNTED_BELOW
-                out.append(pd.DataFrame({"gram": top, "hot": hot, "sig": sig, "n": n, "pos": np.arange(p), "hots": int(hot.sum())}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    at = np.minimum(np.searchsorted(table, low), len(table) - 1)
+                    common = table[at] == low
+                    # Rare counted grams, frequent ones by their frequency, then the uncounted; each by hash.
+                    order = np.lexsort((low, np.where(common, rank[at], -1), ~counted))
+                    low, common, counted = low[order], common[order], counted[order]
+                p = _prefix(n, percent)
+                special = (common | ~counted)[:p]
+                picked = np.nonzero(special if hot else ~special)[0]
+                if len(picked):
+                    parts.append((low[picked], picked, sig, n, int(special.sum())))
+            if parts:
+                sizes = [len(x[0]) for x in parts]
+                yield pd.DataFrame({
+                    "gram": np.concatenate([x[0] for x in parts]), "pos": np.concatenate([x[1] for x in parts]),
+                    "sig": np.repeat([x[2] for x in parts], sizes), "n": np.repeat([x[3] for x in parts], sizes), "hots": np.repeat([x[4] for x in parts], sizes)})
 
     return run
 
@@ -136,7 +170,7 @@ def _verify_rows(percent: int):
                 if (a, chunk) != key:
                     out += flush()
                     key, probe, names, sets = (a, chunk), None, [], []
-                grams = np.asarray(grams, dtype=np.int64)
+                grams = np.frombuffer(grams, dtype=np.int64)
                 if role == 0:
                     probe = grams
                 else:
@@ -148,6 +182,19 @@ def _verify_rows(percent: int):
     return run
 
 
+def _role_rows(n: int):
+    """Task code: the set of a text, once for each of its roles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                part = batch.iloc[k : k + 512]
+                rows = [(r["a"], r["chunk"], r["role"], sig, s.tobytes()) for sig, roles, s in zip(part["sig"], part["roles"], gram_sets(part["t"].tolist(), n)) for r in roles]
+                yield pd.DataFrame(rows, columns=["a", "chunk", "role", "sig", "set"])
+
+    return run
+
+
 def verified(docs: DataFrame, where: DataFrame, pairs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough. ``where`` names one row (_rid) of each class (sig)."""
     spark = docs.sparkSession
@@ -157,10 +204,10 @@ def verified(docs: DataFrame, where: DataFrame, pairs: DataFrame, text: str, n:
     # A class plays the probe in its own trees and a candidate in others.
     roles = dealt.select(F.col("b").alias("sig"), F.struct("a", "chunk", F.lit(1).alias("role")).alias("x"))
     roles = roles.unionByName(dealt.select(F.col("a").alias("sig"), F.struct("a", "chunk", F.lit(0).alias("role")).alias("x")).distinct())
-    wanted = roles.join(where, "sig").groupBy("_rid").agg(F.first("sig").alias("sig"), F.collect_list("x").alias("roles"))
-    texts = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_t"))
-    rows = with_sets(texts.join(wanted, "_rid"), ["sig", "roles"], "_t", n)
-    rows = rows.select("sig", "set", F.explode("roles").alias("x")).select("x.*", "sig", "set")
+    # Written, so that its true size decides how the texts are joined.
+    wanted = materialize(roles.join(where, "sig").groupBy("_rid").agg(F.first("sig").alias("sig"), F.collect_list("x").alias("roles")), "roles")
+    texts = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("t"))
+    rows = texts.join(wanted, "_rid").select("sig", "roles", "t").mapInPandas(_role_rows(n), "a long, chunk int, role int, sig long, set binary")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
     return materialize(rows.mapInPandas(_verify_rows(percent), "a long, b long"), "links")
 
@@ -193,12 +240,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     same order when it is read again (a written table). Other columns are ignored.
     """
     spark = docs.sparkSession
-    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key), F.col(text).alias("_t"))
-    sets = with_sets(numbered, ["_rid", key], "_t", n).withColumn("sig", F.xxhash64("set"))
-    slim = materialize(sets.select("_rid", key, F.size("set").cast("long").alias("n_shingles"), "sig"), "sets")
-    where = slim.filter("n_shingles > 0").groupBy("sig").agg(F.min("_rid").alias("_rid"), F.min(key).alias("least"))
+    kind = docs.schema[key].dataType.simpleString()
+    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("k"), F.col(text).alias("t"))
+    slim = materialize(numbered.mapInPandas(_set_rows(n, percent), f"_rid long, k {kind}, n int, sig long, low array<long>"), "sets")
+    where = slim.filter("n > 0").groupBy("sig").agg(F.min("_rid").alias("_rid"), F.min("k").alias("least"))
 
-    counted = sets.select(F.explode(F.filter("set", lambda g: g < F.lit(COUNTED_BELOW))).alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"))
+    counted = slim.select(F.explode(F.filter("low", lambda g: g < F.lit(COUNTED_BELOW))).alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"))
     top = counted.filter(F.col("docs") >= RARE).orderBy(F.desc("docs"), "gram").limit(FREQUENT_KEPT).toPandas()
     top = top.sort_values(["docs", "gram"], kind="stable")
     rank = np.arange(len(top))
@@ -206,9 +253,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     by_gram = np.argsort(table, kind="stable")
     frequent = spark.sparkContext.broadcast((table[by_gram], rank[by_gram]))
 
-    prefix = sets.select("sig", "set").mapInPandas(_prefix_rows(frequent, percent), "gram long, hot boolean, sig long, n int, pos int, hots int")
+    def prefix(hot: bool) -> DataFrame:
+        return slim.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long, n int, hots int")
+
     entry = F.struct("sig", "n", "hots")
-    grouped = prefix.filter("not hot").groupBy("gram").agg(F.collect_set(entry).alias("x")).filter(F.size("x") > 1)
+    grouped = prefix(False).groupBy("gram").agg(F.collect_set(entry).alias("x")).filter(F.size("x") > 1)
     left, right = F.col("l"), F.col("r")
     pairs = grouped.select("x", F.explode("x").alias("l")).select("l", F.explode(F.filter("x", lambda r: r["sig"] > F.col("l.sig"))).alias("r"))
     fits = (100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"]))
@@ -219,7 +268,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     enough = F.col("c") + F.least("ha", "hb") + F.greatest(beyond(F.col("na")), beyond(F.col("nb"))) >= need(F.col("na"), F.col("nb"))
     close = pairs.filter(enough).select("a", "b")
 
-    hot = materialize(prefix.filter("hot").select("gram", "sig", "n", "pos").distinct(), "frequent-rows")
+    hot = materialize(prefix(True).select("gram", "sig", "n", "pos").distinct(), "frequent-rows")
     lead = hot.groupBy("gram").agg(F.min(F.struct("pos", "n", "sig")).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("gram", "lead")
 
     def possible(a: Column, b: Column) -> Column:
@@ -240,14 +289,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     other = still.select("gram", F.col("me").alias("you"), F.col("root").alias("root2"))
     more = still.join(other, "gram").filter((F.col("root") < F.col("root2")) & possible(F.col("me"), F.col("you")))
     more = more.select(F.col("me.sig").alias("a"), F.col("you.sig").alias("b")).distinct()
-    again = verified(docs, where.select("sig", "_rid"), more, text, n, percent)
-    found = components(links.unionByName(again))
+    more = materialize(more, "more-pairs")
+    if not more.isEmpty():
+        again = verified(docs, where.select("sig", "_rid"), more, text, n, percent)
+        found = components(links.unionByName(again))
 
     classes = where.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(named, "root").select("sig", "component_id")
-    out = slim.join(classes, "sig", "left")
-    return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.col(key))).otherwise(F.col(key)).alias("component_id"))
+    out = slim.select("k", "n", "sig").join(classes, "sig", "left")
+    named = F.when(F.col("n") > 0, F.coalesce("component_id", "k")).otherwise(F.col("k"))
+    return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), named.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
