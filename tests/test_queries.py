@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from compare import TABLES, rows
+from tidewell.plans import catalog
 from tests.conftest import SF
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
