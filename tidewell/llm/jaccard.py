@@ -256,8 +256,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def prefix(hot: bool) -> DataFrame:
         return slim.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long, n int, hots int")
 
+    # Dealt out as plain rows first: most n-grams occur once, so sets built before the shuffle would only make it larger.
     entry = F.struct("sig", "n", "hots")
-    grouped = prefix(False).groupBy("gram").agg(F.collect_set(entry).alias("x")).filter(F.size("x") > 1)
+    flat = prefix(False).select("gram", "sig", "n", "hots").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram")
+    grouped = flat.groupBy("gram").agg(F.collect_set(entry).alias("x")).filter(F.size("x") > 1)
     left, right = F.col("l"), F.col("r")
     pairs = grouped.select("x", F.explode("x").alias("l")).select("l", F.explode(F.filter("x", lambda r: r["sig"] > F.col("l.sig"))).alias("r"))
     fits = (100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"]))
