@@ -22,7 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("tidewell.text.partitions", cores if cores.isdigit() else "8")  # one small file would be one task
+        .config("spark.tidewell.text.partitions", cores if cores.isdigit() else "8")  # one small file would be one task
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -29,8 +29,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def text_table(self, name: str) -> DataFrame:
-        """A table of long texts, dealt out to as many partitions as the session asks for (``tidewell.text.partitions``), if it does."""
-        parts = self.spark.conf.get("tidewell.text.partitions", None)
+        """A table of long texts, dealt out to as many partitions as the session asks for (``spark.tidewell.text.partitions``), if it does."""
+        parts = self.spark.conf.get("spark.tidewell.text.partitions", None)
         table = getattr(self, name)
         return table.repartition(int(parts)) if parts else table
 
