@@ -145,6 +145,15 @@ class Automaton:
                 total += math.log(RARE / 64)
         return total + math.log(max(self.end[q] / self.arrive[q], RARE))
 
+    def generates(self, word: str) -> bool:
+        """Whether the automaton can make the word: every letter was seen where it stands, and words end there."""
+        q = 0
+        for c in word:
+            if c not in self.count[q]:
+                return False
+            q = self.next[q][c]
+        return self.end[q] > 0
+
     def as_rows(self) -> list[tuple[int, str, int, int]]:
         """(state, letter, target, count); the empty letter has the ends, target -1, and the arrivals go under target -2."""
         out = []
@@ -215,8 +224,11 @@ class Scanner:
     def accepts(self, word: str) -> bool:
         if not self.kinds:
             return False
+        able = [(a, limit) for a, limit in self.kinds if a.generates(word)]
+        if not able:
+            return False
         base = self.background.score(word)
-        return any(a.score(word) - base > limit for a, limit in self.kinds)
+        return any(a.score(word) - base > limit for a, limit in able)
 
     def spans(self, text: str) -> list[Span]:
         """Base spans and learned ones, by start, then kind."""
