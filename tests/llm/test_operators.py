@@ -195,6 +195,23 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert 60 not in out and 61 not in out  # too few words
 
 
+@pytest.mark.parametrize("n_boiler,n_own", [(3, 1), (5, 3), (8, 3)])
+def test_several_boilerplate_lines_all_go(spark, n_boiler, n_own):
+    rng = random.Random(n_boiler)
+    boiler = [prose(rng, 6) for _ in range(n_boiler)]
+    pages = []
+    for _ in range(30):
+        own = [prose(rng, 60) for _ in range(n_own)]
+        pages.append((own, "\n".join(rng.sample([*own, *boiler], n_own + n_boiler))))
+    # A large group of copies of a page of its own, and one of copies of a page with the boilerplate.
+    lone, first = "\n".join(prose(rng, 30) for _ in range(4)), pages[0][1]
+    df = make(spark, [*[t for _, t in pages], *[lone] * 200, *[first] * 200]).withColumn("source", F.lit("h"))
+    out = {r["doc_id"]: r["text"] for r in quality.clean(df, max_docs=20).collect()}
+    for i, (own, _) in enumerate(pages):
+        assert sorted(out[i].split("\n")) == sorted(own)
+    assert all(out[30 + i] == lone and out[230 + i] == out[0] for i in range(200))
+
+
 # ------------------------------------------------------------------ fingerprints
 def brute_simhash(text):
     w = re.findall("[^\\x20\\x09-\\x0D]+", text)

@@ -2,10 +2,9 @@
 
 Every line is normalised (lower case, white space squashed) and hashed; per host the distinct documents that carry it are
 counted; lines above the limit are removed, and a document that loses most of its words is rejected. Copies must not turn
-a document into boilerplate: two carriers count as distinct documents only if the smallest of their *other* lines (by MD5)
-differs, and a line is boilerplate only if at least ``min_distinct_share`` of its carriers are distinct in that sense.
+a document into boilerplate: carriers with the same set of normalised lines are one document, by a fingerprint of the whole set.
 
-Only hashes travel: one row of four numbers for each distinct line of a document, summed map-side before the shuffle.
+Only hashes travel: one row of three numbers for each distinct line of a document, made distinct map-side before the shuffle.
 """
 
 from __future__ import annotations
@@ -44,9 +43,9 @@ def _covered(at: str) -> Column:
 def rule_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, and ``_lines``.
 
-    ``_lines`` holds (h, sig, words, first) of every line that has a word: its hash, the hash of the smallest other line of the
-    document, its words, and whether it is the first of its hash. A null text has no words. Work and memory are in
-    proportion to the text.
+    ``_lines`` holds (h, words, first) of every line that has a word: its hash, its words, and whether it is the first of its
+    hash; ``_sig`` is the fingerprint of the document, a hash of its sorted set of normalised lines. A null text has no words. Work
+    and memory are in proportion to the text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"_w": words_of(t), "_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(VISIBLE))})
@@ -64,30 +63,26 @@ def rule_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     window = "xxhash64(_w[i], _w[i + 1], _w[i + 2])"
     out = out.withColumn("_p", F.expr(f"CASE WHEN size(_w) >= 3 THEN sort_array(transform(sequence(0, size(_w) - 3), i -> ({window} & ~_m) | i)) ELSE array() END"))
     out = out.withColumn("_q", _repeated("_w", "_p", "_m"))
-    out = out.withColumns({"n_repeat_words": _covered("_q"), "_d": F.expr("array_distinct(transform(_s, x -> x.m))")})
-    first, second = F.expr("_d[0]"), F.coalesce(F.get(F.col("_d"), F.lit(1)), F.lit(""))
-    out = out.withColumns({"_a": first, "_b": second})
-    lines = F.expr("transform(_s, (x, i) -> named_struct('h', x.h, 'sig', xxhash64(CASE WHEN x.m = _a THEN _b ELSE _a END), 'words', x.c, 'first', i = 0 OR _s[i - 1].m <> x.m))")
-    out = out.withColumn("_lines", lines)
+    lines = F.expr("transform(_s, (x, i) -> named_struct('h', x.h, 'words', x.c, 'first', i = 0 OR _s[i - 1].m <> x.m))")
+    out = out.withColumns({"n_repeat_words": _covered("_q"), "_sig": F.expr("xxhash64(array_distinct(transform(_s, x -> x.m)))"), "_lines": lines})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_w", "_l", "_n", "_s", "_p", "_q", "_d", "_a", "_b", "_m")
+    return out.withColumn("base_failed", failed).drop("_w", "_l", "_n", "_s", "_p", "_q", "_m")
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 100, min_distinct_share: float = 0.5, min_left_share: float = 0.2, keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 100, min_left_share: float = 0.2, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc`` (a struct of its columns, or of those in ``keep``), the rule columns, ``boiler`` (hashes of its
     lines above the limit), words_removed and kept.
 
-    A line is above the limit if more than ``max_docs`` distinct documents of one host carry it; a document is kept if the base
-    rules pass and more than ``min_left_share`` of its words are left. A null host is the host "". Rows with the same
+    A line is above the limit if more than ``max_docs`` distinct documents of one host carry it, copies being one document; a
+    document is kept if the base rules pass and more than ``min_left_share`` of its words are left. A null host is the host "". Rows with the same
     id or text are rows of their own and all get a verdict; an empty table gives an empty result; column names cannot clash.
     """
     fields = F.struct(*(docs.columns if keep is None else keep)).alias("doc")
     rows = docs.select(fields, F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.col(text).alias("_text"))
     base = materialize(rule_columns(rows, "_text").drop("_text").withColumn("_rid", F.monotonically_increasing_id()), "quality")
-    lines = base.select("_rid", "_host", F.explode("_lines").alias("x")).select("_rid", "_host", "x.*")
-    carriers = lines.filter("first").groupBy("_host", "h", "sig").agg(F.count("*").alias("n"))
-    counts = carriers.groupBy("_host", "h").agg(F.count("*").alias("distinct_docs"), F.sum("n").alias("n"))
-    above = counts.filter((F.col("distinct_docs") > max_docs) & (F.col("distinct_docs") >= min_distinct_share * F.col("n"))).select("_host", "h")
+    lines = base.select("_rid", "_host", "_sig", F.explode("_lines").alias("x")).select("_rid", "_host", "_sig", "x.*")
+    carriers = lines.filter("first").select("_host", "h", "_sig").distinct()
+    above = carriers.groupBy("_host", "h").agg(F.count("*").alias("distinct_docs")).filter(F.col("distinct_docs") > max_docs).select("_host", "h")
     lost = lines.join(above, ["_host", "h"]).groupBy("_rid").agg(F.sum("words").alias("words_removed"), F.collect_set("h").alias("boiler"))
     out = base.join(lost, "_rid", "left")
     removed = F.coalesce("words_removed", F.lit(0))
@@ -96,7 +91,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: i
         "words_removed": removed.cast("long"),
         "boiler": F.coalesce("boiler", F.array().cast("array<bigint>")),
         "kept": ~F.col("base_failed") & (left > min_left_share * F.col("n_words")),
-    }).drop("_rid", "_host", "_lines")
+    }).drop("_rid", "_host", "_sig", "_lines")
 
 
 def clean(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
