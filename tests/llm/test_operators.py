@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from itertools import combinations
 
@@ -430,6 +431,18 @@ def test_licenses(spark, odd, empty):
     assert licenses.with_licenses(odd).count() == odd.count() and licenses.with_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("name,rule", licenses.RULES)
+def test_every_rule_is_found(name, rule):
+    parts = [licenses.SENTENCES[k] for k in rule]
+    notice, items = " ".join(parts), "\n".join([parts[0], *[f"  {i}. {p}" for i, p in enumerate(parts[1:], 1)]])
+    wrapped = textwrap.fill(notice, 60)
+    for t in (notice, wrapped, "Copyright 2020 A. Person\n\n" + wrapped + "\n\nint main()", "# " + wrapped.replace("\n", "\n# "), items, items.replace("  1. ", "(a) ")):
+        found = licenses.known_sentences(t)
+        assert [k for k, _, _ in found] == rule
+        assert [(n, licenses.RULES[r]) for n, r, _, _ in licenses.match_rules(found)] == [(name, (name, rule))]
+    assert not licenses.match_rules(licenses.known_sentences("It is not so that " + notice.replace(". ", " ").lower()))
+
+
 # ------------------------------------------------------------------ sharding
 def test_sharding(spark, odd, empty, texts, tmp_path_factory, tmp_path):
     rng = random.Random(5)

@@ -1,7 +1,8 @@
 """Licence scan by sentence rules: known licence sentences, and ordered rules over their identifiers.
 
-A text is cut into sentences, each is normalised and looked up among the known sentences; the identifiers in their order, with 0 for a
-run of unknown sentences between known ones, are matched against rules, which are ordered sequences of identifiers. The catalogue is small and
+A known sentence is looked for at every place where a sentence, a line or a list item starts, word by word, with anything but ASCII letters
+and digits between its words (so line ends, comment marks and stop marks inside it do not count), and must end where a sentence
+or a line ends. The identifiers in their order, with 0 for what is unknown between known ones, are matched against rules, which are ordered sequences of identifiers. The catalogue is small and
 fixed, so it travels with the task; every row is handled on its own and nothing is shuffled.
 """
 
@@ -58,8 +59,16 @@ RULES: list[tuple[str, list[int]]] = [
     ("MPL-2.0", [24]), ("ISC", [25]), ("Unlicense", [26]), ("public-domain", [30]), ("all-rights-reserved", [5]),
 ]
 
-BREAK = re.compile(r"(?<=[.!?;:])[ \t-\r]+")
 WORD = re.compile(r"[^a-z0-9]+")
+MARK = r"\(?(?:[0-9]{1,2}|[A-Za-z]|[ivxIVX]{1,4})[.)]"  # of a list item: 1. (a) iv)
+# Where a sentence, a line or a list item may start, up to its first word, and its first two words in their letters.
+START = re.compile(rf"(?:\A|\n|(?<=[.!?;:])[ \t-\r])[^A-Za-z0-9(]*+(?:{MARK}[ \t-\r]+)?[^A-Za-z0-9]*+(?:(?=([A-Za-z0-9]++)[^A-Za-z0-9]++([A-Za-z0-9]++)))?")
+PUNCTUATION = r"[!-/:-@\[-`{-~]*"
+END = rf"(?:{PUNCTUATION}[.!?;:]{PUNCTUATION}(?=[ \t-\r]|\Z)|{PUNCTUATION}(?=[ \t\r\v\f]*(?:\n|\Z)))"
+ITEM = re.compile(rf"(?<!\w){MARK}(?!\S)")
+LETTER = re.compile(r"\w")
+GAP = re.compile(r"[^A-Za-z0-9]*+")
+WORDS = re.compile(r"([A-Za-z0-9]++)[^A-Za-z0-9]++([A-Za-z0-9]++)")
 
 
 def normal(sentence: str) -> str:
@@ -67,44 +76,37 @@ def normal(sentence: str) -> str:
     return WORD.sub(" ", sentence.lower()).strip(" ")
 
 
-KNOWN = {normal(s): k for k, s in SENTENCES.items()}
-WIDTHS = {len(k) for k in KNOWN}
-
-
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sentences: cut at white space after a stop mark."""
-    at = 0
-    for m in BREAK.finditer(text):
-        yield at, m.start()
-        at = m.end()
-    if at < len(text):
-        yield at, len(text)
+# Known sentences by their first two words, the longest first. One without a stop mark of its own may end anywhere between two words.
+KNOWN: dict[tuple[str, str], list[tuple[re.Pattern, int]]] = {}
+for _k in sorted(SENTENCES, key=lambda k: -len(SENTENCES[k])):
+    _words = normal(SENTENCES[_k]).split(" ")
+    _end = END if SENTENCES[_k][-1] in ".!?;:" else rf"(?:{END}|(?![A-Za-z0-9]))"
+    KNOWN.setdefault((_words[0], _words[1]), []).append((re.compile("[^A-Za-z0-9]+".join(_words) + _end, re.I | re.A), _k))
 
 
 def known_sentences(text: str) -> list[tuple[int, int, int]]:
-    """(identifier, start, end) in order; identifier 0 stands for what is unknown between two known ones.
-
-    A sentence that is unknown as a whole is tried line by line, because a notice may follow a line without a stop mark.
-    """
+    """(identifier, start, end) in order; identifier 0 stands for what is unknown between two known ones, other than list marks."""
     out: list[tuple[int, int, int]] = []
+    at = 0
 
-    def put(k: int, start: int, end: int) -> None:
-        if k or (out and out[-1][0]):
-            out.append((k, start, end))
-
-    longest = max(map(len, SENTENCES.values())) * 2
-    for start, end in sentences(text):
-        k = KNOWN.get(normal(text[start:end]), 0) if end - start <= longest else 0
-        if k or "\n" not in text[start:end]:
-            put(k, start, end)
-            continue
-        at = start
-        for line in text[start:end].split("\n"):
-            if line.strip(" \t\r\x0b\x0c"):
-                put(KNOWN.get(normal(line), 0) if len(line) <= longest else 0, at, at + len(line))
-            at += len(line) + 1
-    while out and not out[-1][0]:
-        out.pop()
+    def take(start: int) -> None:
+        nonlocal at
+        while start >= at:
+            pair = WORDS.match(text, start)
+            options = KNOWN.get((pair[1].lower(), pair[2].lower()), []) if pair else []
+            m, k = next(((m, k) for p, k in options if (m := p.match(text, start))), (None, 0))
+            if not m:
+                return
+            if out and LETTER.search(ITEM.sub("", text[at:start])):
+                out.append((0, at, start))
+            out.append((k, start, m.end()))
+            at = m.end()
+            # What follows a sentence starts one, also where the sentence has no stop mark.
+            start = GAP.match(text, at).end()
+
+    for m in START.finditer(text):
+        if m[1] and m.end() >= at and (m[1].lower(), m[2].lower()) in KNOWN:
+            take(m.end())
     return out
 
 
