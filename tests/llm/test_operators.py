@@ -411,6 +411,23 @@ def test_inferred_formats(spark, empty, odd):
     assert secrets.redact(odd).count() == odd.count()
 
 
+def test_credentials_near_a_known_format_are_found(spark):
+    rng = random.Random(18)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hexes, capitals = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    dull = lambda: " ".join("".join(rng.choice(WORDS) for _ in range(4)) for _ in range(5))
+    texts = [f"{dull()} token = {pick(hexes, 40)} and AKIA{pick(capitals, 16)} {dull()}" for _ in range(300)]
+    # No fixed pattern finds these; each has a letter, or a letter in a place, that no labelled value has.
+    planted = ["AKIAb" + pick(capitals, 16), "BKIA" + pick(capitals, 16), "x" + pick(hexes[10:], 3) + pick(hexes, 11) + "Z" + pick(hexes, 12), "-".join(pick(hexes, 8) for _ in range(5)), pick(hexes, 15)]
+    texts += [f"note {w} here" for w in planted] + [dull() for _ in range(50)]
+    assert not any(secrets.base_spans(t) for t in texts[300:])
+    df = make(spark, texts)
+    scanner = secrets.train(df)
+    got = {r["doc_id"]: [(x["kind"], texts[r["doc_id"]][x["start"] : x["end"]]) for x in r["found"]] for r in secrets.with_secrets(df, scanner, name="found").collect()}
+    assert [got[300 + i] for i in range(len(planted))] == [[("format", w)] for w in planted]
+    assert not any(k == "format" for d, found in got.items() if d < 300 or d >= 300 + len(planted) for k, _ in found)
+
+
 def test_automaton_separates_formats():
     rng = random.Random(3)
     a = secrets.infer(["AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)) for _ in range(300)])

@@ -3,13 +3,16 @@
 The values that the fixed patterns find label themselves. For each kind a bounded sample of them (``SAMPLE`` distinct values, by hash)
 becomes a prefix tree whose states are merged while their outgoing frequencies are statistically compatible; the result is a probabilistic
 automaton. A background automaton is learned the same way from candidates outside all base spans. Every candidate of every text is then
-scored by its log-likelihood under the best credential automaton against the background; the threshold comes from held-out values.
+scored by its log-likelihood for each letter under the best credential automaton against the background; the threshold comes from
+held-out values. Both are smoothed, so an unseen letter costs likelihood but rules nothing out; the background falls back on the
+letters of all its values, so that a harmless word does not stand out only because its letters did not occur in that order.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -27,8 +30,10 @@ LETTERS = "A-Za-z0-9+/_.=-"
 CANDIDATE = re.compile(f"(?<![{LETTERS}])[{LETTERS}]{{12,}}+")
 
 SAMPLE = 1000  # distinct labelled values of a kind that are learned from; half as many again decide the threshold
+LEAST = 10  # distinct labelled values without which a kind makes no format, because its threshold would be a guess
 ALPHA = 0.05  # significance of the test that keeps two states apart
 RARE = 1e-3  # probability that a state leaves for a letter it never saw
+BACK = 0.1  # share of the background's likelihood that comes from its letters regardless of order
 
 Span = tuple[str, int, int]
 
@@ -145,14 +150,24 @@ class Automaton:
                 total += math.log(RARE / 64)
         return total + math.log(max(self.end[q] / self.arrive[q], RARE))
 
-    def generates(self, word: str) -> bool:
-        """Whether the automaton can make the word: every letter was seen where it stands, and words end there."""
-        q = 0
+    def letters(self) -> dict[str, float]:
+        """Share of each credential letter among all letters of the words, every letter counted once more than it occurs."""
+        n = dict.fromkeys(string.ascii_letters + string.digits + "+/_.=-", 1)
+        for count in self.count:
+            for c, k in count.items():
+                n[c] = n.get(c, 1) + k
+        total = sum(n.values())
+        return {c: k / total for c, k in n.items()}
+
+    def backed_score(self, word: str, letters: dict[str, float]) -> float:
+        """Log-likelihood of the word where each letter may also come from ``letters`` regardless of the state."""
+        q, total = 0, 0.0
         for c in word:
-            if c not in self.count[q]:
-                return False
-            q = self.next[q][c]
-        return self.end[q] > 0
+            n = self.count[q].get(c, 0)
+            total += math.log((1 - BACK) * n / max(self.arrive[q], 1) + BACK * letters[c])
+            if n:
+                q = self.next[q][c]
+        return total + math.log(max(self.end[q] / max(self.arrive[q], 1), RARE))
 
     def as_rows(self) -> list[tuple[int, str, int, int]]:
         """(state, letter, target, count); the empty letter has the ends, target -1, and the arrivals go under target -2."""
@@ -201,7 +216,9 @@ ROWS = "kind string, state int, letter string, target int, count long"
 def _learn(frame: pd.DataFrame) -> pd.DataFrame:
     words = frame.sort_values("h")["value"].tolist()
     kind = frame["kind"].iloc[0]
-    return pd.DataFrame([(kind, *r) for r in infer(words).as_rows()], columns=["kind", "state", "letter", "target", "count"])
+    if kind != "none" and len(words) < LEAST:
+        words = []
+    return pd.DataFrame([(kind, *r) for r in (infer(words).as_rows() if words else [])], columns=["kind", "state", "letter", "target", "count"])
 
 
 class Scanner:
@@ -212,23 +229,30 @@ class Scanner:
         self.kinds: list[tuple[Automaton, float]] = []
         if self.background is None:
             return
+        self.letters = self.background.letters()
+        bad_words = held_out.get("none", [])
         for kind, a in automata.items():
-            good = sorted(a.score(w) - self.background.score(w) for w in held_out.get(kind, []))
-            bad = sorted(a.score(w) - self.background.score(w) for w in held_out.get("none", []))
+            good = sorted(self.ratio(a, w, self.base(w)) for w in held_out.get(kind, []))
+            bad = sorted(self.ratio(a, w, self.base(w)) for w in bad_words)
             if kind == "none" or not good or not bad:
                 continue
             low, high = good[len(good) // 20], bad[len(bad) - 1 - len(bad) // 1000]
             # Between the two classes; where they overlap, only what is above all that is known to be harmless.
             self.kinds.append((a, max((low + high) / 2 if low > high else high + abs(high) / 10, 0.0)))
 
+    def base(self, word: str) -> float:
+        return self.background.backed_score(word, self.letters)
+
+    @staticmethod
+    def ratio(a: Automaton, word: str, base: float) -> float:
+        """Log-likelihood ratio for each letter and the end."""
+        return (a.score(word) - base) / (len(word) + 1)
+
     def accepts(self, word: str) -> bool:
         if not self.kinds:
             return False
-        able = [(a, limit) for a, limit in self.kinds if a.generates(word)]
-        if not able:
-            return False
-        base = self.background.score(word)
-        return any(a.score(word) - base > limit for a, limit in able)
+        base = self.base(word)
+        return any(self.ratio(a, word, base) > limit for a, limit in self.kinds)
 
     def spans(self, text: str) -> list[Span]:
         """Base spans and learned ones, by start, then kind."""
