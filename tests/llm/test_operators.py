@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from tidewell.llm import idfiles, jaccard, licenses, lines, packing, pieces, quality, secrets, sharding, simhash, tokens
+from tidewell.session import materialize
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, _rid string, _t string, set string, kept string, words string, size string, secrets string, k string"
 WORDS = "the of and river stone house window light paper green seven night under over long road small fish bread tower".split()
@@ -307,6 +308,42 @@ def test_jaccard_edges(spark, docs, odd, empty, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c in brute_components(texts, 5, 80) if i == c)
 
 
+@pytest.fixture
+def shifting(spark, tmp_path_factory, monkeypatch):
+    """Texts in several files, whose splits change each time a table was written."""
+    rng = random.Random(11)
+    many = [*family(rng, 12, 9), *[t for _ in range(8) for t in family(rng, 3, 5)], *["\n".join(prose(rng, 12) for _ in range(4)) for _ in range(30)]]
+    many += [t.replace(" ", " zz ", 1) for t in many[-30:]] + many[-30:-20]
+    rng.shuffle(many)
+    path, name, calls = str(tmp_path_factory.mktemp("many") / "t"), "spark.sql.files.maxPartitionBytes", []
+    make(spark, many).repartition(7, "doc_id").write.parquet(path)
+    before = spark.conf.get(name)
+
+    def write(df, what):
+        out = materialize(df, what)
+        calls.append(what)
+        spark.conf.set(name, f"{2 + len(calls) % 5}k")
+        return out
+
+    for module in (jaccard, lines):
+        monkeypatch.setattr(module, "materialize", write)
+    yield spark.read.parquet(path), many
+    spark.conf.set(name, before)
+
+
+def test_components_do_not_depend_on_splits(shifting):
+    df, many = shifting
+    assert rows(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(many, 5, 80)
+
+
+def test_line_verdicts_do_not_depend_on_splits(shifting):
+    df, many = shifting
+    want = brute_lines(many)
+    assert {r["doc_id"]: [r["n_lines"], r["kept"], r["n_exact"], r["n_near"]] for r in lines.line_verdicts(df).collect()} == want
+    left = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    assert left == {d: "\n".join(x for i, x in enumerate(many[d].split("\n")) if i in kept) for d, (_, kept, _, _) in want.items() if kept}
+
+
 def test_tree_walk():
     rng = np.random.default_rng(1)
     probe = np.sort(rng.choice(10_000, 300, replace=False))

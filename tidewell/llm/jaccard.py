@@ -195,9 +195,9 @@ def _role_rows(n: int):
     return run
 
 
-def verified(docs: DataFrame, where: DataFrame, pairs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough. ``where`` names one row (_rid) of each class (sig)."""
-    spark = docs.sparkSession
+def verified(texts: DataFrame, where: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough. ``where`` names one row (_rid) of each class (sig) in ``texts`` (_rid, t)."""
+    spark = texts.sparkSession
     pairs = materialize(pairs, "candidate-pairs")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.hash("b"), F.col("chunks")).alias("chunk"))
@@ -206,7 +206,6 @@ def verified(docs: DataFrame, where: DataFrame, pairs: DataFrame, text: str, n:
     roles = roles.unionByName(dealt.select(F.col("a").alias("sig"), F.struct("a", "chunk", F.lit(0).alias("role")).alias("x")).distinct())
     # Written, so that its true size decides how the texts are joined.
     wanted = materialize(roles.join(where, "sig").groupBy("_rid").agg(F.first("sig").alias("sig"), F.collect_list("x").alias("roles")), "roles")
-    texts = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("t"))
     rows = texts.join(wanted, "_rid").select("sig", "roles", "t").mapInPandas(_role_rows(n), "a long, chunk int, role int, sig long, set binary")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
     return materialize(rows.mapInPandas(_verify_rows(percent), "a long, b long"), "links")
@@ -236,12 +235,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id): set size and the least key reachable over links of Jaccard >= ``percent`` / 100.
 
     Texts without words have the empty set and are linked with nothing; a null text is one of them. Rows with the same key are rows of
-    their own. Null keys take part but never name a component of others. ``docs`` must be a table whose rows come in the
-    same order when it is read again (a written table). Other columns are ignored.
+    their own. Null keys take part but never name a component of others. The rows are numbered and written once, because
+    a number made while reading may change when the table is planned again. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("k"), F.col(text).alias("t"))
+    found = _of_rows(materialize(numbered, "numbered"), n, percent)
+    return found.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
+    """(_rid, k, n, root, component_id) of every row (_rid, k, t) of a written table; ``root`` is null where a text has no words."""
+    spark = numbered.sparkSession
+    kind = numbered.schema["k"].dataType.simpleString()
     slim = materialize(numbered.mapInPandas(_set_rows(n, percent), f"_rid long, k {kind}, n int, sig long, low array<long>"), "sets")
     where = slim.filter("n > 0").groupBy("sig").agg(F.min("_rid").alias("_rid"), F.min("k").alias("least"))
 
@@ -281,7 +286,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     me = F.struct("pos", "n", "sig").alias("me")
     tried = hot.select("gram", me).join(lead, "gram").filter((F.col("me.sig") != F.col("lead.sig")) & possible(F.col("me"), F.col("lead")))
     first = tried.select(F.col("lead.sig").alias("a"), F.col("me.sig").alias("b")).distinct()
-    links = verified(docs, where.select("sig", "_rid"), close.unionByName(first).distinct(), text, n, percent)
+    links = verified(numbered.select("_rid", "t"), where.select("sig", "_rid"), close.unionByName(first).distinct(), n, percent)
     found = components(links)
 
     # Frequent n-grams whose classes are not all in one component by now: try what is still apart.
@@ -293,15 +298,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     more = more.select(F.col("me.sig").alias("a"), F.col("you.sig").alias("b")).distinct()
     more = materialize(more, "more-pairs")
     if not more.isEmpty():
-        again = verified(docs, where.select("sig", "_rid"), more, text, n, percent)
+        again = verified(numbered.select("_rid", "t"), where.select("sig", "_rid"), more, n, percent)
         found = components(links.unionByName(again))
 
     classes = where.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(named, "root").select("sig", "component_id")
-    out = slim.select("k", "n", "sig").join(classes, "sig", "left")
+    classes = classes.join(named, "root").select("sig", "root", "component_id")
+    out = slim.select("_rid", "k", "n", "sig").join(classes, "sig", "left")
     named = F.when(F.col("n") > 0, F.coalesce("component_id", "k")).otherwise(F.col("k"))
-    return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), named.alias("component_id"))
+    return out.select("_rid", "k", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"), named.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -66,10 +66,16 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     ``kept`` has the places (from 0) of the lines with words that stay; lines without words always stay and are not counted. A line goes if an equal
     line is earlier (n_exact), or if it is the first of its kind but a line at edit distance 1 is earlier (n_near). Earlier means by key
-    (null first), then row, then place. ``docs`` must be a table whose rows come in the same order when it is read again.
+    (null first), then row, then place. The rows are numbered and written once, because a number made while reading may change when
+    the table is planned again.
     """
-    kind = docs.schema[key].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("doc"), F.col(text).alias("_t"))
+    return _of_rows(materialize(numbered, "numbered"), min_words).withColumnRenamed("doc", key)
+
+
+def _of_rows(numbered: DataFrame, min_words: int) -> DataFrame:
+    """``line_verdicts`` of the rows (_rid, doc, _t) of a written table; the key is ``doc``."""
+    kind = numbered.schema["doc"].dataType.simpleString()
     lines = _normal_lines(numbered, "_t")
     size = F.size("w")
     halves = []
@@ -90,7 +96,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     hashed = likely.select("line", "doc", "rid", "no", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
     variants = hashed.mapInPandas(_emit, VARIANTS.format(kind=kind))
-    variants = variants.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    variants = variants.repartition(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
     here = F.struct("doc", "rid", "no")
     same_place = Window.partitionBy("v", "n", "at")
     same_key = Window.partitionBy("v", "n")
@@ -113,7 +119,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     visible = F.size(F.filter(F.split(F.coalesce("_t", F.lit("")), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))).cast("long")
     rows = numbered.select("_rid", "doc", visible.alias("n_lines"))
     out = rows.join(stays, "_rid", "left")
-    return out.select("_rid", F.col("doc").alias(key), "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"),
+    return out.select("_rid", "doc", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"),
                       (F.col("n_lines") - F.coalesce("n_first", F.lit(0))).cast("long").alias("n_exact"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
@@ -134,8 +140,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     Texts without a duplicate line are left as they are. A document that had lines with words and lost all of them goes; an empty or null text
     stays as it was. Columns are those of ``docs``.
     """
-    verdicts = line_verdicts(docs, key, text, min_words).select("_rid", "n_lines", "kept")
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_rid")).join(verdicts, "_rid")
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("doc")), "numbered")
+    plain = numbered.select("_rid", F.col("doc")[key].alias("doc"), F.col("doc")[text].alias("_t"))
+    rows = numbered.join(_of_rows(plain, min_words).select("_rid", "n_lines", "kept"), "_rid")
     was = F.col("doc")[text]
     left = F.filter(F.split(was, "\n"), lambda x, i: ~x.rlike("[^ \\t-\\r]") | F.array_contains("kept", i))
     new = F.when(F.size("kept") < F.col("n_lines"), F.array_join(left, "\n")).otherwise(was)
