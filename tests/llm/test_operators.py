@@ -544,6 +544,18 @@ def test_pieces_equal_the_library():
         assert model.decode(np.frombuffer(model.encode(t), dtype="<u4")) == t
 
 
+def test_scores_that_are_not_whole_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto, path = sentencepiece_model_pb2.ModelProto(), tmp_path / "m.model"
+    with open(PIECES, "rb") as f:
+        proto.ParseFromString(f.read())
+    next(p for p in reversed(proto.pieces) if p.type == 1).score = -7.3
+    path.write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="whole"):
+        pieces.piece_model(str(path))
+
+
 def test_chunks_equal_the_whole(spark, odd, empty, texts, tmp_path_factory):
     more = [*texts, "a" * 700, "日本" * 300, " " * 300, "ab " * 400, "x\n\n y" * 90]
     df = stored(make(spark, more), tmp_path_factory)

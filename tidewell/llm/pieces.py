@@ -47,6 +47,8 @@ class PieceModel:
         self.bytes = {self.pieces[k]: k for k in range(n) if sp.is_byte(k)}
         self.byte_of = {k: int(p[3:5], 16) for p, k in self.bytes.items()}
         normal = [k for k in range(n) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
+        if any(sp.get_score(k) % 1 for k in normal):
+            raise ValueError("a score of this model is not a whole number")  # rounded scores would give other ids
         self.trie: dict = {}
         for k in normal:
             node = self.trie
