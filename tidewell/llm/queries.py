@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators over the given tables, and their check SQL."""
+"""The thin queries of the operators over the given tables, and their check SQL."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from tidewell.llm.secrets import train, with_secrets
 from tidewell.llm.sharding import kd_shards
 from tidewell.llm.simhash import edited_fingerprints
 from tidewell.llm.tokens import vocabulary_path
+from tidewell.llm.whitening import whitened_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +189,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text under the piece vocabulary, and the hash of what they decode to."""
     found = decode_pieces(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_tokens", "ids_crc32", "n_chunks", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding projected on 32 whitened principal components."""
+    return whitened_components(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), components=32)
