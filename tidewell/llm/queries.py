@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.alignment import align_tokenizers
 from tidewell.llm.idfiles import read_ids, write_ids
 from tidewell.llm.jaccard import jaccard_components
 from tidewell.llm.licenses import with_licenses
@@ -195,3 +196,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding projected on 32 whitened principal components."""
     return whitened_components(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), components=32)
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of a byte-level and a piece vocabulary in every text, with corpus-wide link counts."""
+    return align_tokenizers(documents(spark, sf_dir), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
