@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm import toxicity
 from tidewell.llm.alignment import align_tokenizers
 from tidewell.llm.idfiles import read_ids, write_ids
 from tidewell.llm.jaccard import jaccard_components
@@ -202,3 +203,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of a byte-level and a piece vocabulary in every text, with corpus-wide link counts."""
     return align_tokenizers(documents(spark, sf_dir), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a field that has never seen the labels of a fifth of the ids."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = toxicity.train(docs.where(~toxicity.held_out()), labels)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
