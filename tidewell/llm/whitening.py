@@ -221,8 +221,9 @@ def principal(r: np.ndarray, n: int, components: int) -> tuple[np.ndarray, np.nd
 
 def lattice(df: DataFrame, vector: str = "embedding", others: Iterable[str] = ()) -> DataFrame:
     """(others..., x): the vectors that count, as whole numbers."""
-    whole = lambda c: (F.floor(c.cast("double") * SCALE) + OFFSET).cast("long")
     finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf"))
+    # Guarded, because the optimizer may ask for a row's x before the row is dropped.
+    whole = lambda c: F.when(finite(c), F.floor(c.cast("double") * SCALE) + OFFSET).cast("long")
     rows = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).where(F.forall(vector, finite))
     return rows.select(*others, F.transform(vector, whole).alias("x"))
 
