@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,77 +30,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.tokens import byte_letters, codec
-from tidewell.session import materialize
+from tidewell.session import fresh_path
 
-AT_ONCE = 1 << 20  # characters aligned at a time; a longer text is one on its own
-KEPT_UNITS = 200_000  # parts of texts whose piece ids a worker keeps
+AT_ONCE = 1 << 18  # characters aligned at a time; a longer text is one on its own
+KEPT_UNITS = 150_000  # parts of texts whose piece ids a worker keeps
 KEPT_CHARS = 40  # longer parts are not kept
+ROW_GROUP = 16 << 20  # bytes a task holds back while it writes: the rows are long
 WIDTH = 8  # bytes of one end offset
+A, B, BOTH = 1, 2, 3  # whose next token comes
+STRETCH = bytes([BOTH]) * 64
+SHORT = 8  # ends compared one by one before slices pay
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
-def diagonal_runs(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, int]], list[int], list[int], list[int], list[int]]:
-    """(runs, group_a, group_b, link_a, link_b) of two rising end arrays with the same last end.
-
-    ``runs`` are one-to-one stretches (first of a, first of b, length; near the end a stretch may come in parts); ``group_a`` and ``group_b`` the first indices of each
-    irregular group, ``link_a`` and ``link_b`` its overlapping pairs of indices.
-    """
+def diagonal_walk(a: np.ndarray, b: np.ndarray) -> bytearray:
+    """The moves through two rising end arrays with the same last end: A, B, or BOTH indices go on after each link."""
     xs, ys, x, y = a.astype("<i8").tobytes(), b.astype("<i8").tobytes(), a.tolist(), b.tolist()
-    runs, group_a, group_b, link_a, link_b = [], [], [], [], []
-    i = j = 0
-    n, m = len(x), len(y)
+    moves, i, j, n, m = bytearray(), 0, 0, len(a), len(b)
     while i < n:
-        if x[i] == y[j]:
-            k, step, room = 1, 2, min(n - i, m - j)
-            while True:  # probe twice as far each time
+        p, q = x[i], y[j]
+        if p == q:
+            k, step, room = 1, SHORT, min(n - i, m - j)
+            near = min(SHORT, room)
+            while k < near and x[i + k] == y[j + k]:
+                k += 1
+            while k < room and x[i + k] == y[j + k]:  # probe twice as far each time
                 step = min(step, room - k)
-                if not step or xs[(i + k) * WIDTH : (i + k + step) * WIDTH] != ys[(j + k) * WIDTH : (j + k + step) * WIDTH]:
+                if xs[(i + k) * WIDTH : (i + k + step) * WIDTH] != ys[(j + k) * WIDTH : (j + k + step) * WIDTH]:
+                    while step > 1:  # halve back to the first disagreement among the next ``step`` ends
+                        step //= 2
+                        if xs[(i + k) * WIDTH : (i + k + step) * WIDTH] == ys[(j + k) * WIDTH : (j + k + step) * WIDTH]:
+                            k += step
                     break
                 k, step = k + step, step * 2
-            while step > 1:  # halve back to the first disagreement among the next ``step`` ends
-                step //= 2
-                if xs[(i + k) * WIDTH : (i + k + step) * WIDTH] == ys[(j + k) * WIDTH : (j + k + step) * WIDTH]:
-                    k += step
-            runs.append((i, j, k))
+            moves += STRETCH[:k] if k <= len(STRETCH) else STRETCH[:1] * k
             i, j = i + k, j + k
-            if i == n:
-                break
-        group_a.append(i)
-        group_b.append(j)
-        p, q = x[i], y[j]
-        while p != q:
-            link_a.append(i)
-            link_b.append(j)
+            continue
+        while p != q:  # an irregular group: up to the next common end
             if p < q:
                 i += 1
                 p = x[i]
+                moves.append(A)
             else:
                 j += 1
                 q = y[j]
-        link_a.append(i)
-        link_b.append(j)
+                moves.append(B)
+        moves.append(BOTH)
         i, j = i + 1, j + 1
-    return runs, group_a, group_b, link_a, link_b
-
-
-def expanded(runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of both sides in all one-to-one stretches."""
-    if not runs:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    i, j, k = np.array(runs, dtype=np.int64).T
-    inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-    return np.repeat(i, k) + inside, np.repeat(j, k) + inside
+    return moves
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first of a, first of b) of every group and (index of a, index of b) of every link, in order."""
-    runs, group_a, group_b, link_a, link_b = diagonal_runs(a, b)
-    one_a, one_b = expanded(runs)
-    groups = np.concatenate([one_a, np.array(group_a, dtype=np.int64)]), np.concatenate([one_b, np.array(group_b, dtype=np.int64)])
-    links = np.concatenate([one_a, np.array(link_a, dtype=np.int64)]), np.concatenate([one_b, np.array(link_b, dtype=np.int64)])
-    # Along the walk one index or both go up, so the sum of both orders groups and links.
-    g, k = np.argsort(groups[0], kind="stable"), np.argsort(links[0] + links[1], kind="stable")
-    return groups[0][g], groups[1][g], links[0][k], links[1][k]
+    moves = np.frombuffer(diagonal_walk(a, b), dtype=np.uint8)
+    link_a, link_b = np.cumsum(moves & A, dtype=np.int64), np.cumsum(moves >> 1, dtype=np.int64)
+    link_a -= moves & A
+    link_b -= moves >> 1
+    first = np.append(True, moves[:-1] == BOTH)[: len(moves)]
+    return link_a[first], link_b[first], link_a, link_b
 
 
 def same_bytes(ids: list[np.ndarray], texts: list[str], bytes_of: np.ndarray) -> list[np.ndarray | None]:
@@ -171,7 +159,7 @@ class PieceSide:
             for u, ids in zip(some, self.model.encode(["\n" + u for u in some], num_threads=1)):
                 # A text's tokens have its bytes if those of all its parts have theirs; a part that has not is no ids at all.
                 same = b"".join([self.bytes[k] for k in ids[2:]]) == u.encode()
-                here[u] = got = np.array(ids[2:], dtype="<u4").tobytes() if same else None
+                here[u] = got = array("I", ids[2:]).tobytes() if same else None
                 if here is not self.known and len(u) <= KEPT_CHARS:
                     self.known[u] = got
         get, out = here.__getitem__, []
@@ -223,7 +211,7 @@ class Aligner:
         for s, e in zip(to_a + to_b, (to_a + to_b)[1:]):
             hashes.append(hashlib.sha256("".join(parts[s:e].tolist())[:-1].encode()).hexdigest() if e > s else "")
         pairs, links, times = np.unique(b[link_b] << 32 | a[link_a], return_inverse=True, return_counts=True)
-        return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": hashes, "links": links.astype("<u4"), "pairs": pairs, "times": times}
+        return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": hashes, "links": links.astype("<u2" if len(pairs) <= 1 << 16 else "<u4"), "pairs": pairs, "times": times}
 
 
 @lru_cache(maxsize=2)
@@ -269,12 +257,16 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, key: str
                 base += 1
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner.cache_clear()  # a worker that aligned before does not need its tokenizers and words any more
+        sides.cache_clear()
+        codec.cache_clear()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 value = lambda c: row.column(c).flatten()
                 n = value("n_links").to_numpy(zero_copy_only=False)
-                known = value("known").to_numpy(zero_copy_only=False)[np.frombuffer(row.column("links")[0].as_py(), dtype="<u4")]
+                known, links = value("known").to_numpy(zero_copy_only=False), row.column("links")[0].as_py()
+                known = known[np.frombuffer(links, dtype="<u2" if len(known) <= 1 << 16 else "<u4")]
                 upto = np.append(0, np.cumsum(n))
                 sums = [np.append(0, np.cumsum(x))[upto] for x in (known & 1, known >> 1)]
                 out = {"doc": value("doc")} | {c: value(c) for c in COUNTS}
@@ -283,7 +275,10 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, key: str
 
     lists = ", ".join(f"{c} array<long>" for c in COUNTS)
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("t"))
-    marked = materialize(rows.mapInArrow(mark, f"batch long, doc array<{kind}>, {lists}, groups_sha256 array<string>, links binary, pairs array<long>, times array<long>"), "alignment")
+    marked = rows.mapInArrow(mark, f"batch long, doc array<{kind}>, {lists}, groups_sha256 array<string>, links binary, pairs array<long>, times array<long>")
+    path = fresh_path(docs.sparkSession, "alignment")
+    marked.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    marked = docs.sparkSession.read.schema(marked.schema).parquet(path)
     tables = marked.select("batch", F.posexplode(F.arrays_zip("pairs", "times")).alias("at", "x")).select("batch", "at", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     counts = tables.groupBy("pair").agg(F.sum("times").alias("n"))
     # One row for each id of the piece vocabulary at most, so its size does not grow with the input.
