@@ -121,6 +121,11 @@ def clean_text(c: Column, max_len: int | None) -> Column:
     return F.when(F.char_length(s) > max_len, trim_space(F.substring(s, 1, max_len))).otherwise(s)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def squash_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s\x{00A0}\x{3000}\x{2002}\x{2003}\x{2009}]+", " "))
 

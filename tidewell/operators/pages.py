@@ -1,4 +1,4 @@
-"""Web pages to tables of blocks, cells, links and runs.
+"""Page texts, titles, dates and the rules on blocks, links and runs; ``markup`` cuts pages into these.
 
 Everything is a regular expression or an array expression over one page row, followed by an explode. Ordered
 work on the parts of a page runs in chunks of positions (see ``skew``), so a page of any length is shared by many tasks.
@@ -20,18 +20,12 @@ RAW_TEXT_TAGS = ["script", "style", "textarea", "title", "xmp", "noscript", "tem
 # Elements dropped together with their content, and those without content.
 DROPPED_TAGS = ["svg", "math", "object", "form", "button", "select", "option", "video", "audio", "canvas", "map", "picture", "head"]
 DROPPED_VOID_TAGS = ["embed", "input", "img", "link", "meta", "base"]
-# Elements that begin and end a line.
-BLOCK_TAGS = [
-    "p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl", "dt", "dd", "hr", "br",
-    "section", "article", "header", "footer", "figure", "address", "nav", "aside", "main", "body", "html", "caption", "thead", "tbody", "tfoot",
-]
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "ndash": "–", "mdash": "—",
     "hellip": "…", "middot": "·", "bull": "•", "times": "×", "laquo": "«", "raquo": "»", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’",
     "copy": "©", "reg": "®", "trade": "™", "deg": "°", "plusmn": "±", "le": "≤", "ge": "≥", "rarr": "→", "larr": "←", "uarr": "↑", "darr": "↓", "yen": "¥",
 }
 HEADING_MAX = 40  # a whole bold line up to this length is a heading
-RED = r"color\s*[:=]\s*[\"']?\s*(?:red\b|#f00\b|#ff0000\b|rgba?\(\s*255\s*,\s*0\s*,\s*0\b)"
 TITLE_RULES = [
     ("coins", "健康幣"),
     ("eligibility", "接種對象"),
@@ -59,11 +53,15 @@ NUMBER_UNITS = r"^\s*(年|歲|岁|月|日|%|％|個月|years?|yrs?|months?|mL|ml
 
 
 def without_boilerplate(html: Column) -> Column:
-    """No comments, doctype, raw-text elements, dropped elements."""
-    whole = "|".join(rf"{t}\b[^>]*>.*?</{t}" for t in RAW_TEXT_TAGS + DROPPED_TAGS)
-    s = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    s = F.regexp_replace(s, rf"(?is)<(?:{whole})\s*>", "")
-    return F.regexp_replace(s, rf"(?i)<!doctype[^>]*>|</?(?:{'|'.join(DROPPED_VOID_TAGS)})\b[^>]*>", "")
+    """No comments, doctype, raw-text elements, dropped elements.
+
+    Comments and raw text are read in one pass from the left, so neither is looked for inside the other; what is never
+    closed lasts to the end of the page. A dropped element that is never closed loses its tag only.
+    """
+    raw = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW_TEXT_TAGS)})\b[^>]*>.*?(?:</\1\s*>|\z)"
+    s = F.regexp_replace(html, raw, "")
+    s = F.regexp_replace(s, rf"(?is)<({'|'.join(DROPPED_TAGS)})\b[^>]*>.*?</\1\s*>", "")
+    return F.regexp_replace(s, rf"(?i)<!doctype[^>]*>|</?(?:{'|'.join(DROPPED_VOID_TAGS + DROPPED_TAGS)})\b[^>]*>", "")
 
 
 def strip_boilerplate(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -79,7 +77,8 @@ def code_point(cp: Column) -> Column:
 def decode_entities(c: Column) -> Column:
     """Named and numeric entities, each decoded exactly once; unknown names stay."""
     pattern = r"(?i)&(#x[0-9a-f]{1,6}|#[0-9]{1,7}|[a-z]{2,8});?"
-    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    names = F.expr("map(" + ", ".join(quoted(x) for kv in ENTITIES.items() for x in kv) + ")")
 
     def decoded(hit: Column) -> Column:
         name = F.lower(F.regexp_replace(hit, "[&;]", ""))
@@ -90,9 +89,12 @@ def decode_entities(c: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(names, name), hit))
         )
 
-    hits = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), decoded)
-    joined = F.zip_with(F.split(c, pattern, -1), hits, lambda piece, hit: F.concat(piece, F.coalesce(hit, F.lit(""))))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(joined, "")).otherwise(c)
+    def replaced(x: Column) -> Column:
+        hits = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), decoded)
+        joined = F.zip_with(F.split(x, pattern, -1), hits, lambda piece, hit: F.concat(piece, F.coalesce(hit, F.lit(""))))
+        return F.when(F.contains(x, F.lit("&")), F.array_join(joined, "")).otherwise(x)
+
+    return C.let(c, replaced)
 
 
 def plain_text(fragment: Column) -> Column:
@@ -100,47 +102,6 @@ def plain_text(fragment: Column) -> Column:
     return C.squash_space(decode_entities(F.regexp_replace(fragment, r"<[^>]*>", "")))
 
 
-def extract_blocks(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, pos, type, level, text) in document order; types h, p, item, note.
-
-    Each block tag starts a line that ends at the next block tag, so an unclosed tag ends there too. The level of an
-    item is the number of lists around its own, at most 5.
-    """
-    tags = "|".join(sorted(BLOCK_TAGS, key=len, reverse=True))
-    marked = F.regexp_replace(without_boilerplate(F.col(html)), rf"(?i)<(/?(?:{tags}))(?:\s[^>]*|/)?>", "\u0001$1\u0002")
-
-    def line(piece: Column, depth: Column) -> Column:
-        tagged = F.contains(piece, F.lit("\u0002"))
-        tag = F.when(tagged, F.lower(F.substring_index(piece, "\u0002", 1))).otherwise("")
-        body = F.when(tagged, F.substr(piece, F.instr(piece, "\u0002") + 1)).otherwise(piece)
-        return F.struct(tag.alias("tag"), body.alias("body"), plain_text(body).alias("text"), depth.alias("depth"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        tag = F.lower(F.substring_index(piece, "\u0002", 1))
-        now = F.greatest(F.lit(0), F.element_at(acc, -1) + F.when(tag.isin("ul", "ol"), 1).when(tag.isin("/ul", "/ol"), -1).otherwise(0))
-        return F.array_append(acc, now)
-
-    split = pages.select(page, F.split(marked, "\u0001").alias("pieces"))
-    # Depth of list nesting at every piece, after a leading zero.
-    nested = split.withColumn("depths", F.aggregate("pieces", F.array(F.lit(0)), step))
-    depth_of = F.slice("depths", 2, F.greatest(F.lit(1), F.size("pieces")))
-    lines = F.filter(F.zip_with("pieces", depth_of, line), lambda x: x["text"] != "")
-    rows = nested.select(page, F.posexplode(lines).alias("pos", "l")).select(page, "pos", "l.tag", "l.body", "l.text", "l.depth")
-    bold = r"(?is)<(?:b|strong)\b[^>]*>.*?(?:</(?:b|strong)\s*>|\z)"
-    red = rf"(?is)<[a-z]+\b[^>]*{RED}[^>]*>.*?(?:</[a-z]+\s*>|\z)"
-    linked = F.col("body").rlike(r"(?i)<a\b[^>]*\bhref")
-    only = lambda pattern: F.col("body").rlike(pattern) & (plain_text(F.regexp_replace("body", pattern, "")) == "")
-    heading = F.col("tag").rlike("^h[1-6]$")
-    is_note = ~linked & only(red)
-    is_bold = ~linked & only(bold) & (F.char_length("text") <= HEADING_MAX)
-    kind = F.when(heading, "h").when(F.col("tag") == "li", "item").when(is_note, "note").when(is_bold, "h").otherwise("p")
-    level = F.when(heading, F.least(F.lit(6), F.greatest(F.lit(3), F.substring("tag", 2, 1).try_cast("int") + 1))).when(F.col("type") == "h", 4).when(
-        F.col("type") == "item", F.greatest(F.lit(0), F.least(F.lit(5), F.col("depth") - 1))
-    )
-    text = F.when((F.col("type") == "h") & ~heading, C.strip_marker(F.col("text"))).otherwise(F.col("text"))
-    return rows.withColumn("type", kind).select(page, "pos", "type", level.alias("level"), text.alias("text"))
-
-
 def normalize_cell(c: Column) -> Column:
     """One spelling for the marks used in tables."""
     t = C.trim_space(c)
@@ -150,53 +111,42 @@ def normalize_cell(c: Column) -> Column:
     )
 
 
-def extract_tables(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, tbl, row, col, text, is_head); the first row is the head if all its cells are ``th``."""
-    inner = lambda c, tag: F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
-    tables = pages.select(page, F.posexplode(inner(without_boilerplate(F.col(html)), "table")).alias("tbl", "t"))
-    rows = tables.select(page, "tbl", F.posexplode(F.filter(inner(F.col("t"), "tr"), lambda r: r.rlike(r"(?i)<t[dh]\b"))).alias("row", "r"))
-    cell = F.lit(r"(?is)<t([dh])\b[^>]*>(.*?)</t[dh]\s*>")
-    kinds = F.transform(F.regexp_extract_all("r", cell, F.lit(1)), F.lower)
-    cells = F.arrays_zip(kinds.alias("k"), F.regexp_extract_all("r", cell, F.lit(2)).alias("v"))
-    head = (F.col("row") == 0) & F.forall(kinds, lambda k: k == "h")
-    return rows.select(page, "tbl", "row", head.alias("is_head"), F.posexplode(cells).alias("col", "c")).select(
-        page, "tbl", "row", "col", normalize_cell(plain_text(F.col("c.v"))).alias("text"), "is_head"
-    )
+def _url_parts(url: Column) -> Column:
+    """(origin, path, tail) of an absolute address."""
+    pattern = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)$"
+    return F.struct(*[F.regexp_extract(url, pattern, k).alias(n) for k, n in ((1, "origin"), (2, "path"), (3, "tail"))])
+
+
+def without_dots(url: Column) -> Column:
+    """An address with the ``.`` and ``..`` segments of its path taken out."""
+    def step(acc: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(part == ".", acc).otherwise(F.array_append(acc, part))
+
+    none = F.array().cast("array<string>")
+
+    def tidy(parts: Column) -> Column:
+        ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        return F.array_join(F.concat(F.aggregate(parts, none, step), ends), "/")
+
+    joined = C.let(_url_parts(url), lambda u: F.concat(u["origin"], C.let(F.split(u["path"], "/"), tidy), u["tail"]))
+    return F.when(url.rlike(r"^[^?#]*/\.{1,2}(?:[/?#]|$)"), joined).otherwise(url)
 
 
 def resolve_href(href: Column, base: Column) -> Column:
     """Absolute URL of a link found on ``base``."""
-    h = C.trim_space(href)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "[^/]*$", "")).otherwise("/")
-    return (
-        F.when(h == "", None).when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(F.substring_index(base, "//", 1), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
-        .when(h.rlike("^[?#]"), F.concat(origin, F.when(path == "", "/").otherwise(path), h))
-        .otherwise(F.concat(origin, folder, F.regexp_replace(h, r"^\./", "")))
-    )
-
+    def resolved(x: Column) -> Column:
+        h, origin, path = x["h"], x["b"]["origin"], x["b"]["path"]
+        folder = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "[^/]*$", "")).otherwise("/")
+        return (
+            F.when(h == "", None).when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+            .when(F.startswith(h, F.lit("//")), F.concat(F.substring_index(origin, "//", 1), h))
+            .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+            .when(h.rlike("^[?#]"), F.concat(origin, F.when(path == "", "/").otherwise(path), h))
+            .otherwise(F.concat(origin, folder, h))
+        )
 
-def page_links(pages: DataFrame, page: str = "page_id", html: str = "html", base: str = "url") -> DataFrame:
-    """(page, pos, href, text) of every anchor, absolute but not yet checked."""
-    anchor = F.lit(r"(?is)<a\b([^>]*)>(.*?)</a\s*>")
-    clean = without_boilerplate(F.col(html))
-    pairs = F.arrays_zip(F.regexp_extract_all(clean, anchor, F.lit(1)).alias("a"), F.regexp_extract_all(clean, anchor, F.lit(2)).alias("t"))
-    attr = r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    raw = F.concat(*[F.regexp_extract("l.a", attr, i) for i in (1, 2, 3)])
-    rows = pages.select(page, base, F.posexplode(pairs).alias("pos", "l"))
-    return rows.select(page, "pos", resolve_href(decode_entities(raw), F.col(base)).alias("href"), plain_text(F.col("l.t")).alias("text"))
-
-
-def extract_links(pages: DataFrame, allow: list[str], page: str = "page_id", html: str = "html", base: str = "url") -> tuple[DataFrame, DataFrame]:
-    """Links that pass the URL rules and the host list, and the count of dropped links per host."""
-    links = page_links(pages, page, html, base)
-    host = C.url_host(F.col("href"))
-    ok = F.coalesce(C.clean_https_url(F.col("href")).isNotNull() & ~C.has_port(F.col("href")) & C.host_allowed(host, allow), F.lit(False))
-    dropped = links.filter(~ok).groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.count("*").alias("dropped"))
-    return links.filter(ok), dropped
+    found = C.let(F.struct(C.trim_space(href).alias("h"), _url_parts(base).alias("b")), resolved)
+    return C.let(found, without_dots)
 
 
 def classify_links(df: DataFrame) -> DataFrame:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
+from tidewell.operators import markup as M
 from tidewell.operators import pages as P
 from tidewell.plans.registry import query
 
 # ---------------------------------------------------------------- check SQL pieces
-_WHOLE = "|".join(
-    rf"{t}\b[^>]*>.*?</{t}" for t in
-    "script style textarea title xmp noscript template iframe noembed noframes plaintext svg math object form button select option video audio canvas map picture head".split()
-)
-_BLOCKS = "blockquote|section|article|address|caption|header|footer|figure|figcaption|table|aside|thead|tbody|tfoot|body|html|main|div|pre|nav|h1|h2|h3|h4|h5|h6|ul|ol|li|tr|td|th|dl|dt|dd|hr|br|p"
+_RAW = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in "script style textarea title xmp noscript template iframe noembed noframes plaintext".split())
+_DROPPED = "svg math object form button select option video audio canvas map picture head".split()
+_WHOLE = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in _DROPPED)
+_INLINE = "('" + "','".join("span font em i u sup sub small big abbr cite code mark q s del ins label time bdi bdo nobr a b strong".split()) + "')"
 
 
 def stripped(col: str) -> str:
-    s = f"regexp_replace({col}, '(?s)<!--.*?-->', '', 'g')"
-    s = f"regexp_replace({s}, '(?is)<(?:{_WHOLE})\\s*>', '', 'g')"
-    return f"regexp_replace({s}, '(?i)<!doctype[^>]*>|</?(?:embed|input|img|link|meta|base)\\b[^>]*>', '', 'g')"
+    s = f"regexp_replace({col}, '(?is)<!--.*?(?:-->|\\z)|{_RAW}', '', 'g')"
+    s = f"regexp_replace({s}, '(?is){_WHOLE}', '', 'g')"
+    return f"regexp_replace({s}, '(?i)<!doctype[^>]*>|</?(?:embed|input|img|link|meta|base|{'|'.join(_DROPPED)})\\b[^>]*>', '', 'g')"
 
 
 def decoded(col: str) -> str:
@@ -35,18 +35,58 @@ def plain(col: str) -> str:
     return f"trim(regexp_replace({s}, '[\\s\\x{{A0}}\\x{{3000}}\\x{{2002}}\\x{{2003}}\\x{{2009}}]+', ' ', 'g'))"
 
 
-BLOCK_SQL = f"""(SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, tag, body, {plain('body')} AS text FROM (
-      SELECT page_id, i, CASE WHEN contains(piece, chr(2)) THEN lower(split_part(piece, chr(2), 1)) ELSE '' END AS tag,
-             CASE WHEN contains(piece, chr(2)) THEN substr(piece, instr(piece, chr(2)) + 1) ELSE piece END AS body
-      FROM (SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
-        SELECT page_id, string_split(regexp_replace({stripped('html')}, '(?i)<(/?(?:{_BLOCKS}))(?:\\s[^>]*|/)?>', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM pages)))
-    WHERE {plain('body')} <> '')"""
-BOLD_LEFT = plain("re")  # what is left of a line without its bold parts, see TYPED_SQL
-TYPED_SQL = f"""(SELECT page_id, pos, text, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'h' WHEN tag = 'li' THEN 'item'
-      WHEN bold AND left_over = '' AND length(text) <= 40 THEN 'h' ELSE 'p' END AS type, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN least(6, greatest(3, CAST(substr(tag, 2, 1) AS INTEGER) + 1))
-      WHEN tag = 'li' THEN 0 WHEN bold AND left_over = '' AND length(text) <= 40 THEN 4 END AS level
-    FROM (SELECT *, regexp_matches(body, '(?is)<(?:b|strong)\\b[^>]*>') AS bold, {BOLD_LEFT} AS left_over
-          FROM (SELECT *, regexp_replace(body, '(?is)<(?:b|strong)\\b[^>]*>.*?(?:</(?:b|strong)\\s*>|\\z)', '', 'g') AS re FROM {BLOCK_SQL})))"""
+# Every page ends with parts of our own: nested lists, an indented item, nested tables, notes, bold lines and tags that are never closed.
+TAIL = [
+    "<ul><li>item ", None, "<br>more<ol><li>deep ", None, "<li style=\"margin-left:25px\">deeper</ol>rest</li><li><p>para</p></ul></ul><p style='color: red'>note ", None,
+    "</p><p style='background-color:red'>plain ", None, "</p><p><b>bold ", None, "</b> <strong>line</strong></p><table><caption>Cap ", None, "</caption><thead><tr><td>A<th>B</thead><tr><td>",
+    None, "<table><tr><td>in</td></tr></table><td>x<ul><li>y</ul></tr></table><table><tr><th>only</th></tr></table><ul> </ul><p>see <a href=/t/../u/", None,
+    ">one <a href='/v'>two</a> <a name=n>end</a><div>tail<textarea>never closed ", None,
+]
+_TAIL_SQL = " || ".join("CAST(page_id AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'" for x in TAIL)
+PIECE_SQL = f"""(SELECT page_id, i, name, shut, attrs, text, floor_of(lists, lows) AS ld, floor_of(tables, lowt) AS td FROM (
+      SELECT *, min(lists) OVER w AS lows, min(tables) OVER w AS lowt FROM (
+        SELECT *, sum(CASE WHEN name IN ('ul', 'ol') THEN CASE WHEN shut THEN -1 ELSE 1 END ELSE 0 END) OVER w AS lists,
+          sum(CASE WHEN name = 'table' THEN CASE WHEN shut THEN -1 ELSE 1 END ELSE 0 END) OVER w AS tables FROM (
+          SELECT page_id, i, CASE WHEN i > 0 THEN ltrim(lower(split_part(piece, chr(2), 1)), '/') END AS name, i > 0 AND piece LIKE '/%' AS shut,
+            CASE WHEN i > 0 THEN split_part(split_part(piece, chr(2), 2), chr(3), 1) ELSE '' END AS attrs, CASE WHEN i > 0 THEN split_part(piece, chr(3), 2) ELSE piece END AS text
+          FROM (SELECT page_id, unnest(a) AS piece, generate_subscripts(a, 1) - 1 AS i FROM (
+            SELECT page_id, string_split(regexp_replace({stripped(f'(html || {_TAIL_SQL})')}, '(?s)<(/?)([a-zA-Z][\\w:-]*)([^>]*)>', chr(1) || '\\1\\2' || chr(2) || '\\3' || chr(3), 'g'), chr(1)) AS a FROM pages)))
+        WINDOW w AS (PARTITION BY page_id ORDER BY i))
+      WINDOW w AS (PARTITION BY page_id ORDER BY i)))""".replace("floor_of(lists, lows)", "lists - least(0, lows)").replace("floor_of(tables, lowt)", "tables - least(0, lowt)")
+UNIT_SQL = f"""(SELECT *, CASE WHEN ld + td = 0 THEN 'line' WHEN boxed = 'table' THEN 'table' WHEN begins THEN 'list' WHEN td = 0 AND li > coalesce(lst, -1) AND li > coalesce(lend, -1) THEN 'item' END AS kind,
+      CASE WHEN ld + td = 0 THEN line WHEN boxed = 'table' THEN box WHEN begins THEN i WHEN td = 0 AND li > coalesce(lst, -1) AND li > coalesce(lend, -1) THEN li END AS unit,
+      coalesce(a_open > coalesce(a_shut, -1), false) AS linked FROM (
+    SELECT *, last_value(CASE WHEN begins THEN i END IGNORE NULLS) OVER w AS box, last_value(CASE WHEN begins THEN name END IGNORE NULLS) OVER w AS boxed,
+      coalesce(last_value(CASE WHEN name NOT IN {_INLINE} THEN i END IGNORE NULLS) OVER w, 0) AS line, last_value(CASE WHEN name = 'a' AND NOT shut THEN i END IGNORE NULLS) OVER w AS a_open,
+      last_value(CASE WHEN name = 'a' AND NOT shut THEN attrs END IGNORE NULLS) OVER w AS a_attrs, last_value(CASE WHEN name = 'a' AND shut THEN i END IGNORE NULLS) OVER w AS a_shut,
+      last_value(CASE WHEN name = 'li' AND td = 0 AND NOT shut THEN i END IGNORE NULLS) OVER d AS li, last_value(CASE WHEN name = 'li' AND td = 0 AND shut THEN i END IGNORE NULLS) OVER d AS lend,
+      last_value(CASE WHEN name IN ('ul', 'ol') AND NOT shut THEN i END IGNORE NULLS) OVER d AS lst
+    FROM (SELECT *, coalesce(name IN ('ul', 'ol', 'table') AND NOT shut AND ld + td = 1, false) AS begins FROM {PIECE_SQL})
+    WINDOW w AS (PARTITION BY page_id ORDER BY i), d AS (PARTITION BY page_id, ld ORDER BY i)))"""
+_SPACES = "[\\s\\x{A0}\\x{3000}\\x{2002}\\x{2003}\\x{2009}]+"
+_HREF = f"regexp_extract(a_attrs, '(?i)href\\s*=\\s*[\"'']?([^\"''>\\s]*)', 1)"
+
+
+def shown(col: str) -> str:
+    return f"trim(regexp_replace({decoded(col)}, '{_SPACES}', ' ', 'g'))"
+
+
+BLOCK_SQL = f"""(WITH u AS (SELECT *, trim(regexp_replace(text, '{_SPACES}', ' ', 'g')) = '' AS blank, sum(CASE WHEN name IN ('b', 'strong') THEN CASE WHEN shut THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY page_id, kind, unit ORDER BY i) AS bold
+      FROM {UNIT_SQL} WHERE kind IS NOT NULL),
+    v AS (SELECT *, bold - least(0, min(bold) OVER (PARTITION BY page_id, kind, unit ORDER BY i)) AS fat FROM u),
+    g AS (SELECT page_id, unit, kind, coalesce(arg_min(name, i), '') AS tag, coalesce(arg_min(attrs, i), '') AS attrs, arg_min(shut, i) AS shut, min(ld) AS ld, max(td) AS td,
+        {shown("string_agg(CASE WHEN name = 'br' THEN ' ' ELSE '' END || text, '' ORDER BY i)")} AS text, bool_or(linked AND NOT blank AND {_HREF} <> '') AS linked,
+        bool_and(fat > 0 OR blank) AS bold, count(DISTINCT CASE WHEN linked AND text <> '' AND {_HREF} <> '' THEN a_open END) AS links,
+        bool_or(name = 'td' AND td = 1) AS cells, arg_min(ld, i) AS level FROM v GROUP BY ALL),
+    k AS (SELECT *, CASE WHEN kind <> 'line' THEN kind WHEN regexp_matches(tag, '^h[1-6]$') AND NOT shut THEN 'h'
+        WHEN NOT linked AND regexp_matches(attrs, '(?i)[\\s;\"'']color:\\s*red') THEN 'note' WHEN NOT linked AND bold AND length(text) <= 40 THEN 'h' ELSE 'p' END AS type
+      FROM g WHERE CASE WHEN kind = 'table' THEN cells WHEN kind = 'list' THEN true ELSE text <> '' END),
+    n AS (SELECT *, lead(type) OVER (PARTITION BY page_id ORDER BY unit) AS next FROM k)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY unit) - 1 AS INTEGER) AS pos, type,
+      CAST(CASE WHEN type = 'h' AND regexp_matches(tag, '^h[1-6]$') AND NOT shut THEN least(6, greatest(3, CAST(substr(tag, 2, 1) AS INTEGER) + 1)) WHEN type = 'h' THEN 4
+        WHEN type = 'item' THEN least(5, level - 1 + CASE WHEN regexp_matches(attrs, 'margin-left:[2-9][0-9]') THEN 1 ELSE 0 END) END AS INTEGER) AS level,
+      CASE WHEN type = 'list' THEN tag WHEN type <> 'table' THEN text END AS text, CASE WHEN type = 'table' THEN 'Cap ' || CAST(page_id AS VARCHAR) END AS caption,
+      CASE WHEN type = 'p' THEN CAST(links AS INTEGER) END AS links FROM n WHERE type <> 'list' OR coalesce(next, '') = 'item')"""
 LINK_SQL = f"""(SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || replace(a[i], '&amp;', '&') AS href, {plain('t[i]')} AS text
     FROM (SELECT page_id, url, a, t, unnest(generate_series(1, len(a))) AS i FROM (
       SELECT page_id, url, regexp_extract_all(s, '(?is)<a\\b[^>]*href="([^"]*)"[^>]*>(.*?)</a\\s*>', 1) AS a, regexp_extract_all(s, '(?is)<a\\b([^>]*)>(.*?)</a\\s*>', 2) AS t
@@ -60,13 +100,28 @@ def e1(t):
     return P.strip_boilerplate(t.text_table("pages")).select("page_id", F.sha2("html", 256).alias("content"), F.char_length("html").alias("n"))
 
 
+def longer_pages(t):
+    """The pages with our own parts at their end."""
+    tail = F.concat(*[F.col("page_id").cast("string") if x is None else F.lit(x) for x in TAIL])
+    return t.text_table("pages").select("page_id", "url", F.concat("html", tail).alias("html"))
+
+
 def blocks(t):
-    return P.extract_blocks(t.text_table("pages").select("page_id", "html"))
+    return M.extract_blocks(longer_pages(t), base="url")
 
 
-@query("e2_extract_blocks", f"SELECT page_id, pos, type, level, text FROM {TYPED_SQL}")
+@query("e2_extract_blocks", f"SELECT page_id, pos, type, level, text, caption, links FROM {BLOCK_SQL}")
 def e2(t):
-    return blocks(t)
+    links = F.size(F.filter("runs", lambda r: r["href"].isNotNull()))
+    return blocks(t).select("page_id", "pos", "type", "level", "text", "caption", F.when(F.col("runs").isNotNull(), links).alias("links"))
+
+
+@query("e2_page_tables", """
+    SELECT page_id, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, replace(x, '#', CAST(page_id AS VARCHAR)) AS text, r = 0 AS is_head, 'Cap ' || CAST(page_id AS VARCHAR) AS caption
+    FROM pages, (VALUES (0, 0, 'A'), (0, 1, 'B'), (1, 0, '#in'), (1, 1, 'xy')) AS v(r, c, x)""")
+def e2_tables(t):
+    """The tables of the same pages: nested ones are text of a cell, head and caption of the outer one."""
+    return M.extract_tables(longer_pages(t)).select("page_id", "row", "col", "text", "is_head", "caption")
 
 
 def order_tables(t):
@@ -88,17 +143,17 @@ def order_tables(t):
       UNION ALL SELECT o_orderkey, 1, 1, CASE o_orderstatus WHEN 'F' THEN '✓' WHEN 'O' THEN '✗' ELSE '✓ (part)' END FROM orders
       UNION ALL SELECT o_orderkey, 2, 0, CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT o_orderkey, 2, 1, o_orderpriority FROM orders)""")
 def e3(t):
-    return P.extract_tables(order_tables(t))
+    return M.extract_tables(order_tables(t)).drop("caption")
 
 
 @query("e4_extract_links", f"SELECT page_id, pos, href, text FROM {LINK_SQL} WHERE {LINK_OK}")
 def e4(t):
-    return P.extract_links(t.text_table("pages"), ALLOW)[0]
+    return M.extract_links(t.text_table("pages"), ALLOW)[0]
 
 
 @query("e4_dropped_hosts", f"SELECT regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) AS host, count(*) AS dropped FROM {LINK_SQL} WHERE NOT {LINK_OK} GROUP BY 1")
 def e4_dropped(t):
-    return P.extract_links(t.text_table("pages"), ALLOW)[1]
+    return M.extract_links(t.text_table("pages"), ALLOW)[1]
 
 
 @query("e5_classify_links", f"""
@@ -108,7 +163,7 @@ def e4_dropped(t):
 def e5(t):
     k, pos = F.col("page_id") % 3, F.col("pos")
     ext = F.when(pos % 2 == 0, ".PDF").otherwise(".docx")
-    links = P.page_links(t.text_table("pages")).withColumns({
+    links = M.page_links(t.text_table("pages")).withColumns({
         "kind": F.when(k == 0, "相關附件").when(k == 1, "下載").otherwise("相關連結"),
         "href": F.concat("href", F.when(pos % 3 == 0, "/File/Get/1").otherwise("")),
         "title": F.when(pos % 2 == 0, F.concat("text", ext, F.lit(" (另開新視窗)"))).otherwise(""),
@@ -237,7 +292,7 @@ def e12(t):
 def e13(t):
     """Navigation links written as one paragraph: each link is followed by a separator run."""
     # Separators inside a link's own text stay; only text runs are split.
-    links = P.page_links(t.text_table("pages"))
+    links = M.page_links(t.text_table("pages"))
     runs = links.select("page_id", F.explode(F.array(
         F.struct((F.col("pos") * 2).alias("pos"), F.col("text").alias("text"), F.col("href").alias("href")),
         F.struct((F.col("pos") * 2 + 1).alias("pos"), F.lit("、 ").alias("text"), F.lit(None).cast("string").alias("href")),
@@ -247,7 +302,7 @@ def e13(t):
 
 @query("e14_dedup_links", f"SELECT page_id, href, text, min(pos) AS pos FROM {LINK_SQL} GROUP BY 1, 2, 3")
 def e14(t):
-    return P.dedup_links(P.page_links(t.text_table("pages")), ["page_id"])
+    return P.dedup_links(M.page_links(t.text_table("pages")), ["page_id"])
 
 
 @query("e15_order_sections", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import versions as V
-from tidewell.plans.pages import TYPED_SQL, blocks
+from tidewell.plans.pages import BLOCK_SQL, blocks
 from tidewell.plans.registry import query
 
 LANGS = ["en", "de", "fr", "es"]
@@ -227,6 +227,6 @@ def e35(t):
     return V.section_labels(s, label).select("page_id", "pos", "nav")
 
 
-@query("e36_relative_headings", f"SELECT page_id, pos, CAST(CASE WHEN level = min(level) OVER (PARTITION BY page_id) THEN 3 ELSE 4 END AS INTEGER) AS depth FROM {TYPED_SQL} WHERE type = 'h'")
+@query("e36_relative_headings", f"SELECT page_id, pos, CAST(CASE WHEN level = min(level) OVER (PARTITION BY page_id) THEN 3 ELSE 4 END AS INTEGER) AS depth FROM {BLOCK_SQL} WHERE type = 'h'")
 def e36(t):
     return V.relative_headings(blocks(t)).select("page_id", "pos", "depth")
