@@ -185,7 +185,7 @@ def _grouped(pages: DataFrame, kinds: list[str], page: str, html: str, base: str
     if base is not None:
         units = units.withColumn("href", F.when(F.col("href").isNotNull(), P.resolve_href(F.col("href"), F.col("base"))))
     part = F.struct("i", "name", "shut", "attrs", "text", "href", "list_depth", "table_depth", "tr", "thead")
-    return units.groupBy(page, "unit", "kind").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return units.groupBy(page, "unit", "kind").agg(F.sort_array(F.collect_list(part)).alias("parts"))
 
 
 def extract_blocks(pages: DataFrame, page: str = "page_id", html: str = "html", base: str | None = None) -> DataFrame:
@@ -253,7 +253,7 @@ def extract_tables(pages: DataFrame, page: str = "page_id", html: str = "html")
 def page_links(pages: DataFrame, page: str = "page_id", html: str = "html", base: str = "url") -> DataFrame:
     """(page, pos, href, text) of every link with an address, absolute but not yet checked."""
     pieces = piece_units(pages, page, html, base).filter("link is not null")
-    parts = pieces.groupBy(page, "base", "link").agg(F.array_sort(F.collect_list(F.struct("i", "name", "shut", "text"))).alias("parts"))
+    parts = pieces.groupBy(page, "base", "link").agg(F.sort_array(F.collect_list(F.struct("i", "name", "shut", "text"))).alias("parts"))
     links = parts.select(page, "base", F.col("link.i").alias("at"), href_of(F.col("link.attrs")).alias("raw"), _texts(F.col("parts")).alias("text")).filter("raw <> ''")
     links = links.withColumn("pos", F.row_number().over(Window.partitionBy(page).orderBy("at")) - 1)
     return links.select(page, "pos", P.resolve_href(F.col("raw"), F.col("base")).alias("href"), "text")

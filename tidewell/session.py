@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Without it every column expression sends its place in the source to the JVM, which takes longer than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
