@@ -278,6 +278,22 @@ def c13(t):
     return near.select(F.col("target_id").alias("supplier_id"), F.col("point_id").alias("customer_id"), F.round("km", 6).alias("km"), "rank")
 
 
+@query("c13_nearest_dense", f"""
+    SELECT supplier_id, customer_id, km, rank FROM (SELECT s_suppkey AS supplier_id, c_custkey AS customer_id, round({km('lat0', 'lng0', 'lat1', 'lng1')}, 9) AS km,
+        CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY {km('lat0', 'lng0', 'lat1', 'lng1')}, c_custkey) AS INTEGER) AS rank
+      FROM (SELECT s_suppkey, 25.04 + (s_suppkey * 7717 % 50000) / CAST(5000000 AS DOUBLE) AS lat0, 121.56 + (s_suppkey * 15731 % 50000) / CAST(5000000 AS DOUBLE) AS lng0 FROM supplier)
+      CROSS JOIN (SELECT c_custkey, 25.04 + (c_custkey * 7919 % 50000) / CAST(5000000 AS DOUBLE) AS lat1, 121.56 + (c_custkey * 104729 % 50000) / CAST(5000000 AS DOUBLE) AS lng1 FROM customer)) WHERE rank <= 5""")
+def c13_dense(t):
+    """All places within a hundredth of a degree."""
+    def spread(key, a, b):
+        return [(F.lit(25.04) + (key * a % 50000) / F.lit(5000000.0)).alias("lat"), (F.lit(121.56) + (key * b % 50000) / F.lit(5000000.0)).alias("lng")]
+
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    targets, points = t.supplier.select(s.alias("target_id"), *spread(s, 7717, 15731)), t.customer.select(c.alias("point_id"), *spread(c, 7919, 104729))
+    near = grid.nearest_k(targets, points, 5, grid.depth_for(t.customer.count()))
+    return near.select(F.col("target_id").alias("supplier_id"), F.col("point_id").alias("customer_id"), F.round("km", 9).alias("km"), "rank")
+
+
 @query("c14_result_extent", f"""
     WITH x AS (SELECT city, lat, lng, row_number() OVER (PARTITION BY city ORDER BY {km('25.0478', '121.517', 'lat', 'lng')}, id) AS rn FROM v_facility_base)
     SELECT city, round(min(lat), 6) AS south, round(max(lat), 6) AS north, round(min(lng), 6) AS west, round(max(lng), 6) AS east, count(*) AS n FROM x WHERE rn <= 100 GROUP BY 1""")
