@@ -173,6 +173,45 @@ def test_nearest_with_a_hot_place(spark, depth, box):
     assert got == brute_nearest(targets, points, 7, box)
 
 
+def test_nearest_in_a_crowd(spark):
+    """All points within a thousandth of a degree, some a millimetre apart: the tree has to go deep."""
+    rng = random.Random(9)
+    points = [(i, 25.04 + rng.random() * 1e-3, 121.56 + rng.random() * 1e-3, "a", "n") for i in range(1200)]
+    points += [(5000 + i, 25.0405 + rng.random() * 1e-8, 121.5605 + rng.random() * 1e-8, "a", "n") for i in range(300)]
+    targets = [(i, 25.04 + rng.random() * 1e-3, 121.56 + rng.random() * 1e-3, "a") for i in range(60)] + [(90, 25.0405, 121.5605, "a"), (91, -80.0, -170.0, "a")]
+    p = spark.createDataFrame(points, "point_id long, lat double, lng double, key string, name string")
+    t = spark.createDataFrame(targets, "target_id long, lat double, lng double, key string")
+    place = {x[0]: x[1:3] for x in points}
+
+    def km(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(h))
+
+    # Distances are compared, because points below a micrometre apart may change places.
+    got = {}
+    for r in grid.nearest_k(t, p, 5, grid.depth_for(len(points)), ["key"], ["name"]).collect():
+        got.setdefault(r["target_id"], {})[r["rank"]] = (r["point_id"], r["km"])
+    for tid, lat, lng, _ in targets:
+        want = sorted(km((lat, lng), q) for q in place.values())[:5]
+        assert sorted(got[tid]) == [1, 2, 3, 4, 5] and len({x[0] for x in got[tid].values()}) == 5
+        assert all(abs(got[tid][i + 1][1] - want[i]) < 1e-7 for i in range(5))
+
+
+def test_top_results_equal_the_full_list(spark):
+    rng = random.Random(6)
+    words = ["flu", "shot", "care", "clinic", "city", "lane"]
+    data = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 4))), rng.choice(words), rng.choice(words)) for i in range(400)] + [(1000 + i, "flu", "city", "lane") for i in range(300)]
+    items = spark.createDataFrame(data, "item_id long, name string, area string, addr string")
+    queries = [(i, " ".join(rng.choices([*words, "l", "c"], k=rng.randrange(1, 4)))) for i in range(25)] + [(90, "nowhere"), (91, "flu nowhere"), (92, ""), (93, "flu flu")]
+    tokens = S.tokenize_queries(spark.createDataFrame(queries, "query_id long, q string"))
+    full = {}
+    for r in S.search_score(items, tokens, {}).collect():
+        full.setdefault(r["query_id"], []).append((-r["score"], r["item_id"]))
+    want = sorted((q, item, -s, i + 1) for q, found in full.items() for i, (s, item) in enumerate(sorted(found)[:7]))
+    assert rows(S.search_top(items, tokens, 7, {}), "query_id", "item_id", "score", "rank") == want
+    assert S.search_top(items, tokens.filter("token = 'nowhere'"), 7, {}).collect() == []
+
+
 def test_boxes(spark):
     rng = random.Random(3)
     points = [(i, round(rng.uniform(21, 27), 2), round(rng.uniform(117, 123), 2)) for i in range(500)] + [(900 + i, 25.0, 121.0) for i in range(250)]

@@ -238,15 +238,10 @@ def _latin_hits(items: DataFrame, tokens: DataFrame) -> DataFrame:
     return latin.join(hits, "needle").select("token", "item_id", "score")
 
 
-def search_score(items: DataFrame, tokens: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """(query_id, item_id, score) for items in which every token of the query is found.
-
-    items: item_id, name, area, addr and optionally name_en, area_en, addr_en. tokens: query_id, pos, token.
-    Work is per distinct token, and each query starts from its token with the fewest hits.
-    """
+def token_hits(items: DataFrame, tokens: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(token, item_id, score): the best hit of every distinct token in every item that has one."""
     aliases = NAME_ALIASES if aliases is None else aliases
     latin = {"name_en", "area_en", "addr_en"} <= set(items.columns)
-    tokens = materialize(tokens, "tokens")
     plain = items.select("item_id", *[C.normalize_text(F.col(f)).alias(f) for f in ("name", "area", "addr")])
     distinct = tokens.select("token").distinct()
 
@@ -293,7 +288,17 @@ def search_score(items: DataFrame, tokens: DataFrame, aliases: dict[str, list[st
         ranked = scored.withColumn("direct", F.lit(1)).unionByName(first.withColumn("direct", F.lit(0)))
         scored = ranked.groupBy("token", "item_id").agg(F.max_by("score", "direct").alias("score"))
 
-    scored = materialize(scored, "token-hits")
+    return materialize(scored, "token-hits")
+
+
+def search_score(items: DataFrame, tokens: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query_id, item_id, score) for items in which every token of the query is found.
+
+    items: item_id, name, area, addr and optionally name_en, area_en, addr_en. tokens: query_id, pos, token.
+    Work is per distinct token, and each query starts from its token with the fewest hits.
+    """
+    tokens = materialize(tokens, "tokens")
+    scored = token_hits(items, tokens, aliases)
     hit_counts = scored.groupBy("token").agg(F.count("*").alias("hits"))
     sized = tokens.join(hit_counts, "token", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     anchor = sized.groupBy("query_id").agg(F.min_by("token", F.struct("hits", "pos")).alias("token"))
@@ -310,6 +315,46 @@ def search_score(items: DataFrame, tokens: DataFrame, aliases: dict[str, list[st
     )
 
 
+def search_top(items: DataFrame, tokens: DataFrame, k: int, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank), the ``k`` best items of every query (ties by item_id) without listing the others.
+
+    The hits of a query's rarest token are read in tiers of their score, the highest first. What is still unread scores at most
+    the next tier plus the best scores of the other tokens, so a query is done as soon as its k-th result beats that. Scores are
+    the few values of the hit rules, which bounds the number of tiers. Of a query of one token only k items of a tier are taken.
+    """
+    tokens = materialize(tokens, "tokens")
+    scored = token_hits(items, tokens, aliases)
+    tiers = [r["score"] for r in scored.select("score").distinct().orderBy(F.desc("score")).collect()]
+    stats = scored.groupBy("token").agg(F.count("*").alias("hits"), F.max("score").alias("top"))
+    sized = tokens.join(stats, "token", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    rarest = F.min_by(F.struct("token", "top"), F.struct("hits", "pos"))
+    plan = sized.groupBy("query_id").agg(rarest.alias("a"), F.sum("top").alias("tops"), F.count("*").alias("n_tokens"), F.min("hits").alias("least")).filter("least > 0")
+    todo = materialize(plan.select("query_id", F.col("a.token").alias("token"), (F.col("tops") - F.col("a.top")).alias("others"), "n_tokens"), "open-queries")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    best = None
+    for i, score in enumerate(tiers):
+        read = todo.join(scored.filter(F.col("score") == score), "token")
+        alone = read.filter("n_tokens = 1").select("query_id", "item_id", "score")
+        alone = alone.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).drop("rank")
+        together = (
+            read.filter("n_tokens > 1").select("query_id", "item_id", "n_tokens").join(tokens, "query_id").join(scored, ["token", "item_id"])
+            .groupBy("query_id", "item_id").agg(F.sum("score").alias("score"), F.count("*").alias("found"), F.max("n_tokens").alias("n_tokens"))
+            .filter("found = n_tokens").select("query_id", "item_id", "score")
+        )
+        found = alone.unionByName(together)
+        found = found if best is None else best.drop("rank").unionByName(found)
+        best = materialize(found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k), "best")
+        if i + 1 < len(tiers):
+            last = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+            beaten = F.coalesce((F.col("n") == k) & (F.col("kth") > tiers[i + 1] + F.col("others")), F.lit(False))
+            todo = materialize(todo.join(last, "query_id", "left").filter(~beaten).drop("n", "kth"), "open-queries")
+            if todo.isEmpty():
+                break
+    if best is None:  # no token is found anywhere
+        best = scored.join(tokens, "token").select("query_id", "item_id", "score", F.lit(1).alias("rank"))
+    return best.select("query_id", "item_id", F.col("score").cast("int").alias("score"), "rank")
+
+
 # ------------------------------------------------------------------ ranking
 def tier(score: Column) -> Column:
     return F.when(score >= 60, 2).when(score > 0, 1).otherwise(0)

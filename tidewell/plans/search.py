@@ -171,6 +171,16 @@ def c8(t):
     return S.search_score(part_items(t), S.tokenize_queries(part_queries(t)))
 
 
+@query("c8_search_top", f"""
+    WITH tok AS {PART_TOKENS}, item AS (SELECT p_partkey, {norm('p_name')} AS nn, {norm('p_brand')} AS na, {norm('p_type')} AS nd FROM part),
+      full_list AS (SELECT query_id, p_partkey AS item_id, CAST(sum(s) AS INTEGER) AS score FROM (
+        SELECT query_id, p_partkey, {token_score('nn', 'na', 'nd', 'tok')} AS s FROM tok CROSS JOIN item) GROUP BY 1, 2 HAVING min(s) > 0)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM full_list) WHERE rank <= 10""")
+def c8_top(t):
+    """The first ten of every query."""
+    return S.search_top(part_items(t), S.tokenize_queries(part_queries(t)), 10)
+
+
 @query("c8_search_latin", f"""
     WITH tok AS (SELECT query_id, regexp_replace(tok, '[^a-z0-9]', '', 'g') AS tok FROM {PART_TOKENS}),
       item AS (SELECT p_partkey, ' ' || p_name || ' ' AS nw, replace(p_name, ' ', '') AS nc, ' ' || replace(lower(p_brand), '#', ' ') || ' ' AS aw,
