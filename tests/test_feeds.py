@@ -68,9 +68,24 @@ def test_overlay_leaves_other_partitions(spark):
 def test_gates_stop_a_bad_batch(spark):
     path = fresh_path(spark, "gated")
     good, bad = spark.range(5), spark.range(2)
-    assert writers.gated_write(good, B.dataset_gates(good, 4, 10), path) is True
-    assert writers.gated_write(bad, B.dataset_gates(bad, 4, 10), path) is False
+    gate = lambda df: B.dataset_gates(df, 4, 10)
+    assert writers.gated_write(good, gate, path) is True
+    assert writers.gated_write(bad, gate, path) is False
     assert writers.read_published(spark, path).count() == 5
     more = spark.range(7)
-    assert writers.gated_write(more, B.dataset_gates(more, 4, 10), path) is True
+    assert writers.gated_write(more, gate, path) is True
     assert writers.read_published(spark, path).count() == 7
+
+
+def test_gates_look_at_what_is_written(spark):
+    """Rows that come out otherwise at every evaluation: the version that was checked is the one that is read."""
+    path = fresh_path(spark, "gated-once")
+    df = spark.range(2000).filter(F.rand() < 0.5)
+    seen = []
+
+    def gate(written):
+        seen.append(written.count())
+        return B.dataset_gates(written, 1, 10_000)
+
+    assert writers.gated_write(df, gate, path) is True
+    assert writers.read_published(spark, path).count() == seen[0]

@@ -1,9 +1,11 @@
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import one, rows
+from tidewell.operators import markup as M
 from tidewell.operators import versions as V
 
 
@@ -53,14 +55,16 @@ def test_merge_cache(spark):
 
 
 def test_work_queue_and_pruning(spark):
-    unit = spark.createDataFrame([("t", H("a"), 5), ("s", H("b"), 30000)], "id string, hash string, size int")
-    c = cache(spark, [(H("a"), "en", "x", None, 1), (H("z"), "en", "x", None, 1)])
+    unit = spark.createDataFrame([("t", H("a"), 5, "No. 12"), ("s", H("b"), 30000, "b")], "id string, hash string, size int, text string")
+    c = cache(spark, [(H("a"), "en", "x 12", None, 1), (H("a"), "ko", "x 13", None, 1), (H("z"), "en", "x", None, 1)])
     assert rows(V.pending_work(unit, ["en", "ja"], c), "id", "lang", "state") == [("s", "en", "skipped"), ("s", "ja", "skipped"), ("t", "ja", "pending")]
-    assert rows(V.prune_cache(c, unit), "hash") == [(H("a"),)]
+    assert rows(V.prune_cache(c, unit), "hash") == [(H("a"),)] * 2
+    spoiled = V.pending_work(unit.filter("id = 't'"), ["en", "ko"], c)
+    assert rows(spoiled, "lang") == [("ko",)]  # the number is lost
     kept, dropped = V.invalidate_cache(c, unit, "t")
-    assert rows(kept, "hash") == [(H("z"),)] and dropped.first()["dropped"] == 1
+    assert rows(kept, "hash") == [(H("z"),)] and dropped.first()["dropped"] == 2
     kept, dropped = V.invalidate_cache(c, unit, "all", ["ja"])
-    assert kept.count() == 2 and dropped.first()["dropped"] == 0
+    assert kept.count() == 3 and dropped.first()["dropped"] == 0
 
 
 def test_assembly(spark):
@@ -69,6 +73,8 @@ def test_assembly(spark):
     en = V.assemble_language(section, c, "en")
     assert rows(en, "doc", "pos", "text", "translated") == [("d", 1, "A", True), ("d", 2, "乙", False), ("e", 1, "A", True)]
     assert rows(V.document_status(en, ["doc"], "en")) == [("d", "partial", 7, 2), ("e", "machine", 7, 1)]
+    spoiled = cache(spark, [(H("a"), "en", "A<b>", None, 7)])
+    assert rows(V.assemble_language(section, spoiled, "en"), "doc", "pos", "text", "translated", "at") == [("d", 1, "甲", False, None), ("d", 2, "乙", False, None), ("e", 1, "甲", False, None)]
     zh = V.assemble_language(section, c, "zh-Hant")
     assert {r[1] for r in rows(V.document_status(zh, ["doc"], "zh-Hant"))} == {"source"}
 
@@ -138,6 +144,33 @@ def test_navigation_and_headings(spark):
     assert rows(V.relative_headings(h), "page_id", "pos", "depth") == [(1, 0, 3), (1, 1, 4), (1, 3, 4), (2, 0, 3)]
 
 
+def test_sections_are_translated_as_a_whole(spark):
+    part = [("s", H("a"), 0, "title", "甲 12", None), ("s", H("a"), 1, "run", "乙", "/x"), ("t", H("b"), 0, "title", "丙", None), ("u", H("a"), 0, "title", "甲 12", None), ("u", H("a"), 1, "run", "乙", "/y")]
+    parts = spark.createDataFrame(part, "doc string, hash string, pos int, type string, text string, href string")
+    kind = "hash string, lang string, pos int, type string, text string, at long"
+    good = [(H("a"), "en", 0, "title", "A 12", 5), (H("a"), "en", 1, "run", "B", 6)]
+    got = V.assemble_parts(parts, spark.createDataFrame(good, kind), "en")
+    assert rows(got, "doc", "pos", "text", "href", "translated", "at") == [
+        ("s", 0, "A 12", None, True, 6), ("s", 1, "B", "/x", True, 6), ("t", 0, "丙", None, False, None), ("u", 0, "A 12", None, True, 6), ("u", 1, "B", "/y", True, 6),
+    ]
+    for wrong in (good[:1], [*good, (H("a"), "en", 2, "run", "C", 6)], [good[0], (H("a"), "en", 1, "item", "B", 6)], [(H("a"), "en", 0, "title", "A", 5), good[1]], [good[0], (H("a"), "en", 1, "run", None, 6)], []):
+        assert not V.assemble_parts(parts, spark.createDataFrame(wrong, kind), "en").filter("translated").count(), wrong
+    assert V.assemble_parts(parts, spark.createDataFrame(good, kind), "zh-Hant").filter("translated").count() == 5
+
+
+def test_projection_of_a_page(spark):
+    html = "<h2>T</h2><ul><li>a<ol><li>b</ol></ul><p>go <a href='/x'>there</a></p><table><caption>C</caption><tr><th>h</th></tr><tr><td>1</td></tr><tr><td>2</td></tr></table><p style='color:red'>n</p><table><tr><td>z</td></tr></table>"
+    page = spark.createDataFrame([(1, html), (2, "")], "page_id long, html string")
+    nested = V.projection_blocks(M.extract_blocks(page), M.extract_tables(page))
+    section = nested.selectExpr("'d' AS doc", "page_id AS pos", "'9' AS id", "'faq' AS key", "'hh' AS hash", "'t' AS title", "blocks", "array(named_struct('text', 'L', 'href', 'https://secret')) AS links", "cast(array() AS array<struct<text: string>>) AS files")
+    doc = spark.createDataFrame([("d", "h", "T")], "doc string, hash string, title string")
+    lines = [json.loads(r["json"]) for r in V.projection_export(doc, section).filter("unit = 'section'").collect()]
+    assert lines == [{"id": "9", "key": "faq", "hash": "hh", "title": "t", "links": [{"text": "L"}], "files": [], "blocks": [
+        {"type": "h", "text": "T"}, {"type": "list", "items": ["a", "b"]}, {"type": "p", "runs": [{"text": "go "}, {"text": "there"}]},
+        {"type": "table", "caption": "C", "head": ["h"], "rows": [["1"], ["2"]]}, {"type": "note", "text": "n"}, {"type": "table", "rows": [["z"]]},
+    ]}]
+
+
 def test_export_lines(spark):
     doc = spark.createDataFrame([("d", "h", "T")], "doc string, hash string, title string")
     sec = spark.createDataFrame([("d", 1, "9", "faq", "hh", "t", "x", "https://secret")], "doc string, pos int, id string, key string, hash string, title string, text string, href string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.skew import salted_join
@@ -48,13 +48,25 @@ def visible_change(prev: DataFrame, curr: DataFrame, ignore: list[str]) -> DataF
     return p.exceptAll(c).withColumn("side", F.lit("removed")).unionByName(c.exceptAll(p).withColumn("side", F.lit("added")))
 
 
+def valid_entries(unit: DataFrame, cache: DataFrame) -> DataFrame:
+    """Cache entries whose text still fits the source text of their hash (``text_error``); others count as absent.
+
+    unit: hash, text. cache: hash, lang, payload and whatever else it holds.
+    """
+    texts = unit.groupBy("hash").agg(F.min("text").alias("_src"))
+    fits = text_error(F.col("_src"), F.col("payload")).isNull()
+    return cache.join(texts, "hash").filter(fits).drop("_src")
+
+
 def pending_work(unit: DataFrame, langs: list[str], cache: DataFrame, max_chars: int = MAX_UNIT_CHARS) -> DataFrame:
-    """(unit, language) pairs without a cache entry; units over the size cap are marked skipped.
+    """(unit, language) pairs without a valid cache entry; units over the size cap are marked skipped.
 
-    unit: hash, size and whatever identifies it. Languages are a short list, exploded in place.
+    unit: hash, text, size and whatever identifies it. Languages are a short list, exploded in place. An entry that does not
+    fit the source is no entry, so spoiled text is queued again.
     """
-    wanted = unit.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
-    missing = wanted.join(cache.select("hash", "lang"), ["hash", "lang"], "left_anti")
+    done = valid_entries(unit, cache).select("hash", "lang")
+    wanted = unit.drop("text").withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
+    missing = wanted.join(done, ["hash", "lang"], "left_anti")
     return missing.withColumn("state", F.when(F.col("size") > max_chars, "skipped").otherwise("pending"))
 
 
@@ -84,12 +96,42 @@ def valid_cache(cache: DataFrame, langs: list[str]) -> DataFrame:
 
 
 def assemble_language(section: DataFrame, cache: DataFrame, lang: str) -> DataFrame:
-    """Sections of one language; cached text where there is one, else the source text marked untranslated."""
+    """Sections of one language; valid cached text where there is one, else the source text marked untranslated."""
     if lang == BASE_LANGUAGE:
         return section.withColumns({"translated": F.lit(True), "at": F.lit(None).cast("long")})
     hit = cache.filter(F.col("lang") == lang).select("hash", "payload", "at")
     rows = section.join(hit, "hash", "left")
-    return rows.withColumns({"translated": F.col("payload").isNotNull(), "text": F.coalesce("payload", "text")}).drop("payload")
+    fits = F.col("payload").isNotNull() & text_error(F.col("text"), F.col("payload")).isNull()
+    rows = rows.withColumn("translated", F.coalesce(fits, F.lit(False)))
+    return rows.withColumns({"text": F.when(F.col("translated"), F.col("payload")).otherwise(F.col("text")), "at": F.when(F.col("translated"), F.col("at"))}).drop("payload")
+
+
+def valid_part_entries(part: DataFrame, cache_part: DataFrame) -> DataFrame:
+    """(hash, lang, at) of cached translations that have every part of their source, and whose parts all fit.
+
+    part: hash, pos, type, text, one row for each text of a section. cache_part: hash, lang, pos, type, text, at.
+    """
+    entries = cache_part.groupBy("hash", "lang").agg(F.max("at").alias("at"))
+    wanted = part.dropDuplicates(["hash", "pos"]).join(entries.select("hash", "lang"), "hash").select("hash", "lang", "pos", F.struct("type", "text").alias("_s"))
+    have = cache_part.select("hash", "lang", "pos", F.struct("type", "text").alias("_c"))
+    both = wanted.join(have, ["hash", "lang", "pos"], "full_outer")
+    same = F.col("_s.type").eqNullSafe(F.col("_c.type")) & text_error(F.col("_s.text"), F.col("_c.text")).isNull()
+    fits = F.col("_s").isNotNull() & F.col("_c").isNotNull() & F.coalesce(same, F.lit(False))
+    return both.groupBy("hash", "lang").agg(F.bool_and(fits).alias("ok")).filter("ok").drop("ok").join(entries, ["hash", "lang"])
+
+
+def assemble_parts(part: DataFrame, cache_part: DataFrame, lang: str) -> DataFrame:
+    """The parts of all sections in one language, translated section by section: all parts of a section or none.
+
+    Only texts come from the cache; every other column (addresses, marks, positions) stays that of the source.
+    """
+    if lang == BASE_LANGUAGE:
+        return part.withColumns({"translated": F.lit(True), "at": F.lit(None).cast("long")})
+    mine = cache_part.filter(F.col("lang") == lang)
+    valid = valid_part_entries(part, mine).select("hash", "at")
+    texts = mine.drop("at").join(valid, "hash").select("hash", "pos", F.col("text").alias("_t"), "at")
+    rows = part.join(texts, ["hash", "pos"], "left")
+    return rows.withColumn("translated", F.col("at").isNotNull()).withColumn("text", F.when(F.col("translated"), F.col("_t")).otherwise(F.col("text"))).drop("_t")
 
 
 def document_status(assembled: DataFrame, parent: list[str], lang: str) -> DataFrame:
@@ -248,13 +290,44 @@ def text_size(df: DataFrame, parent: list[str], texts: list[str]) -> DataFrame:
     return df.groupBy(*parent).agg(F.sum(size).alias("size"))
 
 
+def projection_blocks(block: DataFrame, cell: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, blocks): all translatable texts of a page as one nested value, and nothing else.
+
+    block: page, pos, type, text, caption, runs (E2). cell: page, tbl, row, col, text, is_head (E3). Items go back into their list,
+    cells into rows and tables; a paragraph keeps the texts of its runs. Fields that a block has not are null, so JSON leaves them out.
+    """
+    w = Window.partitionBy(page).orderBy("pos")
+    numbered = block.withColumns({
+        "no": F.sum((F.col("type") != "item").cast("int")).over(w), "tbl": F.when(F.col("type") == "table", F.sum((F.col("type") == "table").cast("int")).over(w) - 1),
+    })
+    line = cell.groupBy(page, "tbl", "row").agg(F.bool_and("is_head").alias("is_head"), F.sort_array(F.collect_list(F.struct("col", "text")))["text"].alias("texts"))
+    table = line.groupBy(page, "tbl").agg(
+        F.first(F.when(F.col("is_head"), F.col("texts")), ignorenulls=True).alias("head"),
+        F.sort_array(F.collect_list(F.when(~F.col("is_head"), F.struct("row", "texts"))))["texts"].alias("rows"),
+    )
+    own = F.col("type") != "item"
+    items = F.sort_array(F.collect_list(F.when(~own, F.struct("pos", "text"))))["text"]
+    only = lambda c: F.max(F.when(own, F.col(c)))
+    whole = numbered.groupBy(page, "no").agg(only("type").alias("type"), only("text").alias("text"), only("caption").alias("caption"), only("runs").alias("runs"), only("tbl").alias("tbl"), items.alias("items"))
+    whole = whole.join(table, [page, "tbl"], "left")
+    value = F.struct(
+        "type", F.when(F.col("type").isin("h", "note"), F.col("text")).alias("text"), F.transform("runs", lambda r: F.struct(r["text"].alias("text"))).alias("runs"),
+        F.when(F.col("type") == "list", F.col("items")).alias("items"), "caption", "head", "rows",
+    )
+    nested = whole.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("no", value.alias("b"))))["b"].alias("blocks"))
+    return nested
+
+
 def projection_export(document: DataFrame, section: DataFrame) -> DataFrame:
     """One JSON line per title and per section with its id, key, hash and texts, and nothing else.
 
-    Lines rather than one array per document, so that a document of any length is written by many tasks.
+    Lines rather than one array per document, so that a document of any length is written by many tasks. A section has its
+    ``text`` or, from ``projection_blocks``, its nested ``blocks``; the texts of its ``links`` and ``files`` (arrays of struct with a text) follow.
     """
     title = document.select("doc", F.lit("title").alias("unit"), F.lit(-1).cast("long").alias("pos"), F.to_json(F.struct("hash", "title")).alias("json"))
-    body = section.select("doc", F.lit("section").alias("unit"), F.col("pos").cast("long").alias("pos"), F.to_json(F.struct("id", "key", "hash", "title", "text")).alias("json"))
+    nested = [F.transform(c, lambda x: F.struct(x["text"].alias("text"))).alias(c) for c in ("links", "files") if c in section.columns]
+    content = [c for c in ("text", "blocks") if c in section.columns]
+    body = section.select("doc", F.lit("section").alias("unit"), F.col("pos").cast("long").alias("pos"), F.to_json(F.struct("id", "key", "hash", "title", *content, *nested)).alias("json"))
     return title.unionByName(body)
 
 

@@ -161,9 +161,10 @@ def a5(t):
 def a6(t):
     path = fresh_path(t.spark, "gated")
     rows = t.facility_base().select("id", "city")
-    good = writers.gated_write(rows, B.dataset_gates(rows, 1, 10**12, complete=["city"]), path)
+    gate = lambda df: B.dataset_gates(df, 1, 10**12, complete=["city"])
+    good = writers.gated_write(rows, gate, path)
     broken = rows.withColumn("city", F.when(F.col("id") % 9 != 0, F.col("city")))
-    bad = writers.gated_write(broken, B.dataset_gates(broken, 1, 10**12, complete=["city"]), path)
+    bad = writers.gated_write(broken, gate, path)
     return writers.read_published(t.spark, path).withColumns({"good_batch": F.lit(good), "bad_batch": F.lit(bad)})
 
 

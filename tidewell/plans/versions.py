@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import markup as M
 from tidewell.operators import versions as V
-from tidewell.plans.pages import BLOCK_SQL, blocks
+from tidewell.plans.pages import BLOCK_SQL, blocks, longer_pages
 from tidewell.plans.registry import query
 
 LANGS = ["en", "de", "fr", "es"]
@@ -55,11 +56,22 @@ def e21(t):
     return V.visible_change(prev, curr, ["o_totalprice"])
 
 
+# A fifth of the cached texts is emptied and a seventh has markup; both do not fit their source any more.
+SPOILED_SQL = """(SELECT hash, lang, CASE WHEN "at" % 5 = 0 THEN ' ' WHEN "at" % 7 = 0 THEN payload || ' <b>' ELSE payload END AS payload, "at" FROM v_cache)"""
+FITS = """((trim(u.text) = '' OR trim(c.payload) <> '') AND NOT regexp_matches(c.payload, '[<>]')
+      AND NOT (regexp_matches(u.text, '^[^\\p{L}\\p{N}]*$') AND trim(u.text) <> trim(c.payload)))"""
+
+
+def spoiled_cache(t):
+    at, payload = F.col("at"), F.col("payload")
+    return t.cache().withColumn("payload", F.when(at % 5 == 0, " ").when(at % 7 == 0, F.concat(payload, F.lit(" <b>"))).otherwise(payload))
+
+
 @query("e22_pending_work", f"""
     SELECT u.id, u.hash, l.lang, u.size, CASE WHEN u.size > 5000 THEN 'skipped' ELSE 'pending' END AS state FROM v_unit u CROSS JOIN {LANG_VALUES}
-    WHERE NOT EXISTS (SELECT 1 FROM v_cache c WHERE c.hash = u.hash AND c.lang = l.lang)""")
+    WHERE NOT EXISTS (SELECT 1 FROM {SPOILED_SQL} c WHERE c.hash = u.hash AND c.lang = l.lang AND {FITS})""")
 def e22(t):
-    return V.pending_work(t.unit().select("id", "hash", "size"), LANGS, t.cache(), 5000)
+    return V.pending_work(t.unit().select("id", "hash", "text", "size"), LANGS, spoiled_cache(t), 5000)
 
 
 def cache_halves(t):
@@ -85,32 +97,43 @@ def e24(t):
     return V.prune_cache(t.cache(), t.unit().filter("lang = 'en' and size < 2000")).select("hash", "lang", "at")
 
 
-@query("e25_assemble_language", """
-    SELECT u.id, u.source, c.hash IS NOT NULL AS translated, sha256(coalesce(c.payload, u.text)) AS content, c.at FROM v_unit u LEFT JOIN v_cache c ON c.hash = u.hash AND c.lang = 'de'""")
+@query("e25_assemble_language", f"""
+    SELECT u.id, u.source, c.hash IS NOT NULL AS translated, sha256(coalesce(c.payload, u.text)) AS content, c.at FROM v_unit u LEFT JOIN {SPOILED_SQL} c ON c.hash = u.hash AND c.lang = 'de' AND {FITS}""")
 def e25(t):
-    out = V.assemble_language(t.unit().drop("lang"), t.cache(), "de")
+    out = V.assemble_language(t.unit().drop("lang"), spoiled_cache(t), "de")
     return out.select("id", "source", "translated", F.sha2("text", 256).alias("content"), "at")
 
 
-@query("e25_document_status", """
+@query("e25_document_status", f"""
     SELECT u.source, CASE WHEN bool_and(c.hash IS NOT NULL) THEN 'machine' ELSE 'partial' END AS translation, max(c.at) AS translated_at, count(*) AS sections
-    FROM v_unit u LEFT JOIN v_cache c ON c.hash = u.hash AND c.lang = 'fr' GROUP BY 1""")
+    FROM v_unit u LEFT JOIN {SPOILED_SQL} c ON c.hash = u.hash AND c.lang = 'fr' AND {FITS} GROUP BY 1""")
 def e25_status(t):
-    return V.document_status(V.assemble_language(t.unit().drop("lang"), t.cache(), "fr"), ["source"], "fr")
+    return V.document_status(V.assemble_language(t.unit().drop("lang"), spoiled_cache(t), "fr"), ["source"], "fr")
 
 
 @query("e25_fallback_language", f"""
-    SELECT u.id, l.lang, CASE WHEN c.hash IS NOT NULL THEN l.lang ELSE 'zh-Hant' END AS served FROM v_unit u CROSS JOIN {LANG_VALUES} LEFT JOIN v_cache c ON c.hash = u.hash AND c.lang = l.lang""")
+    SELECT u.id, l.lang, CASE WHEN EXISTS (SELECT 1 FROM {SPOILED_SQL} c WHERE c.hash = u.hash AND c.lang = l.lang AND {FITS}) THEN l.lang ELSE 'zh-Hant' END AS served FROM v_unit u CROSS JOIN {LANG_VALUES}""")
 def e25_fallback(t):
     wanted = t.unit().select("id", "hash", F.explode(F.array(*[F.lit(x) for x in LANGS])).alias("lang"))
-    return V.fallback_language(t.cache(), wanted, "hash").select("id", "lang", "served")
+    return V.fallback_language(V.valid_entries(t.unit(), spoiled_cache(t)), wanted, "hash").select("id", "lang", "served")
 
 
-@query("e26_check_structure", """
-    SELECT conv_id, CAST(CASE conv_id % 7 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 2 END AS BIGINT) AS pos,
-      CASE conv_id % 7 WHEN 1 THEN 'length' WHEN 2 THEN 'empty' WHEN 3 THEN 'number lost' WHEN 4 THEN 'markup' WHEN 5 THEN 'type' END AS error
-    FROM (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) WHERE conv_id % 7 IN (1, 3, 4) OR (conv_id % 7 = 2 AND last >= 1) OR (conv_id % 7 = 5 AND last >= 2)""")
-def e26(t):
+@query("e25_assemble_parts", """
+    WITH c AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1),
+      bad AS (SELECT conv_id FROM c WHERE conv_id % 7 IN (1, 3, 4) OR (conv_id % 7 = 2 AND last >= 1) OR (conv_id % 7 = 5 AND last >= 2))
+    SELECT conv_id, turn AS pos, conv_id NOT IN (SELECT conv_id FROM bad) AS translated, CASE WHEN conv_id NOT IN (SELECT conv_id FROM bad) THEN conv_id + 5 END AS "at",
+      sha256(CASE WHEN conv_id % 7 = 6 THEN replace(src, '12月', 'December') || ' done' ELSE src END) AS content
+    FROM (SELECT *, '✓ ' || text || ' no. ' || CAST(conv_id + 1000 AS VARCHAR) || ' 12月 https://www.example.org/' AS src FROM conversations)""")
+def e25_parts(t):
+    """Conversations as sections of many parts: a section is translated as a whole or not at all."""
+    src, out = spoiled_parts(t)
+    part = src.withColumn("hash", F.col("conv_id").cast("string"))
+    cached = out.select(F.col("conv_id").cast("string").alias("hash"), F.lit("en").alias("lang"), "pos", "type", "text", (F.col("conv_id") + 5).alias("at"))
+    got = V.assemble_parts(part, cached, "en")
+    return got.select("conv_id", "pos", "translated", "at", F.sha2("text", 256).alias("content"))
+
+
+def spoiled_parts(t):
     """Turns as parts of a document; copies are spoiled in one way per conversation."""
     k, turn = F.col("conv_id"), F.col("turn")
     src = t.conversations.select("conv_id", turn.alias("pos"), F.col("role").alias("type"), F.concat(F.lit("✓ "), "text", F.lit(" no. "), (k + 1000).cast("string"), F.lit(" 12月 https://www.example.org/")).alias("text"))
@@ -121,6 +144,15 @@ def e26(t):
     )
     out = src.withColumns({"text": new_text, "type": F.when((k % 7 == 5) & (pos == 2), "other").otherwise(F.col("type"))})
     out = out.filter(~((k % 7 == 1) & (pos == 0)))
+    return src, out
+
+
+@query("e26_check_structure", """
+    SELECT conv_id, CAST(CASE conv_id % 7 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 2 END AS BIGINT) AS pos,
+      CASE conv_id % 7 WHEN 1 THEN 'length' WHEN 2 THEN 'empty' WHEN 3 THEN 'number lost' WHEN 4 THEN 'markup' WHEN 5 THEN 'type' END AS error
+    FROM (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) WHERE conv_id % 7 IN (1, 3, 4) OR (conv_id % 7 = 2 AND last >= 1) OR (conv_id % 7 = 5 AND last >= 2)""")
+def e26(t):
+    src, out = spoiled_parts(t)
     return V.check_structure(src, out, "conv_id")
 
 
@@ -204,6 +236,24 @@ def e33(t):
     return V.projection_export(docs, sections).select("doc", "unit", "pos", F.sha2("json", 256).alias("line"))
 
 
+@query("e33_page_projection", f"""
+    WITH b AS {BLOCK_SQL}
+    SELECT page_id, CAST(count(*) FILTER (WHERE type <> 'item') AS INTEGER) AS n_blocks, sha256(string_agg(text, '|' ORDER BY pos) FILTER (WHERE type = 'item')) AS items,
+      sha256(string_agg(text, '|' ORDER BY pos) FILTER (WHERE type IN ('h', 'note'))) AS texts,
+      '{{"type":"table","caption":"Cap ' || page_id || '","head":["A","B"],"rows":[["' || page_id || 'in","xy"]]}}' AS tables
+    FROM b GROUP BY page_id""")
+def e33_pages(t):
+    """Blocks and cells of pages put back together; tables as the JSON that is exported."""
+    pages = longer_pages(t)
+    nested = V.projection_blocks(M.extract_blocks(pages, base="url"), M.extract_tables(pages))
+    joined = lambda c: F.sha2(F.array_join(c, "|"), 256)
+    return nested.select(
+        "page_id", F.size("blocks").alias("n_blocks"), joined(F.flatten(F.transform(F.filter("blocks", lambda b: b["items"].isNotNull()), lambda b: b["items"]))).alias("items"),
+        joined(F.transform(F.filter("blocks", lambda b: b["text"].isNotNull()), lambda b: b["text"])).alias("texts"),
+        F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "table"), lambda b: F.to_json(b)), "|").alias("tables"),
+    )
+
+
 @query("e34_invalidate_cache", "SELECT hash, lang FROM v_cache WHERE NOT (lang = 'de' AND hash IN (SELECT hash FROM v_unit WHERE lang = 'en'))")
 def e34(t):
     unit = t.unit().filter("lang = 'en'").select(F.col("id").cast("string").alias("id"), "hash")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +31,19 @@ def overlay_publish(df: DataFrame, path: str, partition_cols: list[str]) -> bool
     return True
 
 
-def gated_write(df: DataFrame, gates: DataFrame, path: str) -> bool:
-    """Publish a new version only if every gate passed (one row with a boolean column ``passed``).
+def gated_write(df: DataFrame, gates: Callable[[DataFrame], DataFrame], path: str) -> bool:
+    """Publish a new version only if every gate passed (``gates`` gives one row with a boolean column ``passed``).
 
-    The version is written first and listed in the manifest afterwards, so readers never see part of one and a
-    refused or interrupted batch leaves the published version as it was.
+    The version is written first, the gates look at what was written, and only then is it listed in the manifest. So what
+    was checked is what readers get, however often the plan would be evaluated; readers never see part of a version, and a
+    refused or interrupted batch leaves the published one as it was. Versions that the manifest does not list are waste.
     """
-    if not gates.first()["passed"]:
-        return False
     spark = df.sparkSession
     version = uuid.uuid4().hex
     df.write.parquet(f"{path}/versions/{version}")
+    written = spark.read.schema(df.schema).parquet(f"{path}/versions/{version}")
+    if not gates(written).first()["passed"]:
+        return False
     entry = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
     entry.write.mode("append").parquet(f"{path}/manifest")
     return True
