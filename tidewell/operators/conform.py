@@ -197,29 +197,34 @@ def distinct_warnings(df: DataFrame, col: str, n: int = 20) -> DataFrame:
 def catalog_integrity(product: DataFrame, group: DataFrame, max_products: int, max_groups: int) -> DataFrame:
     """One row per check with the number of violations; all zero means the catalogue is sound.
 
-    Needs (product_id, group_id, name) and (group_id, name).
+    Needs (product_id, group_id, name) and (group_id, name). A product's group must look like an id even if no group has it, and
+    where a table has the column ``short`` it must be filled.
     """
     pattern = "^[a-z0-9_]{1,32}$"
 
     def checks(df: DataFrame, key: str, limit: int, what: str) -> DataFrame:
-        per_id = df.groupBy(key).agg(
-            F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("name"), F.lit("")) == "").alias("blank")
-        )
+        empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+        shorts = F.count_if(empty("short")) if "short" in df.columns else F.lit(0)
+        per_id = df.groupBy(key).agg(F.count("*").alias("n"), F.count_if(empty("name")).alias("blank"), shorts.cast("long").alias("blank_short"))
         one = per_id.agg(
             F.count_if(~F.coalesce(F.col(key).rlike(pattern), F.lit(False))).alias("bad_id"),
             F.count_if(F.col("n") > 1).alias("repeated_id"),
-            F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_name"),
+            F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_name"), F.coalesce(F.sum("blank_short"), F.lit(0)).alias("blank_short"),
             F.when(F.coalesce(F.sum("n"), F.lit(0)).between(1, limit), 0).otherwise(1).cast("long").alias("row_count"),
         )
         names = ["bad_id", "repeated_id", "blank_name", "row_count"]
+        if "short" in df.columns:
+            names.append("blank_short")
         pairs = F.array(*[F.struct(F.lit(f"{what}_{c}").alias("check"), F.col(c).alias("violations")) for c in names])
         return one.select(F.explode(pairs).alias("r")).select("r.*")
 
     orphans = product.join(group, "group_id", "left_anti").agg(F.count("*").alias("violations"))
+    odd = product.agg(F.count_if(~F.coalesce(F.col("group_id").rlike(pattern), F.lit(False))).alias("violations"))
     return (
         checks(product, "product_id", max_products, "product")
         .unionByName(checks(group, "group_id", max_groups, "group"))
         .unionByName(orphans.select(F.lit("product_group_missing").alias("check"), "violations"))
+        .unionByName(odd.select(F.lit("product_bad_group").alias("check"), "violations"))
     )
 
 

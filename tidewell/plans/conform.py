@@ -197,7 +197,7 @@ def b11_warnings(t):
 
 
 @query("b12_catalog_integrity", """
-    WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_brand AS group_id, p_name AS name FROM part),
+    WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_brand AS group_id, p_name AS name, CASE WHEN p_partkey % 10 <> 0 THEN substr(p_name, 1, 4) END AS short FROM part),
          g AS (SELECT p_brand AS group_id, p_brand AS name FROM part WHERE p_size > 10 GROUP BY 1)
     SELECT 'product_bad_id' AS "check", count(*) FILTER (WHERE NOT regexp_matches(product_id, '^[a-z0-9_]{1,32}$')) AS violations FROM (SELECT DISTINCT product_id FROM p)
     UNION ALL SELECT 'product_repeated_id', count(*) FROM (SELECT product_id FROM p GROUP BY 1 HAVING count(*) > 1)
@@ -207,9 +207,11 @@ def b11_warnings(t):
     UNION ALL SELECT 'group_repeated_id', CAST(0 AS BIGINT)
     UNION ALL SELECT 'group_blank_name', count(*) FROM g WHERE trim(coalesce(name, '')) = ''
     UNION ALL SELECT 'group_row_count', CAST(CASE WHEN count(*) BETWEEN 1 AND 20 THEN 0 ELSE 1 END AS BIGINT) FROM g
-    UNION ALL SELECT 'product_group_missing', count(*) FROM p WHERE group_id NOT IN (SELECT group_id FROM g)""")
+    UNION ALL SELECT 'product_group_missing', count(*) FROM p WHERE group_id NOT IN (SELECT group_id FROM g)
+    UNION ALL SELECT 'product_blank_short', count(*) FROM p WHERE trim(coalesce(short, '')) = ''
+    UNION ALL SELECT 'product_bad_group', count(*) FROM p WHERE NOT regexp_matches(group_id, '^[a-z0-9_]{1,32}$')""")
 def b12(t):
-    p = t.part.select(F.col("p_partkey").cast("string").alias("product_id"), F.col("p_brand").alias("group_id"), F.col("p_name").alias("name"))
+    p = t.part.select(F.col("p_partkey").cast("string").alias("product_id"), F.col("p_brand").alias("group_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 10 != 0, F.substring("p_name", 1, 4)).alias("short"))
     g = t.part.filter("p_size > 10").select(F.col("p_brand").alias("group_id")).distinct().withColumn("name", F.col("group_id"))
     return B.catalog_integrity(p, g, 100, 20)
 
@@ -219,7 +221,7 @@ def b12(t):
     SELECT 'product_bad_id' AS "check", CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'product_repeated_id', CAST(0 AS BIGINT) UNION ALL SELECT 'product_blank_name', CAST(0 AS BIGINT)
     UNION ALL SELECT 'product_row_count', CAST(0 AS BIGINT) UNION ALL SELECT 'group_bad_id', CAST(0 AS BIGINT) UNION ALL SELECT 'group_repeated_id', CAST(0 AS BIGINT)
     UNION ALL SELECT 'group_blank_name', CAST(0 AS BIGINT) UNION ALL SELECT 'group_row_count', CAST(0 AS BIGINT)
-    UNION ALL SELECT 'product_group_missing', count(*) FROM p WHERE id NOT IN (SELECT id FROM g)""")
+    UNION ALL SELECT 'product_group_missing', count(*) FROM p WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'product_bad_group', CAST(0 AS BIGINT)""")
 def b12_fk(t):
     """Referenced parts must exist in the catalogue of parts up to size 45."""
     key = F.col("l_partkey").cast("string")
