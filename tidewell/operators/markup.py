@@ -38,6 +38,8 @@ HREF = r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 # ------------------------------------------------------------------------------
 
 TAG = r"""(?s)<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>"""
+CELL_TAGS = ["td", "th", "caption"]
+EDGE_TAGS = [*CELL_TAGS, "tr", "thead", "tbody", "tfoot", "table"]  # each ends the cell before it
 TAG_MARK, ATTR_MARK, TEXT_MARK = "\u0001", "\u0002", "\u0003"
 
 
@@ -59,6 +61,11 @@ def page_pieces(pages: DataFrame, page: str = "page_id", html: str = "html", bas
     )
 
 
+def _named(tags: list[str]) -> Column:
+    """Whether a piece has one of the tags, in one expression: plans with long lists take long to build."""
+    return F.expr("coalesce(name IN ('" + "', '".join(tags) + "'), false)")
+
+
 def nested(df: DataFrame, keys: list[str], order: str, depths: dict[str, list[str]]) -> DataFrame:
     """For each name the nesting depth of its tags after every piece: a running sum with a floor at zero."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -82,11 +89,12 @@ def piece_units(pages: DataFrame, page: str = "page_id", html: str = "html", bas
     name, shut, i = F.col("name"), F.col("shut"), F.col("i")
     opens = lambda *tags: name.isin(*tags) & ~shut
     w = Window.partitionBy(page).orderBy("i")
-    df = nested(page_pieces(pages, page, html, base), [page], "i", {"list_depth": ["ul", "ol"], "table_depth": ["table"]})
+    pieces = page_pieces(pages, page, html, base).withColumns({"inline": _named(INLINE_TAGS), "edge": _named(EDGE_TAGS), "cell": _named(CELL_TAGS)})
+    df = nested(pieces, [page], "i", {"list_depth": ["ul", "ol"], "table_depth": ["table"]})
     total = F.col("list_depth") + F.col("table_depth")
     begins = opens("ul", "ol", "table") & (total == 1)
     df = df.withColumns({
-        "_box": _latest(begins, F.struct("i", "name"), w), "_line": F.coalesce(_latest(name.isNotNull() & ~name.isin(INLINE_TAGS), i, w), F.lit(0)),
+        "_box": _latest(begins, F.struct("i", "name"), w), "_line": F.coalesce(_latest(name.isNotNull() & ~F.col("inline"), i, w), F.lit(0)),
         "_link": _latest(name == "a", F.struct("i", "shut", "attrs"), w),
         "tr": F.sum((opens("tr") & (F.col("table_depth") == 1)).cast("int")).over(w),
         "_head": _latest(name.isin("thead", "tbody", "tfoot", "table") & (F.col("table_depth") <= 1), (name == "thead") & ~shut, w),
@@ -101,7 +109,7 @@ def piece_units(pages: DataFrame, page: str = "page_id", html: str = "html", bas
     unit = F.when(~inside, F.col("_line")).when(F.col("_box.name") == "table", F.col("_box.i")).when(begins, i).when(is_item, F.col("_li.i"))
     link = F.when(~F.col("_link.shut"), F.struct(F.col("_link.i").alias("i"), F.col("_link.attrs").alias("attrs")))
     head = F.coalesce(F.col("_head"), F.lit(False))
-    return df.select(page, "base", "i", "name", "shut", "attrs", "text", "list_depth", "table_depth", "tr", head.alias("thead"), link.alias("link"), kind.alias("kind"), unit.alias("unit"))
+    return df.select(page, "base", "i", "name", "shut", "inline", "edge", "cell", "attrs", "text", "list_depth", "table_depth", "tr", head.alias("thead"), link.alias("link"), kind.alias("kind"), unit.alias("unit"))
 
 
 def href_of(attrs: Column) -> Column:
@@ -139,7 +147,7 @@ def _all_red(parts: Column) -> Column:
     def step(acc: Column, p: Column) -> Column:
         starts = (acc["depth"] == 0) & ~p["shut"] & F.coalesce(is_red(p["attrs"]), F.lit(False))
         name = F.when(starts, p["name"]).otherwise(acc["name"])
-        same = (acc["depth"] > 0) & (p["name"] == acc["name"]) & acc["name"].isin(INLINE_TAGS)
+        same = (acc["depth"] > 0) & (p["name"] == acc["name"]) & p["inline"]
         depth = F.when(starts, 1).when(F.coalesce(same, F.lit(False)), acc["depth"] + F.when(p["shut"], -1).otherwise(1)).otherwise(acc["depth"])
         ok = acc["ok"] & ((C.squash_space(p["text"]) == "") | (depth > 0))
         return F.struct(name.alias("name"), depth.alias("depth"), ok.alias("ok"))
@@ -165,10 +173,9 @@ def _runs(parts: Column) -> Column:
 def _cells(parts: Column) -> Column:
     """(tr, thead, kind, text) of the cells and captions of a table, each up to the next part of the same table."""
     n = F.size(parts)
-    edge = lambda p: (p["table_depth"] <= 1) & p["name"].isin("td", "th", "caption", "tr", "thead", "tbody", "tfoot", "table")
-    edges = F.filter(F.sequence(F.lit(1), n), lambda k: F.coalesce(edge(F.element_at(parts, k)), F.lit(False)))
+    edges = F.filter(F.sequence(F.lit(1), n), lambda k: C.let(F.element_at(parts, k), lambda p: p["edge"] & (p["table_depth"] <= 1)))
     spans = F.zip_with(edges, F.concat(F.slice(edges, 2, n), F.array(n + 1)), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    cells = F.filter(spans, lambda x: F.element_at(parts, x["s"])["name"].isin("td", "th", "caption") & ~F.element_at(parts, x["s"])["shut"])
+    cells = F.filter(spans, lambda x: C.let(F.element_at(parts, x["s"]), lambda p: p["cell"] & ~p["shut"]))
 
     def cell(x: Column) -> Column:
         p = F.element_at(parts, x["s"])
@@ -184,7 +191,7 @@ def _grouped(pages: DataFrame, kinds: list[str], page: str, html: str, base: str
     units = units.withColumn("href", href)
     if base is not None:
         units = units.withColumn("href", F.when(F.col("href").isNotNull(), P.resolve_href(F.col("href"), F.col("base"))))
-    part = F.struct("i", "name", "shut", "attrs", "text", "href", "list_depth", "table_depth", "tr", "thead")
+    part = F.struct("i", "name", "shut", "inline", "edge", "cell", "attrs", "text", "href", "list_depth", "table_depth", "tr", "thead")
     return units.groupBy(page, "unit", "kind").agg(F.sort_array(F.collect_list(part)).alias("parts"))
 
 
