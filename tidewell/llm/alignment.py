@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  not loaded by pyarrow itself
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
