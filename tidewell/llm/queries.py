@@ -80,17 +80,13 @@ WITH d AS (
 ), dups AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid
 ), u AS (
-  SELECT rid, host, norm, md5(norm) AS m, sum(len(norm) - len(replace(norm, ' ', '')) + 1) AS words FROM l GROUP BY ALL
-), s AS (
-  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY m) AS k FROM u
-), tops AS (
-  SELECT rid, max(CASE WHEN k = 1 THEN m END) AS m1, coalesce(max(CASE WHEN k = 2 THEN m END), '') AS m2 FROM s GROUP BY rid
+  SELECT rid, host, norm, sum(len(norm) - len(replace(norm, ' ', '')) + 1) AS words FROM l GROUP BY ALL
 ), sig AS (
-  SELECT s.rid, s.host, s.norm, s.words, CASE WHEN s.m = m1 THEN m2 ELSE m1 END AS other FROM s JOIN tops USING (rid)
+  SELECT rid, string_agg(norm, chr(10) ORDER BY norm) AS whole FROM u GROUP BY rid
 ), above AS (
-  SELECT host, norm FROM sig GROUP BY host, norm HAVING count(DISTINCT other) > 100 AND count(DISTINCT other) >= 0.5 * count(*)
+  SELECT host, norm FROM u JOIN sig USING (rid) GROUP BY host, norm HAVING count(DISTINCT whole) > 100
 ), lost AS (
-  SELECT rid, sum(words) AS words_removed FROM sig JOIN above USING (host, norm) GROUP BY rid
+  SELECT rid, sum(words) AS words_removed FROM u JOIN above USING (host, norm) GROUP BY rid
 ), base AS (
   SELECT d.rid, doc_id, len(ws.w) AS n_words, length(regexp_replace(t, '[ \t-\r]+', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
