@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  not loaded by pyarrow itself
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,7 +277,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", label_key: str = "doc_id") -> DataFrame:
     """(doc, t, y) of the documents that have a label."""
     known = labels.where(F.col(label).isNotNull() & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("doc")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
-    return docs.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("t")).join(known, "doc")
+    return docs.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("t")).join(known.hint("merge"), "doc")  # labels grow with the documents
 
 
 def _telling(counts: DataFrame, strictness: float = 1.0) -> list[str]:
@@ -332,11 +333,12 @@ def toxic_units(rows: DataFrame) -> list[str]:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(likely)
         for batch in batches:
-            for t, y in zip(batch.column("t"), batch.column("y")):
-                words = _words(t.as_py())
-                padded = ["", *words, ""]
-                some = sorted({(w, zlib.crc32(f"{padded[k]} {padded[k + 2]}".encode())) for k, w in enumerate(words) if marks[w] and w[0].isalpha()})
-                yield pa.RecordBatch.from_pydict({"w": pa.array([x[0] for x in some], pa.string()), "c": pa.array([x[1] for x in some], pa.int64()), "y": pa.array([y.as_py()] * len(some), pa.int32())})
+            out: list[tuple[str, int, int]] = []
+            for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist()):
+                padded = ["", *_words(t), ""]
+                some = [k for k, w in enumerate(padded) if w and marks[w]]
+                out += {(padded[k], zlib.crc32(f"{padded[k - 1]} {padded[k + 1]}".encode()), y) for k in some if padded[k][0].isalpha()}
+            yield pa.RecordBatch.from_pydict({"w": pa.array([x[0] for x in out], pa.string()), "c": pa.array([x[1] for x in out], pa.int64()), "y": pa.array([x[2] for x in out], pa.int32())})
 
     counts = rows.select("t", "y").mapInArrow(in_documents, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = materialize(counts, "toxic-words")
