@@ -59,6 +59,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor, cuts the lineage, and gives the optimizer real sizes for the joins that follow.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once everything made from them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
