@@ -308,6 +308,31 @@ def test_jaccard_edges(spark, docs, odd, empty, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c in brute_components(texts, 5, 80) if i == c)
 
 
+def test_repeated_keys_lose_no_row_without_links(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, b), (2, c), (2, c), (3, None), (3, ""), (None, a), (None, prose(rng, 40))], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_first(df).collect()]
+    assert sorted(kept[k] for k in range(len(kept)) if kept[k][0] in (1, 2)) == sorted([(1, a), (1, b), (2, c)])
+    assert len(kept) == 6 and (None, a) not in kept
+
+
+@pytest.mark.parametrize("percent", [30, 80, 85])
+def test_bitmaps_never_exclude_a_link(spark, percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in (1, 3, 60, 64, 66, 200, 900, 1100):
+        base = rng.integers(-(1 << 62), 1 << 62, size)
+        sets += [np.unique(np.concatenate([base[: max(1, int(size * part))], rng.integers(-(1 << 62), 1 << 62, int(size * more))])) for part in (1, 0.97, 0.9, 0.4) for more in (0, 0.05, 0.3)]
+    table = spark.createDataFrame([(i, len(s), jaccard.parity_bits(s).tolist()) for i, s in enumerate(sets)], "id int, n int, bits array<long>")
+    side = lambda name: table.select(F.struct("id", "n", "bits").alias(name))
+    both = side("a").join(side("b"), F.col("a.id") < F.col("b.id")).filter(jaccard.may_link(F.col("a"), F.col("b"), percent))
+    passed = {(r[0], r[1]) for r in both.select("a.id", "b.id").collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    links = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+    assert links <= passed and (percent < 80 or len(passed) < 2 * len(links))
+
+
 @pytest.fixture
 def shifting(spark, tmp_path_factory, monkeypatch):
     """Texts in several files, whose splits change each time a table was written."""

@@ -6,10 +6,10 @@ sets that may match one probe form a tree in a task: it is walked depth first, s
 so far, and a subtree ends as soon as the n-grams left cannot reach the needed overlap.
 
 * Equal sets are one class from the start, named by the hash of the set, so copies add no work.
-* N-grams known to be rarer than ``RARE`` documents give all pairs of their few classes; pairs whose shared prefix is too small for the
-  threshold go at once.
-* Frequent n-grams never give all pairs: each class is tried against its n-gram's leader first, and only classes that are still in
-  different components after that are tried against each other. So no link between components is lost.
+* No n-gram gives all pairs at once: each class is tried against the least class of each of its prefix n-grams, and only classes that are
+  still in different components after that are tried against each other. So no link between components is lost.
+* Before a set travels, a pair must pass an exact bound: every class has a parity bitmap of about one to two bits an n-gram, and two
+  sets differ in at least as many n-grams as their bitmaps differ in bits.
 
 The order only steers work: counts of part of the hash space over all documents, and a bounded table of the most frequent n-grams.
 """
@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import materialize
+from tidewell.session import discard, materialize
 
-RARE = 16
+COMMON = 16  # documents from which on an n-gram can be one of the frequent ones
 FREQUENT_KEPT = 1 << 18  # most frequent n-grams that are moved to the end of the order; 4 MB
 COUNTED_BELOW = -(1 << 62)  # the lowest quarter of the hashes, from which prefixes are made
 BLOCK = 256  # sets in one tree
+DEALT = 512  # classes of one n-gram that a task pairs with all others of it
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]  # odd numbers
 
 
@@ -65,8 +66,26 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity_bits(grams: np.ndarray) -> np.ndarray:
+    """Parity of the number of n-grams on each bit, as longs; the number of bits is the least power of two from 64 on that is not below the set's size."""
+    width = max(64, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64
+    on = np.bincount(grams & (width - 1), minlength=width) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def may_link(a: Column, b: Column, percent: int) -> Column:
+    """False only for classes (n, bits) whose sets cannot be similar enough, by size or by the bits they differ in."""
+    sizes = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+    # Sets of such sizes have bitmaps of the same width, or one of twice the width, whose halves add up to the narrow one.
+    x, y = (F.when(F.size(v["bits"]) <= F.size(w["bits"]), v["bits"]).otherwise(
+        F.zip_with(F.slice(v["bits"], 1, F.size(w["bits"])), F.slice(v["bits"], F.size(w["bits"]) + 1, F.size(w["bits"])), lambda p, q: p.bitwiseXOR(q))) for v, w in ((a, b), (b, a)))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    differ = F.coalesce(differ, F.lit(0))  # below 50 percent widths may be further apart, and only sizes tell
+    return sizes & ((100 + percent) * (a["n"] + b["n"] - differ) >= 2 * percent * (a["n"] + b["n"]))
+
+
 def _set_rows(n: int, percent: int):
-    """Task code: size, name and lowest hashes of every text's set, as many as its prefix may need."""
+    """Task code: size, name, bitmap and lowest hashes of every text's set, as many as its prefix may need."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -77,7 +96,7 @@ def _set_rows(n: int, percent: int):
                 sets = gram_sets(part["t"].tolist(), n)
                 low = [s[: max(int(np.searchsorted(s, COUNTED_BELOW)), _prefix(len(s), percent))] if len(s) else s for s in sets]
                 sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pd.DataFrame({"_rid": part["_rid"].to_numpy(), "k": part["k"].to_numpy(), "n": [len(s) for s in sets], "sig": sig, "low": low})
+                yield pd.DataFrame({"_rid": part["_rid"].to_numpy(), "k": part["k"].to_numpy(), "n": [len(s) for s in sets], "sig": sig, "low": low, "bits": [parity_bits(s) for s in sets]})
 
     return run
 
@@ -107,12 +126,12 @@ def _prefix_rows(frequent, percent: int, hot: bool):
                 special = (common | ~counted)[:p]
                 picked = np.nonzero(special if hot else ~special)[0]
                 if len(picked):
-                    parts.append((low[picked], picked, sig, n, int(special.sum())))
+                    parts.append((low[picked], picked, sig, n))
             if parts:
                 sizes = [len(x[0]) for x in parts]
                 yield pd.DataFrame({
                     "gram": np.concatenate([x[0] for x in parts]), "pos": np.concatenate([x[1] for x in parts]),
-                    "sig": np.repeat([x[2] for x in parts], sizes), "n": np.repeat([x[3] for x in parts], sizes), "hots": np.repeat([x[4] for x in parts], sizes)})
+                    "sig": np.repeat([x[2] for x in parts], sizes), "n": np.repeat([x[3] for x in parts], sizes)})
 
     return run
 
@@ -196,9 +215,8 @@ def _role_rows(n: int):
 
 
 def verified(texts: DataFrame, where: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough. ``where`` names one row (_rid) of each class (sig) in ``texts`` (_rid, t)."""
+    """The pairs (a, b) of classes whose sets are similar enough. ``pairs`` is a written table, ``where`` names one row (_rid) of each class (sig) in ``texts`` (_rid, t)."""
     spark = texts.sparkSession
-    pairs = materialize(pairs, "candidate-pairs")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.hash("b"), F.col("chunks")).alias("chunk"))
     # A class plays the probe in its own trees and a candidate in others.
@@ -208,7 +226,9 @@ def verified(texts: DataFrame, where: DataFrame, pairs: DataFrame, n: int, perce
     wanted = materialize(roles.join(where, "sig").groupBy("_rid").agg(F.first("sig").alias("sig"), F.collect_list("x").alias("roles")), "roles")
     rows = texts.join(wanted, "_rid").select("sig", "roles", "t").mapInPandas(_role_rows(n), "a long, chunk int, role int, sig long, set binary")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return materialize(rows.mapInPandas(_verify_rows(percent), "a long, b long"), "links")
+    links = materialize(rows.mapInPandas(_verify_rows(percent), "a long, b long"), "links")
+    discard(pairs, wanted)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,10 +244,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        last, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        discard(last)
         state = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+            discard(edges)
+            return found
         before = state
 
 
@@ -238,20 +261,48 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     their own. Null keys take part but never name a component of others. The rows are numbered and written once, because
     a number made while reading may change when the table is planned again. Other columns are ignored.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("k"), F.col(text).alias("t"))
-    found = _of_rows(materialize(numbered, "numbered"), n, percent)
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("k"), F.col(text).alias("t")), "numbered")
+    found = _of_rows(numbered, n, percent)
+    discard(numbered)
     return found.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def _apart(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a prefix n-gram, may be similar enough and are in different components of ``found``.
+
+    Only n-grams whose classes are not all in one component take part, and of n-grams with the same classes the first in the global order. A
+    frequent one is dealt out in parts of ``DEALT`` classes, each met by all classes of the n-gram.
+    """
+    placed = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    same = ["size", "lo", "hi", "mark"]
+    groups = placed.groupBy("gram").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.sum("pos").alias("at"), F.count("*").alias("size"), F.min("sig").alias("lo"),
+        F.max("sig").alias("hi"), F.expr("bit_xor(xxhash64(sig))").alias("mark")).filter("least <> most")
+    groups = groups.groupBy(*same).agg(F.min(F.struct("at", "gram")).alias("g")).select("g.gram", F.ceil(F.col("size") / DEALT).cast("int").alias("parts"))
+    still = materialize(placed.join(groups, "gram").join(classes.select("sig", "bits"), "sig"), "apart")
+    me = F.struct("pos", "n", "sig", "root", "bits")
+    left = still.select("gram", F.pmod(F.hash("sig"), F.col("parts")).alias("part"), me.alias("a"))
+    right = still.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), me.alias("b"))
+    a, b = F.col("a"), F.col("b")
+    # The first n-gram that two sets share leaves room for what they need.
+    room = (100 + percent) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= percent * (a["n"] + b["n"])
+    pairs = left.join(right, ["gram", "part"]).filter((a["root"] < b["root"]) & room & may_link(a, b, percent))
+    pairs = materialize(pairs.select(a["sig"].alias("a"), b["sig"].alias("b")).distinct(), "pairs-apart")
+    discard(still)
+    return pairs
+
+
 def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
-    """(_rid, k, n, root, component_id) of every row (_rid, k, t) of a written table; ``root`` is null where a text has no words."""
+    """(_rid, k, n, sig, root, component_id) of every row (_rid, k, t) of a written table; ``root`` is null where a text has no words."""
     spark = numbered.sparkSession
     kind = numbered.schema["k"].dataType.simpleString()
-    slim = materialize(numbered.mapInPandas(_set_rows(n, percent), f"_rid long, k {kind}, n int, sig long, low array<long>"), "sets")
-    where = slim.filter("n > 0").groupBy("sig").agg(F.min("_rid").alias("_rid"), F.min("k").alias("least"))
+    texts = numbered.select("_rid", "t")
+    slim = materialize(numbered.mapInPandas(_set_rows(n, percent), f"_rid long, k {kind}, n int, sig long, low array<long>, bits array<long>"), "sets")
+    classes = slim.filter("n > 0").groupBy("sig").agg(F.min("_rid").alias("_rid"), F.min("k").alias("least"), F.min("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(classes, "classes")
 
     counted = slim.select(F.explode(F.filter("low", lambda g: g < F.lit(COUNTED_BELOW))).alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"))
-    top = counted.filter(F.col("docs") >= RARE).orderBy(F.desc("docs"), "gram").limit(FREQUENT_KEPT).toPandas()
+    top = counted.filter(F.col("docs") >= COMMON).orderBy(F.desc("docs"), "gram").limit(FREQUENT_KEPT).toPandas()
     top = top.sort_values(["docs", "gram"], kind="stable")
     rank = np.arange(len(top))
     table = top["gram"].to_numpy(dtype=np.int64)
@@ -259,70 +310,48 @@ def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
     frequent = spark.sparkContext.broadcast((table[by_gram], rank[by_gram]))
 
     def prefix(hot: bool) -> DataFrame:
-        return slim.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long, n int, hots int")
-
-    # Dealt out as plain rows first: most n-grams occur once, so sets built before the shuffle would only make it larger.
-    entry = F.struct("sig", "n", "hots")
-    flat = prefix(False).select("gram", "sig", "n", "hots").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram")
-    grouped = flat.groupBy("gram").agg(F.collect_set(entry).alias("x")).filter(F.size("x") > 1)
-    left, right = F.col("l"), F.col("r")
-    pairs = grouped.select("x", F.explode("x").alias("l")).select("l", F.explode(F.filter("x", lambda r: r["sig"] > F.col("l.sig"))).alias("r"))
-    fits = (100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"]))
-    pairs = pairs.filter(fits).groupBy(left["sig"].alias("a"), right["sig"].alias("b")).agg(
-        F.count("*").alias("c"), F.max(left["n"]).alias("na"), F.max(right["n"]).alias("nb"), F.max(left["hots"]).alias("ha"), F.max(right["hots"]).alias("hb"))
-    need = lambda a, b: F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
-    beyond = lambda m: F.ceil(percent * m / F.lit(100.0) - 1e-9) - 1  # noqa: E731  n-grams of a set behind its prefix
-    enough = F.col("c") + F.least("ha", "hb") + F.greatest(beyond(F.col("na")), beyond(F.col("nb"))) >= need(F.col("na"), F.col("nb"))
-    close = pairs.filter(enough).select("a", "b")
-
-    hot = materialize(prefix(True).select("gram", "sig", "n", "pos").distinct(), "frequent-rows")
-    lead = hot.groupBy("gram").agg(F.min(F.struct("pos", "n", "sig")).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("gram", "lead")
-
-    def possible(a: Column, b: Column) -> Column:
-        """Bounds at the first n-gram that two sets share."""
-        rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
-        return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (rest >= need(a["n"], b["n"]))
-
-    me = F.struct("pos", "n", "sig").alias("me")
-    tried = hot.select("gram", me).join(lead, "gram").filter((F.col("me.sig") != F.col("lead.sig")) & possible(F.col("me"), F.col("lead")))
-    first = tried.select(F.col("lead.sig").alias("a"), F.col("me.sig").alias("b")).distinct()
-    links = verified(numbered.select("_rid", "t"), where.select("sig", "_rid"), close.unionByName(first).distinct(), n, percent)
+        return slim.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long, n int")
+
+    # Most n-grams occur once: a window, which sorts and spills, leaves those with two classes or more. Frequent ones are combined map-side.
+    one = Window.partitionBy("gram")
+    rare = prefix(False).withColumns({"lo": F.min("sig").over(one), "hi": F.max("sig").over(one)}).filter("lo <> hi").drop("hi").distinct()
+    often = materialize(prefix(True).distinct(), "frequent-rows")
+    lead = often.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").drop("hi")
+    rows = materialize(rare.unionByName(often.join(lead, "gram")), "shared-rows")
+    discard(often)
+
+    first = rows.filter("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b")).distinct()
+    for side in "ab":
+        first = first.join(classes.select(F.col("sig").alias(side), F.struct("n", "bits").alias("_" + side)), side)
+    first = materialize(first.filter(may_link(F.col("_a"), F.col("_b"), percent)).select("a", "b"), "first-pairs")
+    links = verified(texts, classes.select("sig", "_rid"), first, n, percent)
     found = components(links)
-
-    # Frequent n-grams whose classes are not all in one component by now: try what is still apart.
-    placed = hot.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("gram", me, F.coalesce("root", "sig").alias("root"))
-    apart = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
-    still = materialize(placed.join(apart, "gram"), "apart")
-    other = still.select("gram", F.col("me").alias("you"), F.col("root").alias("root2"))
-    more = still.join(other, "gram").filter((F.col("root") < F.col("root2")) & possible(F.col("me"), F.col("you")))
-    more = more.select(F.col("me.sig").alias("a"), F.col("you.sig").alias("b")).distinct()
-    more = materialize(more, "more-pairs")
+    more = _apart(rows, found, classes, percent)
     if not more.isEmpty():
-        again = verified(numbered.select("_rid", "t"), where.select("sig", "_rid"), more, n, percent)
-        found = components(links.unionByName(again))
-
-    classes = where.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(named, "root").select("sig", "root", "component_id")
-    out = slim.select("_rid", "k", "n", "sig").join(classes, "sig", "left")
+        again = verified(texts, classes.select("sig", "_rid"), more, n, percent)
+        found, before = components(links.unionByName(again)), found
+        discard(before, again)
+
+    rooted = classes.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = rooted.join(named, "root").select("sig", "root", "component_id")
+    out = slim.select("_rid", "k", "n", "sig").join(rooted, "sig", "left")
     named = F.when(F.col("n") > 0, F.coalesce("component_id", "k")).otherwise(F.col("k"))
-    return out.select("_rid", "k", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"), named.alias("component_id"))
+    out = materialize(out.select("_rid", "k", "n", "sig", F.when(F.col("n") > 0, F.col("root")).alias("root"), named.alias("component_id")), "row-components")
+    discard(slim, classes, rows, links, found)
+    return out
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one that names it; columns are those of ``docs``.
+    """One row of each component, the one with the least key; columns are those of ``docs``.
 
-    A document without words is a component of its own. Of several rows with the key that names a component the one with the least
-    text stays; rows with a null key all stay.
+    A row without words is a component of its own and stays. Rows are told apart by a number of their own, so a repeated key loses
+    no row that is linked with nothing. Null keys come after all others; of rows of a component with the same key one stays, chosen by
+    the hash of its set, then by its place.
     """
-    found = materialize(jaccard_components(docs, key, text, n, percent).withColumnRenamed(key, "_k"), "components")
-    keep = found.filter(F.col("_k").isNull() | (F.col("_k") == F.col("component_id")))
-    keep = keep.groupBy("_k").agg(F.count("*").alias("rows"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    kept = rows.join(keep, F.col("_key").eqNullSafe(F.col("_k")))
-    # A key that names its component more than once: rows without words, or repeated rows, of which the least text stays.
-    several = (F.col("rows") > 1) & F.col("_k").isNotNull()
-    single = kept.filter(~several).select("doc")
-    least = Window.partitionBy("_k").orderBy("_t")
-    repeated = kept.filter(several).withColumn("_at", F.row_number().over(least)).filter("_at = 1").select("doc")
-    return single.unionByName(repeated).select("doc.*")
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("doc")), "numbered")
+    doc = F.col("doc")
+    found = _of_rows(numbered.select("_rid", doc[key].alias("k"), doc[text].alias("t")), n, percent)
+    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "sig", "_rid")).alias("x"))
+    keep = first.select("x._rid").unionByName(found.filter("root is null").select("_rid"))
+    return numbered.join(keep, "_rid").select("doc.*")
