@@ -42,6 +42,56 @@ def test_log_gives_the_same_answer(spark):
     assert rows(G.current_records(spark, folded, SCHEMA, "key", "ts"), "key", "v") == [("a", 4), ("b", 1)]
 
 
+def test_a_batch_after_a_fold_is_not_lost(spark):
+    src, log, ck = (fresh_path(spark, x) for x in ("src", "log", "ck"))
+    batches = [
+        [(1, "a", "2026-01-01 00:00:00", 1), (2, "b", "2026-01-01 00:00:00", 1)],
+        [(3, "a", "2026-01-02 00:00:00", 2), (4, "b", "2026-01-01 00:00:00", 2)],
+        [(5, "a", "2026-01-02 00:00:00", 3), (6, "c", "2026-01-01 00:00:00", 3)],
+    ]
+    assert G.fold_log(spark, log, SCHEMA, "key", "ts") is None and G.read_log(spark, log, SCHEMA, "key", "ts").isEmpty()
+    states, last = [], []
+    for b in batches:
+        records(spark, b).coalesce(1).write.mode("append").parquet(src)
+        G.log_newer(spark.readStream.schema(SCHEMA).parquet(src), log, ck, "key", "ts", "id", F.col("v") > 0).awaitTermination()
+        before = G.read_log(spark, log, SCHEMA, "key", "ts")
+        states.append(rows(before, "key", "v"))
+        last.append(G.fold_log(spark, log, SCHEMA, "key", "ts"))
+        assert rows(G.read_log(spark, log, SCHEMA, "key", "ts"), "key", "v") == states[-1] == rows(before, "key", "v")
+    assert states == [[("a", 1), ("b", 1)], [("a", 2), ("b", 1)], [("a", 2), ("b", 1), ("c", 3)]]
+    assert last == [0, 1, 2] and G.fold_log(spark, log, SCHEMA, "key", "ts") == 2
+    # A batch that was written but is not listed yet, as while a stream runs, is neither read nor folded.
+    records(spark, [(9, "a", "2027-01-01 00:00:00", 9)]).write.parquet(f"{log}/batch={3:012d}")
+    assert G.fold_log(spark, log, SCHEMA, "key", "ts") == 2 and rows(G.read_log(spark, log, SCHEMA, "key", "ts"), "key", "v") == states[-1]
+    # Nothing of the batches is needed any more once they are folded.
+    spark.createDataFrame([], f"{SCHEMA}, batch long").write.mode("overwrite").partitionBy("batch").parquet(log)
+    assert rows(G.read_log(spark, log, SCHEMA, "key", "ts"), "key", "v") == states[-1]
+
+
+def test_the_watermark_drops_late_arrivals(spark):
+    src, out, ck = (fresh_path(spark, x) for x in ("src", "out", "ck"))
+    for b in (
+        [(1, "a", "2026-01-01 00:00:00", 1), (2, "b", "2026-01-10 12:00:00", 1)],
+        [(3, "a", "2026-01-02 00:00:00", 1), (4, "b", "2026-01-10 11:00:00", 1), (5, "a", "2026-01-09 00:00:00", 1)],  # the first is late
+    ):
+        records(spark, b).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(SCHEMA).parquet(src)
+        G.freshness_updates(stream, out, ck, "key", "ts", "2 days", trigger={"availableNow": True}).awaitTermination()
+    state = G.state_of_updates(spark, out, "key").select("key", "arrivals", F.col("latest").cast("string").alias("latest"))
+    assert rows(state, "key", "arrivals", "latest") == [("a", 2, "2026-01-09 00:00:00"), ("b", 2, "2026-01-10 12:00:00")]
+
+
+def test_the_caller_chooses_the_trigger(spark):
+    src, log, ck = (fresh_path(spark, x) for x in ("src", "log", "ck"))
+    records(spark, [(1, "a", "2026-01-01 00:00:00", 1)]).write.parquet(src)
+    q = G.log_newer(spark.readStream.schema(SCHEMA).parquet(src), log, ck, "key", "ts", "id", F.col("v") > 0, trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+        assert q.isActive and rows(G.read_log(spark, log, SCHEMA, "key", "ts"), "key", "v") == [("a", 1)]
+    finally:
+        q.stop()
+
+
 def test_freshness(spark):
     src, out, ck = (fresh_path(spark, x) for x in ("src", "out", "ck"))
     for b in ([(1, "a", "2026-01-01 00:00:00", 1)], [(2, "b", "2026-01-03 00:00:00", 1), (3, "a", "2025-12-01 00:00:00", 1)]):

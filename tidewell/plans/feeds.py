@@ -198,9 +198,26 @@ def g1_log(t):
     return G.current_records(t.spark, folded, schema, "user_id", "ts").select("user_id", "event_id", F.col("ts").cast("string").alias("ts"), "event_type", "value")
 
 
-@query("g2_freshness_monitor", """
+@query("g1_folded_log", NEWEST_SQL)
+def g1_folded(t):
+    """Half of the events, a fold, the other half through the same stream, and the fold read beside the batches after it."""
+    source, log, checkpoint = (fresh_path(t.spark, x) for x in ("fold-source", "fold-log", "fold-checkpoint"))
+    schema, fields = "event_id long, user_id long, ts timestamp_ntz, event_type string, value double", ["event_id", "user_id", "ts", "event_type", "value"]
+    for half in (0, 1):
+        t.events.filter(F.floor(F.col("event_id") / 700) % 2 == half).select(*fields).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(t.events.select(*fields).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        G.log_newer(stream, log, checkpoint, "user_id", "ts", "event_id", (F.col("event_type") != "error") & (F.col("value") > 5)).awaitTermination()
+        if half == 0:
+            G.fold_log(t.spark, log, schema, "user_id", "ts")
+    return G.read_log(t.spark, log, schema, "user_id", "ts").select("user_id", "event_id", F.col("ts").cast("string").alias("ts"), "event_type", "value")
+
+
+FRESHNESS_SQL = """
     SELECT user_id, arrivals, round(epoch_us(TIMESTAMP '2024-02-01 00:00:00' - latest) / 3.6e9, 4) AS age_hours, epoch_us(TIMESTAMP '2024-02-01 00:00:00' - latest) / 3.6e9 > 36 AS late
-    FROM (SELECT user_id, max(ts) AS latest, count(*) AS arrivals FROM events GROUP BY 1)""")
+    FROM (SELECT user_id, max(ts) AS latest, count(*) AS arrivals FROM events GROUP BY 1)"""
+
+
+@query("g2_freshness_monitor", FRESHNESS_SQL)
 def g2(t):
     out = fresh_path(t.spark, "freshness")
     G.freshness_monitor(event_stream(t, "freshness-source"), out, fresh_path(t.spark, "freshness-checkpoint"), "user_id", "ts").awaitTermination()
@@ -208,6 +225,16 @@ def g2(t):
     return state.select("user_id", "arrivals", F.round("age_hours", 4).alias("age_hours"), "late")
 
 
+@query("g2_freshness_updates", FRESHNESS_SQL)
+def g2_updates(t):
+    out = fresh_path(t.spark, "freshness-updates")
+    stream = event_stream(t, "freshness-updates-source")
+    # The files are in no order of time, so the watermark is wider than the time they cover.
+    G.freshness_updates(stream, out, fresh_path(t.spark, "freshness-updates-checkpoint"), "user_id", "ts", "400 days").awaitTermination()
+    state = G.freshness_alarms(G.state_of_updates(t.spark, out, "user_id"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    return state.select("user_id", "arrivals", F.round("age_hours", 4).alias("age_hours"), "late")
+
+
 @query("g3_slot_transitions", """
     WITH s AS (SELECT facility_id AS id, day * 4 + p.slot AS n, p.bit > 0 AND bits & p.bit <> 0 AS open FROM v_week CROSS JOIN (VALUES (0, 1), (1, 2), (2, 4), (3, 0)) p(slot, bit))
     SELECT id, CAST(n // 4 AS INTEGER) AS day, CAST(n % 4 AS INTEGER) AS slot, open FROM (SELECT *, lag(open, 1, false) OVER (PARTITION BY id ORDER BY n) AS was FROM s) WHERE open <> was""")
