@@ -219,15 +219,16 @@ def localize_labels(df: DataFrame, label: DataFrame, lang: str, base: str = BASE
 
     With ``count`` the ``.one`` form is used for exactly one, if either catalogue has it.
     """
-    table = label.filter(F.col("lang").isin(lang, base)).groupBy("key").agg(
-        F.max(F.when(F.col("lang") == lang, F.col("text"))).alias("_cur"), F.max(F.when(F.col("lang") == base, F.col("text"))).alias("_base")
-    )
-    texts = table.select(F.col("key").alias("_k"), F.coalesce("_cur", "_base").alias("_text"))
+    one = F.endswith("key", F.lit(".one"))
+    stem = F.when(one, F.struct(F.regexp_replace("key", r"\.one$", "").alias("_k"), F.lit("_one").alias("form")))
+    forms = F.array_compact(F.array(F.struct(F.col("key").alias("_k"), F.lit("_text").alias("form")), stem if count is not None else F.lit(None)))
+    held = label.filter(F.col("lang").isin(lang, base)).select("lang", "text", F.inline(forms))
+    # Both forms of a key stand in one row, so the rows are joined once.
+    in_lang = lambda form, code: F.max(F.when((F.col("form") == form) & (F.col("lang") == code), F.col("text")))
+    texts = held.groupBy("_k").agg(*[F.coalesce(in_lang(form, lang), in_lang(form, base)).alias(form) for form in ("_text", "_one")])
     rows = df.join(texts, F.col(key) == F.col("_k"), "left").drop("_k")
     text = F.col("_text")
     if count is not None:
-        ones = texts.filter(F.endswith("_k", F.lit(".one"))).select(F.regexp_replace("_k", r"\.one$", "").alias("_k"), F.col("_text").alias("_one"))
-        rows = rows.join(ones, F.col(key) == F.col("_k"), "left").drop("_k")
         text = F.when((F.col(count) == 1) & F.col("_one").isNotNull(), F.col("_one")).otherwise(text)
     text = F.coalesce(text, F.col(key))
     return rows.withColumn(out, fill_params(text, params) if params is not None else text).drop("_text", "_one")
