@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from itertools import combinations
 
@@ -510,6 +511,32 @@ def test_licenses(spark, odd, empty):
     assert licenses.with_licenses(odd).count() == odd.count() and licenses.with_licenses(empty).count() == 0
 
 
+def test_matches_inside_longer_ones_go_in_linear_time():
+    rng = random.Random(31)
+    for _ in range(200):
+        ids = [k for _ in range(6) for k in rng.choice(licenses.RULES)[1][: rng.randint(1, 9)]]
+        found = [(k, 10 * i, 10 * i + 9) for i, k in enumerate(ids)]
+        hits = [(a, a + len(rule), name, r) for r, (name, rule) in enumerate(licenses.RULES) for a in range(len(ids)) if ids[a : a + len(rule)] == rule]
+        best = [h for h in hits if not any(o[0] <= h[0] and o[1] >= h[1] and o[1] - o[0] > h[1] - h[0] for o in hits)]
+        assert licenses.match_rules(found) == [(n, r, 10 * a, 10 * b - 1) for a, b, n, r in sorted(best)]
+    began = time.perf_counter()
+    assert licenses.match_rules([(licenses.RULES[0][1][i % len(licenses.RULES[0][1])], i, i + 1) for i in range(100_000)])
+    assert time.perf_counter() - began < 20
+
+
+def test_candidates_touch_no_span_in_linear_time():
+    rng = random.Random(32)
+    for _ in range(300):
+        text = "".join(rng.choice(["abcdefghijklm", "Z9Z9Z9Z9Z9Z9Z9", " ", " ", "-x", ","]) for _ in range(12))
+        taken = [("hex", s, s + rng.randint(1, 30)) for s in rng.sample(range(len(text)), 4)]
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if not any(s < m.end() and e > m.start() for _, s, e in taken)]
+        assert list(secrets.candidates(text, taken)) == want
+    text = "Z9Z9Z9Z9Z9Z9Z9 , 0123456789abcdef0 " * 100_000
+    taken, began = secrets.base_spans(text), time.perf_counter()
+    assert len(taken) == 100_000 and len(list(secrets.candidates(text, taken))) == 100_000
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("name,rule", licenses.RULES)
 def test_every_rule_is_found(name, rule):
     parts = [licenses.SENTENCES[k] for k in rule]

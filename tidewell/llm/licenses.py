@@ -118,7 +118,13 @@ def match_rules(found: list[tuple[int, int, int]]) -> list[tuple[str, int, int,
         for k in range(len(ids) - len(rule) + 1):
             if ids[k : k + len(rule)] == rule:
                 hits.append((k, k + len(rule), name, r))
-    best = [h for h in hits if not any(o[0] <= h[0] and o[1] >= h[1] and o[1] - o[0] > h[1] - h[0] for o in hits)]
+    # By start, the longest first: a match lies inside a longer one if one that began before reaches as far, or one that begins with it further.
+    best, reach, start = [], 0, -1
+    for h in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if h[0] > start:
+            reach, start, longest = max(reach, longest if start >= 0 else 0), h[0], h[1]
+        if h[1] == longest and h[1] > reach:
+            best.append(h)
     return [(name, r, found[a][1], found[b - 1][2]) for a, b, name, r in sorted(best)]
 
 

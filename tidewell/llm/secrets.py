@@ -54,7 +54,10 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
         start, end = m.span()
         while k < len(cover) and cover[k][1] <= start:
             k += 1
-        if not any(s < end and e > start for s, e in cover[k:]):
+        j = k
+        while j < len(cover) and cover[j][0] < end and cover[j][1] <= start:
+            j += 1
+        if j == len(cover) or cover[j][0] >= end:
             yield start, end
 
 
