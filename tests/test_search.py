@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.helpers import rows
 from tidewell.operators import grid
 from tidewell.operators import search as S
+from tidewell.session import materialize
 from tidewell.sources import fixed
 
 MONDAY = "2026-09-21 00:30:00"
@@ -212,6 +213,31 @@ def test_top_results_equal_the_full_list(spark):
     assert S.search_top(items, tokens.filter("token = 'nowhere'"), 7, {}).collect() == []
 
 
+def test_pairs_of_a_hot_query_are_shared_by_tasks(spark):
+    """Few small rows become many pairs; one task must not list them all."""
+    items = spark.createDataFrame([(i, "flu shot", "city", "lane") for i in range(600)], "item_id long, name string, area string, addr string")
+    tokens = S.tokenize_queries(spark.createDataFrame([(i, "flu shot") for i in range(500)], "query_id long, q string"))
+    found = S.search_score(items, tokens, {})
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 300_000 and max(sizes) < 200_000
+    top = S.search_top(items, tokens, 3, {})
+    assert rows(top.filter("query_id = 499"), "item_id", "score", "rank") == [(0, 140, 1), (1, 140, 2), (2, 140, 3)] and top.count() == 1500
+
+
+def test_rows_of_one_id_are_searched_together(spark):
+    items = spark.createDataFrame([(1, "flu", "a", "b"), (1, "shot", "a", "b"), (1, "shot", "a", "b"), (2, "flu", "a", None), (None, "flu shot", "a", "b")], "item_id long, name string, area string, addr string")
+    tokens = spark.createDataFrame([(1, 0, "flu"), (1, 1, "shot"), (None, 0, "flu"), (3, 0, "flu"), (3, 1, "flu")], "query_id long, pos int, token string")
+    assert rows(S.search_score(items, tokens, {}), "query_id", "item_id", "score") == [(1, 1, 200), (3, 1, 200), (3, 2, 200)]
+
+
+def test_growing_tables_are_not_sent_out(spark):
+    """A compressed file says little about the size of its rows."""
+    table = materialize(spark.range(100), "grown", grows=True)
+    joined = spark.range(5).join(table.filter("id > 1").groupBy("id").count(), "id")
+    joined.collect()
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boxes(spark):
     rng = random.Random(3)
     points = [(i, round(rng.uniform(21, 27), 2), round(rng.uniform(117, 123), 2)) for i in range(500)] + [(900 + i, 25.0, 121.0) for i in range(250)]
