@@ -72,8 +72,8 @@ def cell_tree(points: DataFrame, on: list[str], depth: int) -> tuple[list[DataFr
     each level from the one below; further down only the points of cells with more than LEAF of them go on. Points get
     lv, cy, cx of the leaf they lie in.
     """
-    active = materialize(points.withColumns({"fy": _finest(F.col("lat")), "fx": _finest(F.col("lng"))}).withColumns(_at(depth)), "points")
-    count = lambda df: materialize(df.groupBy(*on, "cy", "cx").agg(F.count("*").alias("n")), "cells")
+    active = materialize(points.withColumns({"fy": _finest(F.col("lat")), "fx": _finest(F.col("lng"))}).withColumns(_at(depth)), "points", grows=True)
+    count = lambda df: materialize(df.groupBy(*on, "cy", "cx").agg(F.count("*").alias("n")), "cells", grows=True)
     counts = count(active)
     levels = [counts]
     for _ in range(depth):
@@ -90,7 +90,7 @@ def cell_tree(points: DataFrame, on: list[str], depth: int) -> tuple[list[DataFr
             return levels, _union([*leaves, done]).drop("fy", "fx")
         leaves.append(done.join(crowded, [*on, "cy", "cx"], "left_anti"))
         level += 1
-        active = materialize(active.join(crowded, [*on, "cy", "cx"], "left_semi").withColumns(_at(level)), "points")
+        active = materialize(active.join(crowded, [*on, "cy", "cx"], "left_semi").withColumns(_at(level)), "points", grows=True)
         counts = count(active)
 
 
@@ -125,7 +125,7 @@ def nearest_k(targets: DataFrame, points: DataFrame, k: int, depth: int, keys: l
     frontier = _prune(salted_join(frontier, levels[0], on, F.col("target_id"), salts=8).withColumn("lv", F.lit(0)), k, boxed)
     for level, cells in enumerate(levels[1:], 1):
         if level > depth:  # the walk so far feeds both the leaves and the cells that go on
-            frontier = materialize(frontier, "frontier")
+            frontier = materialize(frontier, "frontier", grows=True)
         children = cells.withColumns({"py": F.floor(F.col("cy") / FANOUT).cast("long"), "px": F.floor(F.col("cx") / FANOUT).cast("long"), "lv": F.lit(level)})
         below = frontier.filter("inner").drop("n", "inner", "lv", "reach").withColumnsRenamed({"cy": "py", "cx": "px"})
         down = below.join(children, [*on, "py", "px"]).drop("py", "px")
