@@ -128,6 +128,13 @@ def test_label_checks(spark, label):
     assert rows(V.label_coverage(label, need, ["en", "ja"])) == [("n", "ja"), ("zzz", "en"), ("zzz", "ja")]
 
 
+def test_the_catalogue_is_not_sent_to_every_task(spark):
+    label = spark.createDataFrame([("n", "en", "x"), ("n", "ja", " "), (None, "en", "x")], "key string, lang string, text string")
+    missing = V.label_coverage(label, spark.createDataFrame([("n",), (None,), ("n",)], "key string"), ["en", "ja"])
+    assert rows(missing) == [("n", "ja"), (None, "en"), (None, "ja")]
+    assert "BroadcastHashJoin" not in missing._jdf.queryExecution().executedPlan().toString()
+
+
 def test_display(spark):
     df = spark.createDataFrame([(1, "臺大", "NTU", "中山路", "Zhongshan Rd."), (2, "甲", None, "乙", None)], "id int, name string, name_en string, addr string, addr_en string")
     assert rows(V.display_columns(df, "name", "en", "latin"), "name_text", "name_alt") == [("NTU", "臺大"), ("甲", "")]

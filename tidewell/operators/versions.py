@@ -265,9 +265,12 @@ def label_parity(label: DataFrame, langs: list[str], base: str = BASE_LANGUAGE)
 
 
 def label_coverage(label: DataFrame, needed: DataFrame, langs: list[str]) -> DataFrame:
-    """(key, lang) that the data needs and the catalogue lacks."""
+    """(key, lang) that the data needs and the catalogue lacks.
+
+    Both sides meet by a shuffle: a small file may hold a catalogue of millions of labels, too many to send to every task.
+    """
     wanted = needed.select("key").distinct().withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
-    return wanted.join(label.filter(F.trim("text") != "").select("key", "lang"), ["key", "lang"], "left_anti")
+    return wanted.join(label.filter(F.trim("text") != "").select("key", "lang").hint("merge"), ["key", "lang"], "left_anti")
 
 
 def display_columns(df: DataFrame, field: str, lang: str, script: str, base: str = BASE_LANGUAGE) -> DataFrame:
