@@ -51,6 +51,16 @@ def test_segments_against_direct_walk(spark):
     assert {i: got.get(i, []) for i in range(200)} == {i: direct_segments(t, terms, starts) for i, t in enumerate(texts)}
 
 
+def test_segments_of_equal_texts_are_shared_by_tasks(spark):
+    lex = spark.createDataFrame([("ab", "term"), ("c", "brand")], "token string, kind string")
+    df = spark.createDataFrame([(i, "xab c") for i in range(400)] + [(500, None), (501, ""), (None, "ab")], "id int, t string")
+    found = L.segment_longest(df, "id", "t", lex)
+    assert rows(found.filter("id = 399"), "pos", "token", "kind") == [(0, "x", "run"), (1, "ab", "term"), (2, "c", "brand")]
+    assert rows(found.filter("id is null"), "pos", "token", "kind") == [(0, "ab", "term")]
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1201 and max(sizes) < 800
+
+
 def test_names(spark):
     cases = {
         "某診所(委託甲辦理)": "某診所", "佛教慈濟醫療財團法人大林慈濟醫院": "大林慈濟醫院", "辜公亮基金會和信治癌中心醫院": "和信治癌中心醫院", "東勢區農會附設農民醫院": "農民醫院",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.skew import dealt, once_each
+from tidewell.session import materialize
+
 # ---------------------------------------------------------------- fixed values
 DISTRICT_SUFFIXES = {"區": "District", "鄉": "Township", "鎮": "Township", "市": "City"}
 # ------------------------------------------------------------------------------
@@ -43,8 +46,12 @@ def segment_longest(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> D
 
     lexicon: token, kind; a ``term`` may start anywhere, other kinds only where no unknown letters come right
     before. Stretches without an entry come back as kind ``run``. Each substring of the length of some entry is
-    one equality key into the lexicon, whatever its size.
+    one equality key into the lexicon, whatever its size. Keys with the same text are walked once.
     """
+    lexicon = materialize(lexicon, "lexicon")
+    out_key, key = key, "_key"
+    df, members = once_each(df.select(F.struct(F.col(out_key).alias("k")).alias(key), text), key, [text])
+    df = materialize(dealt(df), "texts", grows=True)
     lengths = sorted(r["n"] for r in lexicon.select(F.char_length("token").alias("n")).distinct().collect() if r["n"])  # a few numbers
     letter = r"^[\p{L}\p{N}]"
     c, size = F.col(text), F.char_length(text)
@@ -85,7 +92,8 @@ def segment_longest(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> D
     ).join(kinds, "token").select(key, "start", "sub", "token", F.when(F.col("_k") == "", "term").otherwise(F.col("_k")).alias("kind"))
     every = tokens.unionByName(gap_rows.select(key, "start", "sub", "token", "kind"))
     ordered = every.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "sub", "token", "kind"))).alias("p"))
-    return ordered.select(key, F.posexplode("p").alias("pos", "x")).select(key, "pos", "x.token", "x.kind")
+    whole = ordered.withColumnRenamed(key, "_first").join(members, "_first").select(F.col(f"{key}.k").alias(out_key), "p")
+    return dealt(whole).select(out_key, F.posexplode("p").alias("pos", "x")).select(out_key, "pos", "x.token", "x.kind")
 
 
 def clean_name(name: Column) -> Column:
