@@ -7,6 +7,7 @@ import textwrap
 import time
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from tidewell.llm import idfiles, jaccard, licenses, lines, packing, pieces, quality, secrets, sharding, simhash, tokens
-from tidewell.session import materialize
+from tidewell.session import materialize, shared_dir
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, _rid string, _t string, set string, kept string, words string, size string, secrets string, k string"
 WORDS = "the of and river stone house window light paper green seven night under over long road small fish bread tower".split()
@@ -622,6 +623,34 @@ def test_chunks_equal_the_whole(spark, odd, empty, texts, tmp_path_factory):
     assert pieces.encode_pieces(odd, PIECES).select("_rid").distinct().count() == odd.count() and pieces.decode_pieces(empty, PIECES).count() == 0
 
 
+def test_sure_cuts_set_a_chunk_apart_from_its_neighbours():
+    model, rng = pieces.piece_model(PIECES), random.Random(5)
+    size = model.longest
+    for _ in range(60):
+        s = "".join(rng.choice(["a", "the", "ing", "日", " ", " ", "  ", "1.", "\n"]) for _ in range(150))
+        a = rng.randint(0, 40)
+        ends, m = model.ends(s, a), model.matrix(s, a)
+        assert ends is not None
+        v = np.array([rng.randint(-40, 0) if e <= a else pieces.NONE for e in range(size)])
+        start = {a - e: int(v[e]) for e in range(size) if e <= a}
+        best, back, ids = model.forward(s, start, a)
+        e = model.entry(np.array(ends["sums"]), ends["begins"], v)
+        for x in range(size):
+            begins, want = model.trace(s, len(s) - x, a, back, ids)
+            assert (v + m[:, x]).max() == best[len(s) - x] and ends["heads"][e] + ends["middle"] + ends["tails"][x] == want and a - begins[-1] == e
+
+
+def test_chunks_with_sure_cuts_leave_no_text_behind(spark, tmp_path_factory):
+    """Pointers and characters of whole chunks took more disk than the texts themselves."""
+    text = " ".join(f"word{k % 97} and {k}" for k in range(4000))
+    before = {*Path(shared_dir(spark)).glob("piece-*")}
+    assert pieces.decode_pieces(stored(make(spark, [text]), tmp_path_factory), PIECES, chunk=1000).first()["decoded"] == text
+    written = {p for p in Path(shared_dir(spark)).glob("piece-*")} - before
+    tables = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)) for p in written}
+    assert sorted(tables) == ["piece-chunks", "piece-pointers"]
+    assert tables["piece-chunks"].where("s is not null").count() <= 1 and tables["piece-pointers"].where("steps is not null").count() <= 1
+
+
 def test_max_plus_product_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = (rng.integers(-50, 0, (4, 4)) for _ in range(3))

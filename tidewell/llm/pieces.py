@@ -26,11 +26,13 @@ from tidewell.session import materialize
 
 CHUNK = 1 << 14  # characters
 FOLD = 64  # chunks whose matrices are multiplied in one step
+NEAR = 256  # characters from a chunk's end within which a sure cut is of use
 KEPT_WORDS = 200_000
 NONE = -(1 << 60)
 BLANK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 COARSE = re.compile(" +[^ ]*|[^ ]+")
+SURE = re.compile("[^ ](?= )")  # no piece crosses from a visible character into a blank
 FINE = re.compile(f" *[{LETTERS}]++| *[^ {LETTERS}]++| +")
 
 
@@ -42,10 +44,13 @@ class PieceModel:
 
         sp = SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
+        self.narrow = "<u2" if n <= 1 << 16 else "<u4"  # how ids travel between tasks
         self.pieces = [sp.id_to_piece(k) for k in range(n)]
         self.unk = sp.unk_id()
         self.bytes = {self.pieces[k]: k for k in range(n) if sp.is_byte(k)}
-        self.byte_of = {k: int(p[3:5], 16) for p, k in self.bytes.items()}
+        self.raw = [p.encode() for p in self.pieces]
+        for p, k in self.bytes.items():
+            self.raw[k] = bytes([int(p[3:5], 16)])
         normal = [k for k in range(n) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
         if any(sp.get_score(k) % 1 for k in normal):
             raise ValueError("a score of this model is not a whole number")  # rounded scores would give other ids
@@ -139,21 +144,54 @@ class PieceModel:
         return b"".join([p[1] for p in self.parts(" " + text)]) if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
-        out, raw = [], bytearray()
-        for k in ids.tolist():
-            b = self.byte_of.get(k)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw = bytearray()
-            out.append(self.pieces[k])
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        return "".join(out).replace(BLANK, " ")[1:]
-
-    def matrix(self, s: str, a: int) -> np.ndarray:
+        # Pieces are whole characters, so bytes that are none are replaced as if each run of them was read alone.
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode(errors="replace").replace(BLANK, " ")[1:]
+
+    def sure_cuts(self, s: str, a: int) -> tuple[int, int] | None:
+        """The first position after ``a`` at which all segmentations are cut, and the last one that no exit comes before; none if either is far from its end."""
+        first, exits = SURE.search(s, a), len(s) - self.longest + 1
+        if first is None or first.end() > min(exits, a + NEAR):
+            return None
+        f2 = s.rfind(" ", 0, exits + 1)
+        while s[f2 - 1] == " ":
+            f2 -= 1
+        return (first.end(), f2) if len(s) - f2 <= NEAR else None
+
+    def trace(self, s: str, p: int, a: int, back: list[int], ids: list[int]) -> tuple[list[int], bytes]:
+        """Where the pieces from ``p`` back to ``a`` or before begin, and their ids in order."""
+        begins, out = [], []
+        while p > a:
+            out += [self.bytes[f"<0x{x:02X}>"] for x in reversed(s[p - 1].encode())] if ids[p] == self.unk else [ids[p]]
+            p = int(back[p])
+            begins.append(p)
+        return begins, np.array(out[::-1], dtype="<u4").tobytes()
+
+    def ends(self, s: str, a: int) -> dict | None:
+        """What a chunk's ids depend on at its ends, where sure cuts set the rest apart.
+
+        For every entry the sum up to the first cut, the begins of its pieces from there back, and their ids; ids and sum between the cuts; for
+        every exit the ids and the sum from the last cut.
+        """
+        cuts = self.sure_cuts(s, a)
+        if cuts is None:
+            return None
+        f1, f2 = cuts
+        out: dict = {"sums": [], "begins": [], "heads": []}
+        for e in range(self.longest):
+            best, back, ids = self.forward(s[:f1], {a - e: 0}, a) if a >= e else ([NONE], [-1], [])
+            begins, head = self.trace(s, f1, a, back, ids) if best[-1] > NONE else ([], b"")
+            for k, v in zip(out, (best[-1], begins, head)):
+                out[k].append(v)
+        parts = self.parts(s[f1:f2])
+        tail = s[f2:]
+        best, back, ids = self.forward(tail, {0: 0}, 0)
+        exits = range(len(tail), len(tail) - self.longest, -1)
+        return out | {
+            "middle": b"".join([p[1] for p in parts]), "middle_sum": sum([p[0] for p in parts]),
+            "tails": [self.trace(tail, p, 0, back, ids)[1] for p in exits], "tail_sums": [best[p] for p in exits],
+        }
+
+    def matrix(self, s: str, a: int, ends: dict | None = None) -> np.ndarray:
         """M[e, x]: best sum from position ``a`` - e to position len(s) - x over segmentations without a cut in between at or before ``a``."""
         size, b = self.longest, len(s)
         m = np.full((size, size), NONE, dtype=np.int64)
@@ -161,22 +199,10 @@ class PieceModel:
         for e in entries:
             if 0 <= b - (a - e) < size:
                 m[e, b - (a - e)] = 0
-        cuts = [p for p in range(a + 1, b) if s[p] == " " and s[p - 1] != " "]
-        exits = b - size + 1
-        if cuts and cuts[0] <= exits:
-            f1, f2 = cuts[0], max(c for c in cuts if c <= exits)
-            mid = sum(p[0] for p in self.parts(s[f1:f2]))
-            tail = self.forward(s[f2:], {0: 0}, 0)[0]
-            # From the first sure cut backwards: one sum for every entry.
-            head = {f1: 0}
-            for i in range(f1 - 1, a - entries[-1] - 1, -1):
-                head[i] = max((head[j] + score for j, _, score in self.matches(s, i) if (j > a and j <= f1)), default=NONE)
-            for e in entries:
-                for x in range(size):
-                    t = tail[b - x - f2]
-                    if head[a - e] > NONE and t > NONE:
-                        m[e, x] = head[a - e] + mid + t
-            return m
+        ends = ends or self.ends(s, a)
+        if ends:
+            head, tail = np.array(ends["sums"])[:, None], np.array(ends["tail_sums"])[None, :]
+            return np.where((head > NONE) & (tail > NONE), head + ends["middle_sum"] + tail, m)
         for e in entries:
             best = self.forward(s, {a - e: 0}, a)[0]
             for x in range(size):
@@ -184,6 +210,11 @@ class PieceModel:
                     m[e, x] = best[b - x]
         return m
 
+    def entry(self, sums: np.ndarray, begins: list, v: np.ndarray) -> int:
+        """The entry of a chunk with sure cuts, of equal ones the one whose pieces begin earliest from the first cut back."""
+        whole = np.where((sums > NONE) & (v > NONE), sums + v, NONE)
+        return min(np.flatnonzero(whole == whole.max()).tolist(), key=lambda e: list(begins[e]))
+
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product: the matrix of two chunks one after the other."""
@@ -239,14 +270,26 @@ def _giants(rows: DataFrame, path: str, chunk: int, out: str) -> DataFrame:
     begin = F.greatest(F.col("k") * chunk - halo, F.lit(0))
     end = F.least((F.col("k") + 1) * chunk, F.col("n"))
     chunks = chunks.select("_rid", "doc", "k", (F.col("k") * chunk - begin).alias("a"), F.substring(F.col("s"), begin + 1, end - begin).alias("s"))
-    chunks = materialize(chunks.repartition(parts, "_rid", "k"), "piece-chunks")
+    kind = rows.schema["doc"].dataType.simpleString()
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = piece_model(path)
+        slim = lambda ids: np.frombuffer(ids, dtype="<u4").astype(model.narrow).tobytes()
         for batch in batches:
-            yield pd.DataFrame({"_rid": batch["_rid"], "k": batch["k"], "m": [model.matrix(t, a).tobytes() for t, a in zip(batch["s"], batch["a"])]})
-
-    found = materialize(chunks.select("_rid", "k", "s", "a").mapInPandas(matrices, "_rid long, k int, m binary"), "piece-matrices")
+            got = []
+            for t, a in zip(batch["s"], batch["a"]):
+                ends = model.ends(t, a)
+                m = model.matrix(t, a, ends).tobytes()
+                if ends:
+                    got.append((m, None, ends["sums"], ends["begins"], [slim(x) for x in ends["heads"]], slim(ends["middle"]), [slim(x) for x in ends["tails"]]))
+                else:
+                    got.append((m, t, None, None, None, None, None))
+            names = ["m", "s", "sums", "begins", "heads", "middle", "tails"]
+            yield pd.DataFrame({"_rid": batch["_rid"], "doc": batch["doc"], "k": batch["k"], "a": batch["a"]} | {n: [g[j] for g in got] for j, n in enumerate(names)})
+
+    # The texts travel once; behind it, a chunk with sure cuts is its ids, and only others keep their characters.
+    schema = f"_rid long, doc {kind}, k int, a int, m binary, s string, sums array<long>, begins array<array<int>>, heads array<binary>, middle binary, tails array<binary>"
+    found = materialize(chunks.repartition(parts, "_rid", "k").mapInPandas(prepare, schema), "piece-chunks")
 
     def square(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, dtype=np.int64)
@@ -273,7 +316,7 @@ def _giants(rows: DataFrame, path: str, chunk: int, out: str) -> DataFrame:
         return pd.DataFrame({"_rid": frame["_rid"].to_numpy(), name: frame[name].to_numpy(), "v": seen})
 
     # Blocks of chunks, then the blocks of a text (one matrix of a few KB for a million characters), then the chunks of a block.
-    blocked = found.withColumn("block", F.floor(F.col("k") / FOLD).cast("int"))
+    blocked = found.select("_rid", "k", "m").withColumn("block", F.floor(F.col("k") / FOLD).cast("int"))
     blocks = blocked.groupBy("_rid", "block").applyInPandas(product, "_rid long, block int, m binary")
     entering = blocks.groupBy("_rid").applyInPandas(lambda f: carry(f, "block"), "_rid long, block int, v binary")
     sums = blocked.join(entering, ["_rid", "block"]).groupBy("_rid", "block").applyInPandas(lambda f: carry(f, "k"), "_rid long, k int, v binary")
@@ -282,8 +325,12 @@ def _giants(rows: DataFrame, path: str, chunk: int, out: str) -> DataFrame:
         model = piece_model(path)
         for batch in batches:
             got = []
-            for t, a, v in zip(batch["s"], batch["a"], batch["v"]):
+            for t, a, sums, begins, v in zip(batch["s"], batch["a"], batch["sums"], batch["begins"], batch["v"]):
                 v = np.frombuffer(v, dtype=np.int64)
+                if t is None:
+                    e = model.entry(np.asarray(sums), begins, v)
+                    got.append(([e] * len(v), e, None, None))
+                    continue
                 start = {a - e: int(v[e]) for e in range(len(v)) if a - e >= 0 and v[e] > NONE}
                 _, back, ids = model.forward(t, start, a)
                 # Where each exit enters: follow the pointers up to the first position that is not after the chunk's start.
@@ -292,11 +339,11 @@ def _giants(rows: DataFrame, path: str, chunk: int, out: str) -> DataFrame:
                     entry[p] = entry.get(back[p], -1) if back[p] >= 0 else -1
                 exits = [entry.get(len(t) - x, -1) for x in range(len(v))]
                 steps = np.array([p - q if q >= 0 else 0 for p, q in enumerate(back)], dtype="<u2")
-                got.append((exits, steps.tobytes(), np.array(ids, dtype="<u4").tobytes()))
-            yield pd.DataFrame({"_rid": batch["_rid"], "doc": batch["doc"], "k": batch["k"], "a": batch["a"], "s": batch["s"], "exits": [g[0] for g in got], "steps": [g[1] for g in got], "tokens": [g[2] for g in got]})
+                got.append((exits, None, steps.tobytes(), np.array(ids, dtype=model.narrow).tobytes()))
+            yield pd.DataFrame({"_rid": batch["_rid"], "k": batch["k"], "exits": [g[0] for g in got], "e": pd.array([g[1] for g in got], dtype="Int32"), "steps": [g[2] for g in got], "tokens": [g[3] for g in got]})
 
-    kind = rows.schema["doc"].dataType.simpleString()
-    filled = materialize(chunks.join(sums, ["_rid", "k"]).mapInPandas(fill, f"_rid long, doc {kind}, k int, a int, s string, exits array<int>, steps binary, tokens binary"), "piece-pointers")
+    entered = found.select("_rid", "k", "a", "s", "sums", "begins").join(sums, ["_rid", "k"])
+    filled = materialize(entered.mapInPandas(fill, "_rid long, k int, exits array<int>, e int, steps binary, tokens binary"), "piece-pointers")
 
     def leave(frame: pd.DataFrame) -> pd.DataFrame:
         """The exit of each chunk, from the last one backwards: one small map a chunk."""
@@ -312,16 +359,17 @@ def _giants(rows: DataFrame, path: str, chunk: int, out: str) -> DataFrame:
         model = piece_model(path)
         for batch in batches:
             got = []
-            for t, a, x, steps, ids in zip(batch["s"], batch["a"], batch["x"], batch["steps"], batch["tokens"]):
-                steps, ids = np.frombuffer(steps, dtype="<u2"), np.frombuffer(ids, dtype="<u4")
-                p, line = len(t) - x, []
-                while p > a:
-                    line += [model.bytes[f"<0x{b:02X}>"] for b in reversed(t[p - 1].encode())] if ids[p] == model.unk else [ids[p]]
-                    p -= int(steps[p])
-                got.append(np.array(line[::-1], dtype="<u4").tobytes())
+            for r in batch.itertuples(index=False):
+                if r.s is None:
+                    ids = np.frombuffer(r.heads[int(r.e)] + r.middle + r.tails[r.x], dtype=model.narrow)
+                    got.append(ids.astype("<u4").tobytes())
+                    continue
+                steps, ids = np.frombuffer(r.steps, dtype="<u2"), np.frombuffer(r.tokens, dtype=model.narrow)
+                got.append(model.trace(r.s, len(r.s) - r.x, r.a, np.arange(len(steps)) - steps, ids)[1])
             yield pd.DataFrame({"_rid": batch["_rid"], "doc": batch["doc"], "chunk": batch["k"], "ids": got})
 
-    return filled.join(left, ["_rid", "k"]).mapInPandas(trace, out)
+    both = found.select("_rid", "doc", "k", "a", "s", "heads", "middle", "tails").join(filled.drop("exits").join(left, ["_rid", "k"]), ["_rid", "k"])
+    return both.mapInPandas(trace, out)
 
 
 def decode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
