@@ -91,41 +91,51 @@ def marginals(scores: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.nd
         return np.zeros(0)
     blocks = -(-n // BLOCK)
     size = blocks * BLOCK
-    e = np.ones((size, 2))
-    e[:n, 1] = np.exp(np.clip(scores, -30, 30))
-    start = np.zeros(size, dtype=bool)
+    # One position of all blocks is one row, so every step works on whole rows of plain numbers.
+    rows = lambda x: np.ascontiguousarray(x.reshape(blocks, BLOCK).T)
+    e = np.ones(size)
+    e[:n] = np.exp(np.clip(scores, -30, 30))
+    start = np.ones(size, dtype=bool)
     start[:n] = first
-    start[n:] = True
     t = np.exp(trans)
-    m = np.where(start[:, None, None], 1.0, t[None])  # from the state before
-    forward = m * e[:, None, :]
+    one, state = rows(e), rows(start)
+    m = {(i, j): np.where(state, 1.0, t[i, j]) for i in (0, 1) for j in (0, 1)}  # from the state before
+    alpha = carried(m[0, 0], m[0, 1] * one, m[1, 0], m[1, 1] * one)
     # Backwards: from the state of the next token; a chain's last token looks at nothing.
-    ahead = np.ones((size, 2, 2))
-    ahead[:-1] = np.where(start[1:, None, None], 1.0, t.T[None] * e[1:, :, None])  # [next state, own state]
-    f, b = forward.reshape(blocks, BLOCK, 2, 2), ahead.reshape(blocks, BLOCK, 2, 2)[::-1, ::-1]
-    alpha, beta = carried(f).reshape(size, 2), carried(b)[::-1, ::-1].reshape(size, 2)
-    both = alpha * beta
-    return (both[:, 1] / both.sum(axis=1))[:n]
+    last = np.append(start[1:], True)
+    after = np.append(e[1:], 1.0)
+    state, one = rows(last)[::-1, ::-1], rows(np.where(last, 1.0, after))[::-1, ::-1]
+    m = {(i, j): np.where(state, 1.0, t[j, i]) for i in (0, 1) for j in (0, 1)}  # [next state, own state]
+    beta = carried(m[0, 0], m[0, 1], m[1, 0] * one, m[1, 1] * one)
+    whole = lambda x: x.T.reshape(size)
+    one, none = whole(alpha[1] * beta[1][::-1, ::-1]), whole(alpha[0] * beta[0][::-1, ::-1])
+    return (one / (none + one))[:n]
+
 
+def carried(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row vectors after each of the matrices ((a, b), (c, d)), each scaled to sum 1.
 
-def carried(m: np.ndarray) -> np.ndarray:
-    """Row vectors after each of the matrices (blocks, BLOCK, 2, 2), in order over all blocks, each scaled to sum 1."""
-    blocks, length = m.shape[:2]
-    whole = np.broadcast_to(np.eye(2), (blocks, 2, 2)).copy()
+    Row k of the arguments holds the matrices at place k of all blocks; the order is that of the blocks, then of the places.
+    """
+    length, blocks = a.shape
+    p, q, r, s = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
     for k in range(length):
-        whole = whole @ m[:, k]
-        whole /= whole.sum(axis=(1, 2), keepdims=True)
-    v, entries = np.array([0.5, 0.5]), np.empty((blocks, 2))
-    for k in range(blocks):
-        entries[k] = v
-        v = v @ whole[k]
-        v /= v.sum()
-    out = np.empty((blocks, length, 2))
+        p, q, r, s = p * a[k] + q * c[k], p * b[k] + q * d[k], r * a[k] + s * c[k], r * b[k] + s * d[k]
+        scale = 1.0 / (p + q + r + s)
+        p, q, r, s = p * scale, q * scale, r * scale, s * scale
+    x, y, entries = 0.5, 0.5, []
+    for p, q, r, s in zip(p.tolist(), q.tolist(), r.tolist(), s.tolist()):
+        entries.append((x, y))
+        x, y = x * p + y * r, x * q + y * s
+        x, y = x / (x + y), y / (x + y)
+    v, w = np.array(entries).T
+    none, one = np.empty((length, blocks)), np.empty((length, blocks))
     for k in range(length):
-        entries = np.einsum("bi,bij->bj", entries, m[:, k])
-        entries /= entries.sum(axis=1, keepdims=True)
-        out[:, k] = entries
-    return out
+        v, w = v * a[k] + w * c[k], v * b[k] + w * d[k]
+        total = v + w
+        v, w = v / total, w / total
+        none[k], one[k] = v, w
+    return none, one
 
 
 @dataclass
