@@ -575,6 +575,22 @@ def test_sharding(spark, odd, empty, texts, tmp_path_factory, tmp_path):
     assert rows(back, "doc_id", "shard") == rows(placed, "doc_id", "shard")
 
 
+def test_hashes_are_gone_before_texts_travel(spark, monkeypatch):
+    """The table of the lowest hashes lay on disk until the end, beside all that is shuffled to verify pairs."""
+    rng, there = random.Random(8), []
+    base = prose(rng, 120).split()
+    near = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(0, 100, 9)]
+
+    def watched(df, name, **more):
+        there.append((name, len([*Path(shared_dir(spark)).glob("sets-*")])))
+        return materialize(df, name, **more)
+
+    left = len([*Path(shared_dir(spark)).glob("sets-*")])
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    assert {r["component_id"] for r in jaccard.jaccard_components(make(spark, near), n=4, percent=85).collect()} == {0}
+    assert {n for name, n in there if name == "roles"} == {left}
+
+
 # ------------------------------------------------------------------ pieces
 PIECES = tokens.vocabulary_path("piece_bpe_32k.model")
 

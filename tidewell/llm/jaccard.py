@@ -297,11 +297,12 @@ def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
     spark = numbered.sparkSession
     kind = numbered.schema["k"].dataType.simpleString()
     texts = numbered.select("_rid", "t")
-    slim = materialize(numbered.mapInPandas(_set_rows(n, percent), f"_rid long, k {kind}, n int, sig long, low array<long>, bits array<long>"), "sets")
-    classes = slim.filter("n > 0").groupBy("sig").agg(F.min("_rid").alias("_rid"), F.min("k").alias("least"), F.min("n").alias("n"), F.first("bits").alias("bits"))
+    sets = materialize(numbered.mapInPandas(_set_rows(n, percent), f"_rid long, k {kind}, n int, sig long, low array<long>, bits array<long>"), "sets")
+    slim = materialize(sets.select("_rid", "k", "n", "sig"), "row-classes")
+    classes = sets.filter("n > 0").groupBy("sig").agg(F.min("_rid").alias("_rid"), F.min("k").alias("least"), F.min("n").alias("n"), F.first("bits").alias("bits"))
     classes = materialize(classes, "classes")
 
-    counted = slim.select(F.explode(F.filter("low", lambda g: g < F.lit(COUNTED_BELOW))).alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"))
+    counted = sets.select(F.explode(F.filter("low", lambda g: g < F.lit(COUNTED_BELOW))).alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"))
     top = counted.filter(F.col("docs") >= COMMON).orderBy(F.desc("docs"), "gram").limit(FREQUENT_KEPT).toPandas()
     top = top.sort_values(["docs", "gram"], kind="stable")
     rank = np.arange(len(top))
@@ -310,7 +311,7 @@ def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
     frequent = spark.sparkContext.broadcast((table[by_gram], rank[by_gram]))
 
     def prefix(hot: bool) -> DataFrame:
-        return slim.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long, n int")
+        return sets.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long, n int")
 
     # Most n-grams occur once: a window, which sorts and spills, leaves those with two classes or more. Frequent ones are combined map-side.
     one = Window.partitionBy("gram")
@@ -318,7 +319,8 @@ def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
     often = materialize(prefix(True).distinct(), "frequent-rows")
     lead = often.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").drop("hi")
     rows = materialize(rare.unionByName(often.join(lead, "gram")), "shared-rows")
-    discard(often)
+    # The hashes are the largest table and have no further use; texts and sets that travel next take their place on disk.
+    discard(often, sets)
 
     first = rows.filter("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b")).distinct()
     for side in "ab":
