@@ -575,6 +575,17 @@ def test_sharding(spark, odd, empty, texts, tmp_path_factory, tmp_path):
     assert rows(back, "doc_id", "shard") == rows(placed, "doc_id", "shard")
 
 
+def test_units_of_a_long_run_are_learned_once(monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["q" + "".join(letters[k // 26**j % 26] for j in range(6)) for k in range(450_000)]
+    texts = [" ".join(words[k : k + 30_000]) for k in range(0, len(words), 30_000)]
+    codec, learned = tokens.TokenCodec(tokens.vocabulary_path()), []
+    learn = codec._learn_words
+    monkeypatch.setattr(codec, "_learn_words", lambda some: (learned.append(len(some)), learn(some)))
+    first, second = list(codec.encode(texts)), list(codec.encode(texts))
+    assert first == second and sum(learned) <= len(words) + len(texts)
+
+
 def test_hashes_are_gone_before_texts_travel(spark, monkeypatch):
     """The table of the lowest hashes lay on disk until the end, beside all that is shuffled to verify pairs."""
     rng, there = random.Random(8), []

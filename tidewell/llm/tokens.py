@@ -17,7 +17,7 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0  -     　"
 # A word that ends before a mark or white space; marks up to a word; anything else up to white space; white space.
 UNIT = re.compile(f" ?[^\\W\\d_]++(?![\\w'])| ?[^\\w{SPACE}']++(?!['_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-KEPT_UNITS = 150_000  # pieces in each of the two tables of a worker
+KEPT_UNITS = 400_000  # pieces in each of the two tables of a worker
 AT_ONCE = 1 << 21  # characters cut into pieces at a time
 
 
