@@ -310,6 +310,28 @@ def test_jaccard_edges(spark, docs, odd, empty, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c in brute_components(texts, 5, 80) if i == c)
 
 
+def test_a_group_of_near_copies_leaves_few_pairs(spark, monkeypatch):
+    """Each copy was tried against the least one first, whatever its edits: most stayed apart, and their pairs grew with the square of the group."""
+    rng, made = random.Random(31), {}
+    base = prose(rng, 400).split()
+    many = []
+    for size in range(240):
+        w = base.copy()
+        for _ in range(size % 16):
+            w[rng.randrange(len(w))] = f"new{rng.random()}"
+        many.append(" ".join(w))
+    rng.shuffle(many)
+
+    def counted(df, name, **more):
+        out = materialize(df, name, **more)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    assert rows(jaccard.jaccard_components(make(spark, many), n=4, percent=85), "doc_id", "n_shingles", "component_id") == brute_components(many, 4, 85)
+    assert made["first-pairs"] + made["pairs-apart"] < 10 * len(many)
+
+
 def test_repeated_keys_lose_no_row_without_links(spark):
     rng = random.Random(21)
     a, b, c = (prose(rng, 40) for _ in range(3))

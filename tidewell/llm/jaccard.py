@@ -6,8 +6,9 @@ sets that may match one probe form a tree in a task: it is walked depth first, s
 so far, and a subtree ends as soon as the n-grams left cannot reach the needed overlap.
 
 * Equal sets are one class from the start, named by the hash of the set, so copies add no work.
-* No n-gram gives all pairs at once: each class is tried against the least class of each of its prefix n-grams, and only classes that are
-  still in different components after that are tried against each other. So no link between components is lost.
+* No n-gram gives all pairs at once: each class is tried against one class of each of its prefix n-grams, of a frequent one the class with the
+  fewest n-grams of its own, which links most of a group of near copies. Only classes that are still in different components after that are tried
+  against each other, and those of an n-gram's main component not among themselves. So no link between components is lost.
 * Before a set travels, a pair must pass an exact bound: every class has a parity bitmap of about one to two bits an n-gram, and two
   sets differ in at least as many n-grams as their bitmaps differ in bits.
 
@@ -102,7 +103,7 @@ def _set_rows(n: int, percent: int):
 
 
 def _prefix_rows(frequent, percent: int, hot: bool):
-    """Task code: the prefix grams of every distinct set of the task, the frequent and uncounted ones or the others."""
+    """Task code: the prefix grams of every distinct set of the task, the frequent and uncounted ones (with ``own``, how many counted grams of the set are not frequent) or the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, rank = frequent.value
@@ -126,12 +127,11 @@ def _prefix_rows(frequent, percent: int, hot: bool):
                 special = (common | ~counted)[:p]
                 picked = np.nonzero(special if hot else ~special)[0]
                 if len(picked):
-                    parts.append((low[picked], picked, sig, n))
+                    parts.append((low[picked], picked, sig, int(np.count_nonzero(counted & ~common))))
             if parts:
                 sizes = [len(x[0]) for x in parts]
-                yield pd.DataFrame({
-                    "gram": np.concatenate([x[0] for x in parts]), "pos": np.concatenate([x[1] for x in parts]),
-                    "sig": np.repeat([x[2] for x in parts], sizes), "n": np.repeat([x[3] for x in parts], sizes)})
+                out = {"gram": np.concatenate([x[0] for x in parts]), "pos": np.concatenate([x[1] for x in parts]), "sig": np.repeat([x[2] for x in parts], sizes)}
+                yield pd.DataFrame(out | {"own": np.repeat([x[3] for x in parts], sizes)} if hot else out)
 
     return run
 
@@ -270,24 +270,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def _apart(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that share a prefix n-gram, may be similar enough and are in different components of ``found``.
 
-    Only n-grams whose classes are not all in one component take part, and of n-grams with the same classes the first in the global order. A
-    frequent one is dealt out in parts of ``DEALT`` classes, each met by all classes of the n-gram.
+    Only n-grams whose classes are not all in one component take part, and of n-grams with the same classes the first in the global order. The
+    component with most of an n-gram's classes is its main one. The classes of its other components are dealt out in parts of ``DEALT``, each
+    met by all classes of the n-gram.
     """
     placed = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     same = ["size", "lo", "hi", "mark"]
-    groups = placed.groupBy("gram").agg(
-        F.min("root").alias("least"), F.max("root").alias("most"), F.sum("pos").alias("at"), F.count("*").alias("size"), F.min("sig").alias("lo"),
-        F.max("sig").alias("hi"), F.expr("bit_xor(xxhash64(sig))").alias("mark")).filter("least <> most")
-    groups = groups.groupBy(*same).agg(F.min(F.struct("at", "gram")).alias("g")).select("g.gram", F.ceil(F.col("size") / DEALT).cast("int").alias("parts"))
-    still = materialize(placed.join(groups, "gram").join(classes.select("sig", "bits"), "sig"), "apart")
+    roots = placed.groupBy("gram", "root").agg(
+        F.sum("pos").alias("at"), F.count("*").alias("size"), F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.expr("bit_xor(xxhash64(sig))").alias("mark"))
+    groups = roots.groupBy("gram").agg(
+        F.count("*").alias("roots"), F.max(F.struct("size", "root")).alias("main"), F.sum("at").alias("at"), F.sum("size").alias("size"), F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"), F.bit_xor("mark").alias("mark")).filter("roots > 1")
+    groups = groups.groupBy(*same).agg(F.min(F.struct("at", "gram", "main")).alias("g"))
+    groups = groups.select("g.gram", F.col("g.main.root").alias("main"), F.ceil((F.col("size") - F.col("g.main.size")) / DEALT).cast("int").alias("parts"))
+    still = materialize(placed.join(groups, "gram").join(classes.select("sig", "n", "bits"), "sig"), "apart")
     me = F.struct("pos", "n", "sig", "root", "bits")
-    left = still.select("gram", F.pmod(F.hash("sig"), F.col("parts")).alias("part"), me.alias("a"))
-    right = still.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), me.alias("b"))
+    left = still.filter("root <> main").select("gram", F.pmod(F.hash("sig"), F.col("parts")).alias("part"), me.alias("a"))
+    right = still.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("root") == F.col("main"), me.alias("b")).toDF("gram", "part", "in_main", "b")
     a, b = F.col("a"), F.col("b")
     # The first n-gram that two sets share leaves room for what they need.
     room = (100 + percent) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= percent * (a["n"] + b["n"])
-    pairs = left.join(right, ["gram", "part"]).filter((a["root"] < b["root"]) & room & may_link(a, b, percent))
-    pairs = materialize(pairs.select(a["sig"].alias("a"), b["sig"].alias("b")).distinct(), "pairs-apart")
+    once = F.col("in_main") | (a["root"] < b["root"])
+    pairs = left.join(right, ["gram", "part"]).filter(once & room & may_link(a, b, percent))
+    # An n-gram may have another main component than the next: the class of the lesser component goes first everywhere.
+    first, second = (F.when(a["root"] < b["root"], x["sig"]).otherwise(y["sig"]) for x, y in ((a, b), (b, a)))
+    pairs = materialize(pairs.select(first.alias("a"), second.alias("b")).distinct(), "pairs-apart")
     discard(still)
     return pairs
 
@@ -311,18 +318,18 @@ def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
     frequent = spark.sparkContext.broadcast((table[by_gram], rank[by_gram]))
 
     def prefix(hot: bool) -> DataFrame:
-        return sets.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long, n int")
+        return sets.select("sig", "n", "low").mapInPandas(_prefix_rows(frequent, percent, hot), "gram long, pos int, sig long" + ", own int" * hot)
 
     # Most n-grams occur once: a window, which sorts and spills, leaves those with two classes or more. Frequent ones are combined map-side.
     one = Window.partitionBy("gram")
     rare = prefix(False).withColumns({"lo": F.min("sig").over(one), "hi": F.max("sig").over(one)}).filter("lo <> hi").drop("hi").distinct()
     often = materialize(prefix(True).distinct(), "frequent-rows")
-    lead = often.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").drop("hi")
-    rows = materialize(rare.unionByName(often.join(lead, "gram")), "shared-rows")
+    lead = often.groupBy("gram").agg(F.min(F.struct("own", "sig"))["sig"].alias("lead"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    rows = materialize(rare.withColumnRenamed("lo", "lead").unionByName(often.drop("own").join(lead, "gram")), "shared-rows")
     # The hashes are the largest table and have no further use; texts and sets that travel next take their place on disk.
     discard(often, sets)
 
-    first = rows.filter("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b")).distinct()
+    first = rows.filter("sig <> lead").select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct()
     for side in "ab":
         first = first.join(classes.select(F.col("sig").alias(side), F.struct("n", "bits").alias("_" + side)), side)
     first = materialize(first.filter(may_link(F.col("_a"), F.col("_b"), percent)).select("a", "b"), "first-pairs")
