@@ -72,6 +72,12 @@ def test_tables(spark):
     assert blocks(spark, html)[0] == [("table", None, None), ("table", None, None)]
 
 
+def test_tables_need_no_items_or_links(spark):
+    """The items and addresses of every piece were worked out, with a window and a sort of their own, and thrown away."""
+    plan = M.extract_tables(page_of(spark, "<table><tr><td>a</td></tr></table>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_li#" not in plan and "href" not in plan and "_link#" not in plan and "_box#" in plan
+
+
 def test_captions_items_and_link_lists_from_blocks(spark):
     """E10, E12 and E13 on what E2 gives."""
     items = "<ul><li>a<ul><li>b</ul><li>c</ul>"

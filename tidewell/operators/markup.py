@@ -80,30 +80,41 @@ def _latest(cond: Column, value: Column, w) -> Column:
     return F.last(F.when(cond, value), ignorenulls=True).over(w)
 
 
-def piece_units(pages: DataFrame, page: str = "page_id", html: str = "html", base: str | None = None) -> DataFrame:
-    """Pieces with what they belong to: ``kind`` (line, list, item, table) and ``unit``, the position of the tag that began it.
-
-    Pieces of no block (blanks between list items) have neither. Also: ``list_depth``, ``table_depth``, ``link`` (struct of
-    position and attributes of the link around the text, null outside), ``tr`` and ``thead`` of the outermost table.
-    """
+def _boxed(pages: DataFrame, page: str, html: str, base: str | None) -> DataFrame:
+    """Pieces with their nesting, the outermost list or table around them (``_box``), the begin of their line, their link, ``tr`` and ``_head``."""
     name, shut, i = F.col("name"), F.col("shut"), F.col("i")
-    opens = lambda *tags: name.isin(*tags) & ~shut
     w = Window.partitionBy(page).orderBy("i")
     pieces = page_pieces(pages, page, html, base).withColumns({"inline": _named(INLINE_TAGS), "edge": _named(EDGE_TAGS), "cell": _named(CELL_TAGS)})
     df = nested(pieces, [page], "i", {"list_depth": ["ul", "ol"], "table_depth": ["table"]})
-    total = F.col("list_depth") + F.col("table_depth")
-    begins = opens("ul", "ol", "table") & (total == 1)
-    df = df.withColumns({
-        "_box": _latest(begins, F.struct("i", "name"), w), "_line": F.coalesce(_latest(name.isNotNull() & ~F.col("inline"), i, w), F.lit(0)),
+    begins = name.isin("ul", "ol", "table") & ~shut & (F.col("list_depth") + F.col("table_depth") == 1)
+    return df.withColumns({
+        "begins": begins, "_box": _latest(begins, F.struct("i", "name"), w), "_line": F.coalesce(_latest(name.isNotNull() & ~F.col("inline"), i, w), F.lit(0)),
         "_link": _latest(name == "a", F.struct("i", "shut", "attrs"), w),
-        "tr": F.sum((opens("tr") & (F.col("table_depth") == 1)).cast("int")).over(w),
+        "tr": F.sum((name.isin("tr") & ~shut & (F.col("table_depth") == 1)).cast("int")).over(w),
         "_head": _latest(name.isin("thead", "tbody", "tfoot", "table") & (F.col("table_depth") <= 1), (name == "thead") & ~shut, w),
     })
+
+
+def table_units(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """The pieces of ``piece_units`` whose kind is table, without what only lists, lines and links need."""
+    inside = F.col("list_depth") + F.col("table_depth") > 0
+    df = _boxed(pages, page, html, None).filter(inside & (F.col("_box.name") == "table"))
+    return df.select(page, F.col("_box.i").alias("unit"), "i", "name", "shut", "edge", "cell", "attrs", "text", "table_depth", "tr", F.coalesce("_head", F.lit(False)).alias("thead"))
+
+
+def piece_units(pages: DataFrame, page: str = "page_id", html: str = "html", base: str | None = None) -> DataFrame:
+    """Pieces with what they belong to: ``kind`` (line, list, item, table) and ``unit``, the position of the tag that began it.
+
+    Pieces of no block (blanks between list items) have neither. Also: ``list_depth``, ``table_depth``, ``link`` (struct of
+    position and attributes of the link around the text, null outside), ``tr`` and ``thead`` of the outermost table.
+    """
+    name, shut, i, begins = F.col("name"), F.col("shut"), F.col("i"), F.col("begins")
+    df = _boxed(pages, page, html, base)
     in_list = Window.partitionBy(page, "list_depth").orderBy("i")
     df = df.withColumns({
-        "_li": _latest((name == "li") & (F.col("table_depth") == 0), F.struct("i", "shut"), in_list), "_list": _latest(opens("ul", "ol"), i, in_list),
+        "_li": _latest((name == "li") & (F.col("table_depth") == 0), F.struct("i", "shut"), in_list), "_list": _latest(name.isin("ul", "ol") & ~shut, i, in_list),
     })
-    inside = total > 0
+    inside = F.col("list_depth") + F.col("table_depth") > 0
     is_item = (F.col("table_depth") == 0) & F.coalesce(~F.col("_li.shut") & (F.col("_li.i") > F.coalesce("_list", F.lit(-1))), F.lit(False))
     kind = F.when(~inside, "line").when(F.col("_box.name") == "table", "table").when(begins, "list").when(is_item, "item")
     unit = F.when(~inside, F.col("_line")).when(F.col("_box.name") == "table", F.col("_box.i")).when(begins, i).when(is_item, F.col("_li.i"))
@@ -244,7 +255,8 @@ def extract_tables(pages: DataFrame, page: str = "page_id", html: str = "html")
 
     The first row is the head if it stands in ``thead`` or all its cells are ``th``; a nested table is text of the cell around it.
     """
-    rows = _grouped(pages, ["table"], page, html, None).select(page, "unit", _cells(F.col("parts")).alias("cells"))
+    part = F.struct("i", "name", "shut", "edge", "cell", "attrs", "text", "table_depth", "tr", "thead")
+    rows = table_units(pages, page, html).groupBy(page, "unit").agg(F.sort_array(F.collect_list(part)).alias("parts")).select(page, "unit", _cells(F.col("parts")).alias("cells"))
     caption = F.get(F.filter("cells", lambda c: c["kind"] == "caption"), 0)["text"]
     cells = rows.select(page, "unit", F.when(caption != "", caption).alias("caption"), F.posexplode(F.filter("cells", lambda c: c["kind"] != "caption")).alias("k", "c"))
     table = Window.partitionBy(page, "unit")
