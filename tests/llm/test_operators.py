@@ -332,6 +332,20 @@ def test_a_group_of_near_copies_leaves_few_pairs(spark, monkeypatch):
     assert made["first-pairs"] + made["pairs-apart"] < 10 * len(many)
 
 
+def test_shuffles_go_with_their_written_table(spark):
+    """They lay on disk beside all later tables until the driver collected garbage."""
+    files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    before = files()
+    table = materialize(spark.range(1000).repartition(3, "id"), "dealt")
+    left = [f for f in files() - before if f.endswith(".data")]
+    assert not left and table.count() == 1000
+
+
+def test_documents_are_not_shuffled_to_drop_few(spark, docs):
+    plan = jaccard.keep_first(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "hashpartitioning" not in plan
+
+
 def test_repeated_keys_lose_no_row_without_links(spark):
     rng = random.Random(21)
     a, b, c = (prose(rng, 40) for _ in range(3))

@@ -310,7 +310,10 @@ def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
     classes = materialize(classes, "classes")
 
     counted = sets.select(F.explode(F.filter("low", lambda g: g < F.lit(COUNTED_BELOW))).alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"))
-    top = counted.filter(F.col("docs") >= COMMON).orderBy(F.desc("docs"), "gram").limit(FREQUENT_KEPT).toPandas()
+    top = counted.filter(F.col("docs") >= COMMON).orderBy(F.desc("docs"), "gram").limit(FREQUENT_KEPT)
+    written = materialize(top, "frequent-grams")  # so that the shuffle of the counts goes
+    top = written.toPandas()
+    discard(written)
     top = top.sort_values(["docs", "gram"], kind="stable")
     rank = np.arange(len(top))
     table = top["gram"].to_numpy(dtype=np.int64)
@@ -361,6 +364,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("doc")), "numbered")
     doc = F.col("doc")
     found = _of_rows(numbered.select("_rid", doc[key].alias("k"), doc[text].alias("t")), n, percent)
-    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "sig", "_rid")).alias("x"))
-    keep = first.select("x._rid").unionByName(found.filter("root is null").select("_rid"))
-    return numbered.join(keep, "_rid").select("doc.*")
+    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "sig", "_rid")).alias("x"), F.count("*").alias("rows"))
+    # The rows that go are written: where they are few, their size is known before the join and the documents are not shuffled.
+    gone = found.join(first.filter("rows > 1"), "root").filter(F.col("_rid") != F.col("x._rid"))
+    gone = materialize(gone.select("_rid"), "gone")
+    discard(found)
+    return numbered.join(gone, "_rid", "left_anti").select("doc.*")
