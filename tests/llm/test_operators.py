@@ -346,6 +346,27 @@ def test_documents_are_not_shuffled_to_drop_few(spark, docs):
     assert "LeftAnti" in plan and "hashpartitioning" not in plan
 
 
+def test_near_copies_without_their_centre_leave_few_pairs(spark, monkeypatch):
+    """Where few copies are similar to the one that leads, the pairs of all others grew with the square of the group."""
+    rng, made, many = random.Random(32), {}, []
+    base = [f"w{rng.random()}" for _ in range(300)]
+    for k in range(400):
+        w = base.copy()
+        for _ in range(3 + k % 3):
+            w[rng.randrange(300)] = f"new{rng.random()}"
+        many.append(" ".join(w))
+
+    def counted(df, name, **more):
+        out = materialize(df, name, **more)
+        if "pairs" in name:
+            made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    assert rows(jaccard.jaccard_components(make(spark, many), n=4, percent=85), "doc_id", "n_shingles", "component_id") == brute_components(many, 4, 85)
+    assert sum(made.values()) < 20 * len(many)
+
+
 def test_repeated_keys_lose_no_row_without_links(spark):
     rng = random.Random(21)
     a, b, c = (prose(rng, 40) for _ in range(3))

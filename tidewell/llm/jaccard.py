@@ -7,7 +7,8 @@ so far, and a subtree ends as soon as the n-grams left cannot reach the needed o
 
 * Equal sets are one class from the start, named by the hash of the set, so copies add no work.
 * No n-gram gives all pairs at once: each class is tried against one class of each of its prefix n-grams, of a frequent one the class with the
-  fewest n-grams of its own, which links most of a group of near copies. Only classes that are still in different components after that are tried
+  fewest n-grams of its own, which links most of a group of near copies. Where an n-gram has many classes, some drawn from it are then
+  tried against those of other components. Only classes that are still in different components after that are tried
   against each other, and those of an n-gram's main component not among themselves. So no link between components is lost.
 * Before a set travels, a pair must pass an exact bound: every class has a parity bitmap of about one to two bits an n-gram, and two
   sets differ in at least as many n-grams as their bitmaps differ in bits.
@@ -31,6 +32,8 @@ FREQUENT_KEPT = 1 << 18  # most frequent n-grams that are moved to the end of th
 COUNTED_BELOW = -(1 << 62)  # the lowest quarter of the hashes, from which prefixes are made
 BLOCK = 256  # sets in one tree
 DEALT = 512  # classes of one n-gram that a task pairs with all others of it
+LARGE = 64  # classes of one n-gram from which on some are drawn and tried against the others
+TURNS = 2  # of drawing
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]  # odd numbers
 
 
@@ -267,12 +270,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return found.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def _apart(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a prefix n-gram, may be similar enough and are in different components of ``found``.
+def _split_grams(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefix rows with the component (root) of their class, and the n-grams whose classes are in several: (gram, main, size, main_size).
 
-    Only n-grams whose classes are not all in one component take part, and of n-grams with the same classes the first in the global order. The
-    component with most of an n-gram's classes is its main one. The classes of its other components are dealt out in parts of ``DEALT``, each
-    met by all classes of the n-gram.
+    Of n-grams with the same classes the first in the global order stays. The component with most of an n-gram's classes is its main one.
     """
     placed = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     same = ["size", "lo", "hi", "mark"]
@@ -282,16 +283,48 @@ def _apart(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int)
         F.count("*").alias("roots"), F.max(F.struct("size", "root")).alias("main"), F.sum("at").alias("at"), F.sum("size").alias("size"), F.min("lo").alias("lo"),
         F.max("hi").alias("hi"), F.bit_xor("mark").alias("mark")).filter("roots > 1")
     groups = groups.groupBy(*same).agg(F.min(F.struct("at", "gram", "main")).alias("g"))
-    groups = groups.select("g.gram", F.col("g.main.root").alias("main"), F.ceil((F.col("size") - F.col("g.main.size")) / DEALT).cast("int").alias("parts"))
+    return placed, groups.select("g.gram", F.col("g.main.root").alias("main"), "size", F.col("g.main.size").alias("main_size"))
+
+
+def _room(a: Column, b: Column, percent: int) -> Column:
+    """False only where the n-grams from the first shared one on are too few for what the two sets need."""
+    return (100 + percent) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= percent * (a["n"] + b["n"])
+
+
+def _nearer(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components: a was drawn from an n-gram with ``LARGE`` classes or more, b is any other class of it.
+
+    Two are drawn for each n-gram and turn, one from its main component and one from all its classes, so a class meets some dozens of others. The
+    rows are at most twice the prefix rows, whatever the size of a group.
+    """
+    placed, groups = _split_grams(rows, found)
+    still = materialize(placed.join(groups.filter(F.col("size") >= LARGE), "gram").join(classes.select("sig", "n", "bits"), "sig"), "large-apart")
+    me = F.struct("pos", "n", "sig", "root", "bits")
+    drawn = F.xxhash64("sig", "gram", F.lit(turn))
+    leads = still.groupBy("gram").agg(F.array_distinct(F.array(F.min_by(me, drawn), F.min_by(me, F.when(F.col("root") == F.col("main"), drawn)))).alias("leads"))
+    a, b = F.col("a"), F.col("b")
+    pairs = still.select("gram", me.alias("b")).join(leads.select("gram", F.explode("leads").alias("a")), "gram")
+    pairs = pairs.filter((a["root"] != b["root"]) & _room(a, b, percent) & may_link(a, b, percent))
+    pairs = materialize(pairs.select(a["sig"].alias("a"), b["sig"].alias("b")).distinct(), "pairs-nearer")
+    discard(still)
+    return pairs
+
+
+def _apart(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a prefix n-gram, may be similar enough and are in different components of ``found``.
+
+    Only n-grams whose classes are not all in one component take part. The classes outside an n-gram's main component are dealt out in parts of
+    ``DEALT``, each met by all classes of the n-gram.
+    """
+    placed, groups = _split_grams(rows, found)
+    groups = groups.select("gram", "main", F.ceil((F.col("size") - F.col("main_size")) / DEALT).cast("int").alias("parts"))
     still = materialize(placed.join(groups, "gram").join(classes.select("sig", "n", "bits"), "sig"), "apart")
     me = F.struct("pos", "n", "sig", "root", "bits")
     left = still.filter("root <> main").select("gram", F.pmod(F.hash("sig"), F.col("parts")).alias("part"), me.alias("a"))
     right = still.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("root") == F.col("main"), me.alias("b")).toDF("gram", "part", "in_main", "b")
     a, b = F.col("a"), F.col("b")
-    # The first n-gram that two sets share leaves room for what they need.
-    room = (100 + percent) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= percent * (a["n"] + b["n"])
     once = F.col("in_main") | (a["root"] < b["root"])
-    pairs = left.join(right, ["gram", "part"]).filter(once & room & may_link(a, b, percent))
+    pairs = left.join(right, ["gram", "part"]).filter(once & _room(a, b, percent) & may_link(a, b, percent))
     # An n-gram may have another main component than the next: the class of the lesser component goes first everywhere.
     first, second = (F.when(a["root"] < b["root"], x["sig"]).otherwise(y["sig"]) for x, y in ((a, b), (b, a)))
     pairs = materialize(pairs.select(first.alias("a"), second.alias("b")).distinct(), "pairs-apart")
@@ -338,10 +371,15 @@ def _of_rows(numbered: DataFrame, n: int, percent: int) -> DataFrame:
     first = materialize(first.filter(may_link(F.col("_a"), F.col("_b"), percent)).select("a", "b"), "first-pairs")
     links = verified(texts, classes.select("sig", "_rid"), first, n, percent)
     found = components(links)
-    more = _apart(rows, found, classes, percent)
-    if not more.isEmpty():
+    # Large groups are tried against drawn members before what is still apart is listed.
+    for turn in range(TURNS + 1):
+        more = _nearer(rows, found, classes, percent, turn) if turn < TURNS else _apart(rows, found, classes, percent)
+        if more.isEmpty():
+            discard(more)
+            continue
         again = verified(texts, classes.select("sig", "_rid"), more, n, percent)
-        found, before = components(links.unionByName(again)), found
+        # A component's root stands for what linked it before.
+        before, found = found, components(again.unionByName(found.toDF("a", "b")))
         discard(before, again)
 
     rooted = classes.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
