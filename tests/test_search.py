@@ -224,6 +224,46 @@ def test_pairs_of_a_hot_query_are_shared_by_tasks(spark):
     assert rows(top.filter("query_id = 499"), "item_id", "score", "rank") == [(0, 140, 1), (1, 140, 2), (2, 140, 3)] and top.count() == 1500
 
 
+def shuffled(df):
+    """Bytes that the exchanges of ``df`` dealt out when it was run."""
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Twice the queries and twice the items make four times the pairs, of twice the shuffled bytes."""
+    def run(n):
+        names = F.when(F.col("item_id") % 3 == 0, "flu").otherwise("flu shot")
+        items = spark.range(4 * n).withColumnRenamed("id", "item_id").select("item_id", names.alias("name"), F.lit("city").alias("area"), F.lit("lane").alias("addr"))
+        queries = spark.range(n).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "flu").otherwise("shot city").alias("q"))
+        counted = S.search_score(items, S.tokenize_queries(queries), {}).agg(F.count("*").alias("n"), F.sum("score").alias("s"))
+        return counted.first()["n"], shuffled(counted)
+
+    (few, small), (many, large) = run(1500), run(3000)
+    assert (few, many) == (750 * 6000 + 750 * 4000, 1500 * 12000 + 1500 * 8000)
+    assert large < 2.5 * small
+
+
+def test_queries_beyond_what_a_cell_holds(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["flu", "shot", "care", "clinic", "city", "lane"]
+    items = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3)), rng.choice(words), rng.choice(words)) for i in range(150)], "item_id long, name string, area string, addr string")
+    queries = [(i, " ".join(rng.choices([*words, "l", "c", "nowhere"], k=rng.randrange(1, 4)))) for i in range(120)] + [(200 + i, "flu") for i in range(300)]
+    tokens = S.tokenize_queries(spark.createDataFrame(queries, "query_id long, q string"))
+    want = rows(S.search_score(items, tokens, {}))
+    monkeypatch.setattr(S, "CELL_ROWS", 2)
+    assert len(want) > 10_000 and rows(S.search_score(items, tokens, {})) == want
+
+
 def test_rows_of_one_id_are_searched_together(spark):
     items = spark.createDataFrame([(1, "flu", "a", "b"), (1, "shot", "a", "b"), (1, "shot", "a", "b"), (2, "flu", "a", None), (None, "flu shot", "a", "b")], "item_id long, name string, area string, addr string")
     tokens = spark.createDataFrame([(1, 0, "flu"), (1, 1, "shot"), (None, 0, "flu"), (3, 0, "flu"), (3, 1, "flu")], "query_id long, pos int, token string")
