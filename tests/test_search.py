@@ -239,11 +239,14 @@ def shuffled(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-def test_pairs_are_not_shuffled(spark):
+@pytest.mark.parametrize("latin", [False, True])
+def test_pairs_are_not_shuffled(spark, latin):
     """Twice the queries and twice the items make four times the pairs, of twice the shuffled bytes."""
     def run(n):
         names = F.when(F.col("item_id") % 3 == 0, "flu").otherwise("flu shot")
         items = spark.range(4 * n).withColumnRenamed("id", "item_id").select("item_id", names.alias("name"), F.lit("city").alias("area"), F.lit("lane").alias("addr"))
+        if latin:
+            items = items.select("item_id", *[F.lit("").alias(f) for f in ("name", "area", "addr")], *[F.col(f).alias(f"{f}_en") for f in ("name", "area", "addr")])
         queries = spark.range(n).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "flu").otherwise("shot city").alias("q"))
         counted = S.search_score(items, S.tokenize_queries(queries), {}).agg(F.count("*").alias("n"), F.sum("score").alias("s"))
         return counted.first()["n"], shuffled(counted)
